@@ -7,11 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .packing import op1
+from .simhash import op4
+from .token_counts import op3
 from .token_orc import op6
+from .warc import op2
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1,
+    "op2_warc": op2,
+    "op3_token_counts": op3,
+    "op4_simhash": op4,
     "op6_token_orc": op6,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
+        last AS (SELECT html, max(page_id) AS last FROM p WHERE n >= 1000 GROUP BY html)
+        SELECT p.page_id, p.n::BIGINT AS payload_bytes, sha1(p.html) AS payload_digest,
+               CASE WHEN p.page_id < last.last THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN p.page_id < last.last THEN last.last END AS refers_to
+        FROM p LEFT JOIN last ON p.html = last.html AND p.n >= 1000""",
+}
