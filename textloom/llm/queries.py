@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontam import op10
+from .licenses import op9
 from .packing import op1
 from .simhash import op4
 from .token_counts import op3
@@ -18,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3,
     "op4_simhash": op4,
     "op6_token_orc": op6,
+    "op9_licenses": op9,
+    "op10_decontamination": op10,
 }
 
 ORACLE_SQL: dict[str, str] = {
