@@ -100,7 +100,8 @@ def forest(members: np.ndarray) -> list[tuple[int, int]]:
 def link(fps: DataFrame) -> DataFrame:
     """Edges a, b whose components are those of all links between the distinct fingerprints in column fp."""
     keys = F.explode(F.array(*[F.struct(F.lit(i).cast("byte").alias("at"), F.col("fp").bitwiseAND(F.lit(m)).alias("shared")) for i, m in enumerate(MASKS)]))
-    lists = fps.select("fp", keys.alias("key")).groupBy("key").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1).select("members")
+    dealt = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a small table makes 28 times its rows
+    lists = dealt.select("fp", keys.alias("key")).groupBy("key").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1).select("members")
 
     def run(batches):
         for b in batches:

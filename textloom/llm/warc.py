@@ -207,7 +207,8 @@ def read_archives(archives: DataFrame, folder: str, with_payload: bool = False)
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", url string, payload binary" * with_payload
-    return archives.select("path", "records").repartition("path").mapInArrow(run, schema)
+    paths = archives.select("path", "records")
+    return paths.repartition(max(1, min(paths.count(), 10_000))).mapInArrow(run, schema)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
