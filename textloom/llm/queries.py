@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontam import op10
+from .hmm import op8
+from .langid import op7
 from .licenses import op9
 from .packing import op1
 from .simhash import op4
@@ -20,6 +22,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3,
     "op4_simhash": op4,
     "op6_token_orc": op6,
+    "op7_langid": op7,
+    "op8_hmm": op8,
     "op9_licenses": op9,
     "op10_decontamination": op10,
 }
