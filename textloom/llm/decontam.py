@@ -23,6 +23,7 @@ GRAMS = WINDOW - K + 1
 BROADCAST_ROWS = 200_000
 #: What is between words: ASCII but digits and letters, in the lowered Latin-1 view.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SCHEMA = "doc_id, n_words, n_hit, n_items, items_sha256, contaminated"
 
 
@@ -33,34 +34,37 @@ def _words(text: str) -> Column:
     return F.coalesce(F.transform(parts, lambda w: F.xxhash64(w)), F.array().cast("array<long>"))
 
 
-def _fingerprints(df: DataFrame) -> DataFrame:
-    """Rows where a new least 5-gram begins to hold: its hash fp, its place p and the words around it, from p-5 to p+9.
-
-    df has words, an array of hashes. Places count from 1; get() beyond an end gives null, which equals nothing.
-    """
-    at = lambda i: F.get("words", F.col("i") + i)  # noqa: E731  the window's word i, from 0
-    gram = lambda i: F.xxhash64(*[at(i + j) for j in range(K)])
-    rows = df.where(F.size("words") >= WINDOW).withColumn("i", F.explode(F.sequence(F.lit(0), F.size("words") - WINDOW)))
-    rows = rows.withColumns({f"g{i}": gram(i) for i in range(-1, GRAMS)})
-    rows = rows.withColumns({"fp": F.least(*[F.col(f"g{i}") for i in range(GRAMS)]), "old": F.least(*[F.col(f"g{i}") for i in range(-1, GRAMS - 1)])})
-    # a window's predecessor has the same fingerprint unless the least one left or a smaller one came
-    rows = rows.where((F.col("i") == 0) | (F.col("fp") != F.col("old")))
-    where = F.coalesce(*[F.when(F.col(f"g{i}") == F.col("fp"), F.lit(i)) for i in range(GRAMS)])
-    return rows.withColumn("p", F.col("i") + where)
+def _n_words(text: str) -> Column:
+    """How many words a text has, without lowering it."""
+    parts = F.split(F.coalesce(F.col(text), F.lit("")), ANY_CASE)
+    return (F.size(parts) - (F.get(parts, F.lit(0)) == "").cast("int") - F.when(F.size(parts) > 1, (F.element_at(parts, -1) == "").cast("int")).otherwise(0)).cast("long")
 
 
-def _around(df: DataFrame) -> DataFrame:
-    """around: words p-5 to p+9, null beyond the ends; without the whole text's words."""
-    take = F.array(*[F.when(F.col("p") + i >= 0, F.get("words", F.col("p") + i)) for i in range(-(WINDOW - K), WINDOW)])
-    return df.withColumn("around", take).drop("words", "i", "old", *[f"g{i}" for i in range(-1, GRAMS)])
-
+def _fingerprints(df: DataFrame) -> DataFrame:
+    """A row for each place that becomes its window's least 5-gram: its hash fp, its place p (from 0) and around, the words from p-5 to p+9.
 
-def _run(order: list[int]) -> Column:
-    """How many words agree in a row, in this order of places in around."""
-    n = F.lit(len(order))
-    for k in reversed(range(len(order))):
-        n = F.when(~F.coalesce(F.get("around", F.lit(order[k])) == F.get("theirs", F.lit(order[k])), F.lit(False)), F.lit(k)).otherwise(n)
-    return n
+    df has words, an array of hashes. around is null beyond the ends. Expressions are kept small: the JVM doesn't compile
+    methods of over 8,000 bytes.
+    """
+    gram = lambda i: F.xxhash64(*[F.get("words", i + j) for j in range(K)])
+    rows = df.where(F.size("words") >= WINDOW).withColumn("grams", F.transform(F.sequence(F.lit(0), F.size("words") - K), gram))
+    # words p-5 to p+9 are one slice of the padded array
+    pad = F.lit(None).cast("long")
+    rows = rows.withColumn("padded", F.concat(F.array_repeat(pad, WINDOW - K), F.col("words"), F.array_repeat(pad, WINDOW - K))).drop("words")
+    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(1), F.size("grams") - (GRAMS - 1))))
+    rows = rows.withColumn("fp", F.array_min(F.slice("grams", F.col("i"), GRAMS)))
+    # the least changes where a gram that left was as small, or the one that came is the least
+    left, came = F.get("grams", F.col("i") - 2), F.get("grams", F.col("i") + (GRAMS - 2))
+    rows = rows.where((F.col("i") == 1) | (left <= F.col("fp")) | (came == F.col("fp")))
+    p = F.col("i") + F.array_position(F.slice("grams", F.col("i"), GRAMS), F.col("fp")) - 2
+    rows = rows.withColumn("p", p.cast("int")).drop("grams", "i")
+    return rows.withColumn("around", F.slice("padded", F.col("p") + 1, 2 * WINDOW - K)).drop("padded")
+
+
+def _run(agree: Column) -> Column:
+    """How many agree from the first on."""
+    first = F.array_position(agree, F.lit(False))
+    return F.when(first == 0, F.size(agree)).otherwise(first - 1).cast("int")
 
 
 def _maybe_broadcast(df: DataFrame) -> DataFrame:
@@ -77,10 +81,12 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     docs = spread(docs.select("doc_id", "text"), "doc_id", per_core=1).withColumn("key", F.xxhash64("doc_id", "text"))
     own = docs.select(*key, _words("text").alias("words"))
     theirs = materialise(items.select("item_id", _words("text").alias("words")).where(F.size("words") > 0), "items")
-    long = materialise(_around(_fingerprints(theirs)).select("fp", "item_id", F.col("around").alias("theirs")).distinct(), "item-fingerprints")
-    found = _around(_fingerprints(own)).join(_maybe_broadcast(long), "fp")
-    left, middle, right = _run(list(range(WINDOW - K - 1, -1, -1))), _run(list(range(WINDOW - K, WINDOW))), _run(list(range(WINDOW, 2 * WINDOW - K)))
-    found = found.withColumns({"left": left, "middle": middle, "right": right}).where((F.col("middle") == K) & (F.col("left") + K + F.col("right") >= WINDOW))
+    long = materialise(_fingerprints(theirs).select("fp", "item_id", F.col("around").alias("theirs")).distinct(), "item-fingerprints")
+    found = _fingerprints(own).join(_maybe_broadcast(long), "fp")
+    found = found.withColumn("agree", F.zip_with("around", "theirs", lambda a, b: F.coalesce(a == b, F.lit(False))))
+    side = WINDOW - K
+    found = found.withColumns({"left": _run(F.reverse(F.slice("agree", 1, side))), "middle": _run(F.slice("agree", side + 1, K)), "right": _run(F.slice("agree", side + K + 1, side))})
+    found = found.where((F.col("middle") == K) & (F.col("left") + K + F.col("right") >= WINDOW))
     hits = found.select(*key, "item_id", (F.col("p") - F.col("left")).alias("begin"), (F.col("p") + K + F.col("right")).alias("end"))
     lengths = [r[0] for r in theirs.where(F.size("words") < WINDOW).select(F.size("words")).distinct().collect()]  # at most 9
     for n in sorted(lengths):
@@ -97,7 +103,7 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
         lambda a, s: F.struct((a["n"] + F.greatest(s["end"] - F.greatest(s["begin"], a["to"]), F.lit(0))).alias("n"), F.greatest(a["to"], s["end"]).alias("to")),
     )["n"]
     grouped = grouped.select(F.col("doc_id").alias("hit_id"), F.col("key").alias("hit_key"), unite.cast("long").alias("n_hit"), "items")
-    counts = docs.select(*key, F.size(_words("text")).cast("long").alias("n_words"))
+    counts = docs.select(*key, _n_words("text").alias("n_words"))
     joined = counts.join(grouped, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("key") == F.col("hit_key")), "left")
     return joined.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")).withColumns({"n_items": F.size("items").cast("long"), "contaminated": F.col("n_hit") > 0})
 
