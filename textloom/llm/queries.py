@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import op5
 from .decontam import op10
 from .hmm import op8
 from .langid import op7
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2,
     "op3_token_counts": op3,
     "op4_simhash": op4,
+    "op5_multiprobe_ann": op5,
     "op6_token_orc": op6,
     "op7_langid": op7,
     "op8_hmm": op8,
