@@ -135,7 +135,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = 2, wi
         for b in batches:
             for at in range(0, len(b.column(0)), 64):
                 part = b.slice(at, 64)
-                x = _matrix(part.column(1))
+                x = _slice(part.column(1))
                 where = h.project(x, True)
                 cells = np.floor(where)
                 order = h.order(where - cells)[..., : h.probes]
