@@ -41,11 +41,11 @@ def probabilities(pieces: DataFrame, counts: DataFrame, order: int, alphabet: in
     p = F.lit(1.0 / alphabet)
     for k, (grams, contexts) in enumerate(levels(counts, order), start=1):
         gram = F.expr(f"right(piece, {k})")
-        pieces = pieces.withColumn("gram", gram).join(grams, "gram", "left").drop("gram")
+        pieces = pieces.withColumn("gram", gram).join(grams.hint("merge"), "gram", "left").drop("gram")
         if k == 1:
             pieces = pieces.crossJoin(F.broadcast(contexts.drop("context")))  # one row
         else:
-            pieces = pieces.withColumn("context", F.expr(f"left(right(piece, {k}), {k - 1})")).join(contexts, "context", "left").drop("context")
+            pieces = pieces.withColumn("context", F.expr(f"left(right(piece, {k}), {k - 1})")).join(contexts.hint("merge"), "context", "left").drop("context")
         here = (F.coalesce("n", F.lit(0)) + F.col("kinds") * p) / (F.col("total") + F.col("kinds"))
         pieces = pieces.withColumn(f"p{k}", F.when(F.col("total").isNotNull(), here).otherwise(p)).drop("n", "total", "kinds")
         p = F.col(f"p{k}")

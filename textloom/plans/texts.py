@@ -533,7 +533,7 @@ def _(spark, sf_dir):
 
     held, rest = _held_and_rest(spark, sf_dir)
     own = windows(held, 50, "doc_id").where(F.regexp_count("piece", F.lit(LETTER)) >= 25)
-    have = windows(rest, 50).select("piece").distinct().withColumn("hit", F.lit(1))
+    have = windows(rest, 50).select("piece").distinct().withColumn("hit", F.lit(1)).hint("merge")
     return own.join(have, "piece", "left").agg(F.count("*").alias("windows"), F.count("hit").alias("matched"))
 
 
