@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
     """A table of few partitions over all cores, before its texts are taken apart; one that has enough stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+    return df if df.select(F.spark_partition_id()).distinct().count() >= cores else df.repartition(cores, *keys)
 
 
 def split_of(doc_id: str = "doc_id"):
