@@ -66,11 +66,13 @@ def _matrix(column) -> np.ndarray:
     return column.values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def _best(scores: np.ndarray, kept: int) -> np.ndarray:
-    """Columns of each row's largest scores, unsorted."""
-    if scores.shape[1] <= kept:
-        return np.tile(np.arange(scores.shape[1]), (len(scores), 1))
-    return np.argpartition(-scores, kept - 1, axis=1)[:, :kept]
+def _best(scores: np.ndarray, kept: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of each row's largest finite scores, with all that tie with the last but for rounding."""
+    real = np.isfinite(scores)
+    if scores.shape[1] > kept:
+        last = -np.partition(-scores, kept - 1, axis=1)[:, kept - 1 : kept]
+        real &= scores >= np.where(np.isfinite(last), last - 1e-9 * (1 + np.abs(last)), -np.inf)
+    return np.nonzero(real)
 
 
 def search(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = 2, width: int = 8, cell: float = 2.0, recall: float = 0.96, sample: int = 128) -> DataFrame:
@@ -213,16 +215,12 @@ def _score(part, own: np.ndarray, x: np.ndarray, ids: np.ndarray, lists: list, k
     visits[row[hit], at[hit]] = True
     q, asked = _slice(part.column(3)), part.column(2).to_numpy()
     scores = np.where(visits[:, of], q @ x.T, -np.inf)
-    best = _best(scores, k + 20)  # more than are kept, since products of blocks may round otherwise
-    i, j = np.repeat(np.arange(len(q)), best.shape[1]), best.ravel()
-    real = np.isfinite(scores[i, j])
-    i, j = i[real], j[real]
+    i, j = _best(scores, 2 * (k + 1))  # a vector may stand here once per table
     exact = (q[i] * x[j]).sum(axis=1)
     order = np.lexsort((ids[j], -exact, i))
     i, j, exact = i[order], j[order], exact[order]
     first = np.searchsorted(i, np.arange(len(q)))
-    # a vector may stand here once per table
-    same = np.concatenate([[False], (i[1:] == i[:-1]) & (j[1:] == j[:-1])]) if len(i) else np.zeros(0, dtype=bool)
+    same = np.concatenate([[False], (i[1:] == i[:-1]) & (ids[j[1:]] == ids[j[:-1]])]) if len(i) else np.zeros(0, dtype=bool)
     kept = ~same & (np.arange(len(i)) - first[i] < 2 * (k + 1)) if len(i) else same
     i, j, exact = i[kept], j[kept], exact[kept]
     yield pa.RecordBatch.from_arrays([pa.array(asked[i]), pa.array(ids[j]), pa.array(exact), pa.array([lists[y] for y in j.tolist()], pa.list_(pa.int64()))], names=["query", "id", "score", "ids"])
@@ -252,9 +250,8 @@ def _tune(hashing: Hashing, distinct: DataFrame, k: int, recall: float, sample:
                 continue
             scores = q @ x.T
             scores[names[:, None] == ids[None, :]] = -np.inf
-            best = _best(scores, k)
+            i, j = _best(scores, k)
             own = np.floor(h.project(x, False))
-            i, j = np.repeat(np.arange(len(q)), best.shape[1]), best.ravel()
             rank = np.full(len(i), 1 << 30, dtype=np.int64)
             for t in range(h.tables):
                 move = (own[t, j] - cells[t, i]).astype(np.int64)
@@ -265,7 +262,7 @@ def _tune(hashing: Hashing, distinct: DataFrame, k: int, recall: float, sample:
                 rank[near] = np.minimum(rank[near], ranks[t, i[near], code])
             yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(ids[j]), pa.array(scores[i, j]), pa.array(rank)], names=["q", "id", "score", "rank"])
 
-    near = distinct.select("id", "embedding").mapInArrow(run, "q long, id long, score double, rank long").where(F.col("score") > float("-inf"))
+    near = distinct.select("id", "embedding").mapInArrow(run, "q long, id long, score double, rank long")
     w = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     true = np.sort([r[0] for r in near.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).select("rank").collect()])
     if len(true):
