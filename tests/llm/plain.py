@@ -97,3 +97,29 @@ def licenses(text):
     found = [(i, label) for p, label in phrases.items() for i in range(len(words)) if tuple(words[i : i + len(p)]) == p]
     at = [i for i, _ in found]
     return len(words), len(found), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in found}))
+
+
+def similar(texts, words=5, least=0.8):
+    """Of texts by id: the smallest id reachable over pairs of shingle sets of that similarity, for texts with words."""
+    sets, posted = {}, {}
+    for d, t in texts.items():
+        w = [x for x in re.split(rb"[\x20\x09-\x0D]+", (t or "").encode().lower()) if x]
+        if w:
+            sets[d] = {b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))}
+    group = {d: d for d in sets}
+
+    def root(d):
+        while group[d] != d:
+            d = group[d]
+        return d
+
+    for d in sorted(sets):
+        common = {}
+        for s in sets[d]:
+            for other in posted.setdefault(s, []):
+                common[other] = common.get(other, 0) + 1
+            posted[s].append(d)
+        for other, n in common.items():
+            if n >= least * (len(sets[d]) + len(sets[other]) - n) and (a := root(d)) != (b := root(other)):
+                group[max(a, b)] = min(a, b)
+    return {d: root(d) for d in sets}

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from textloom.llm import ann, decontam, hmm, langid, licenses, packing, simhash, token_counts, token_orc, tokens, warc
+from textloom.llm import ann, decontam, hmm, langid, licenses, packing, similar, simhash, token_counts, token_orc, tokens, warc
 from textloom.llm.common import fresh
 from textloom.llm.queries import ORACLE_SQL, QUERIES
 
@@ -225,6 +225,34 @@ def test_links_lose_nothing(spark):
     assert mine == want
 
 
+def test_similar_sets(spark, hard):
+    """Against all pairs: copies with one to many words changed, a group of them, and rows that are hard."""
+    dice = random.Random(4)
+    vocabulary = [f"word{i}" for i in range(3000)]
+    texts = []
+    for _ in range(60):
+        base = [dice.choice(vocabulary) for _ in range(dice.randint(1, 300))]
+        for edits in (0, 0, 1, 2, 4, 8):
+            own = list(base)
+            for _ in range(min(edits, len(own) // 40)):
+                own[dice.randrange(len(own))] = "changed"
+            texts.append(" ".join(own))
+    base = [dice.choice(vocabulary) for _ in range(200)]
+    for i in range(400):  # all of one page, each with a word of its own
+        own = list(base)
+        own[dice.randrange(len(own))] = f"own{i}"
+        texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in similar.similar_documents(docs).collect()}
+    assert got == plain.similar(dict(enumerate(texts)))
+    rows = [tuple(r) for r in spark.read.parquet(f"{hard}/documents.parquet").select("doc_id", "text").collect()]
+    found = Counter((r.doc_id, r.component_id) for r in similar.similar_documents(spark.read.parquet(f"{hard}/documents.parquet")).collect())
+    want = plain.similar({(d, i): t for i, (d, t) in enumerate(rows) if d is not None})
+    assert Counter({k: n for k, n in found.items() if k[0] is not None}) == Counter((d, c[0]) for (d, _), c in want.items())
+    assert found[None, None] == 1
+    assert similar.similar_documents(docs.limit(0)).count() == 0
+
+
 # ---- vectors
 
 
@@ -419,7 +447,8 @@ def test_pipeline(spark, rows):
         kept[name] = ({r.doc_id for r in before.collect()}, {r.doc_id for r in docs.collect()})
     text = {r["doc_id"]: r["text"] for r in rows}
     before, after = kept["near_duplicates"]
-    assert after == {d for d, _, c in plain.components([(d, plain.fingerprint(text[d])) for d in before]) if d == c}
+    far = {d for d, _, c in plain.components([(d, plain.fingerprint(text[d])) for d in before]) if d == c}
+    assert after == {d for d, c in plain.similar({d: text[d] for d in far}).items() if d == c} | {d for d in far if not (text[d] or "").split()}
     before, after = kept["decontamination"]
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     assert after == {d for d in before if not plain.hits(text[d], items)[1]}
