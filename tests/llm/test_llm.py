@@ -254,6 +254,20 @@ def test_similar_sets(spark, hard):
     assert similar.similar_documents(docs.limit(0)).count() == 0
 
 
+def test_copies_similar_to_their_original_alone(spark):
+    dice = random.Random(7)
+    vocabulary = [f"word{i}" for i in range(3000)]
+    base = [dice.choice(vocabulary) for _ in range(300)]
+    texts = [" ".join(base)]
+    for i in range(300):  # at 6 places each: 0.82 to the original, 0.67 among them
+        own = list(base)
+        for at in dice.sample(range(3, 297, 7), 6):
+            own[at] = f"own{i}"
+        texts.append(" ".join(own))
+    got = similar.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.component_id for r in got.collect()} == {0}
+
+
 # ---- vectors
 
 
