@@ -478,6 +478,19 @@ def test_pipeline_hard_and_empty(spark, hard, empty):
     assert corpus_pipeline.run(spark, empty).count() == 0
 
 
+def test_near_duplicate_stage_verifies(spark):
+    """Own words before a long filler: equal fingerprints on 3 words, nearly nothing in common on 5."""
+    import corpus_pipeline
+
+    dice = random.Random(11)
+    own = lambda: " ".join(f"word{dice.randrange(10**6)}" for _ in range(100))
+    texts = [own() + " 0" * 400, own() + " 0" * 400, own() + " a b c" * 140, own() + " a b c" * 140]
+    texts += [texts[0], texts[0] + " end", "", None, " "]
+    assert plain.fingerprint(texts[0]) == plain.fingerprint(texts[1]) and plain.fingerprint(texts[2]) == plain.fingerprint(texts[3])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()) == [0, 1, 2, 3, 6]
+
+
 def test_ann_hashing_orders_by_success():
     h = ann.Hashing(4, 1.0, 1, 3, 1.0)
     order = h.order(np.array([[0.1, 0.5, 0.9]]))
