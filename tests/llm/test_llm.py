@@ -268,6 +268,29 @@ def test_copies_similar_to_their_original_alone(spark):
     assert {r.component_id for r in got.collect()} == {0}
 
 
+def template_pairs():
+    """Documents of one template, some of them near copies of one another, in shingles of one word."""
+    dice = random.Random(3)
+    texts = []
+    for size, shared in ((20, 15), (40, 32)):
+        template = [f"t{size}x{i}" for i in range(shared)]
+        own = lambda: [f"w{dice.getrandbits(48):x}" for _ in range(size - shared)]  # noqa: E731, B023
+        texts += [" ".join(template + own()) for _ in range(1000)]
+        for _ in range(200):  # 18 of 22 at size 20, 36 of 44 at size 40
+            one = template + own()
+            texts += [" ".join(one), " ".join(one[: -(size // 10)] + own()[: size // 10])]
+    return texts
+
+
+def test_no_near_copy_of_a_template_is_missed(spark):
+    texts = template_pairs()
+    got = {r.doc_id: r.component_id for r in similar.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), words=1).collect()}
+    want = {i: i for i in range(len(texts))}
+    for first in (1000, 2400):
+        want |= {first + 2 * i + 1: first + 2 * i for i in range(200)}
+    assert sum(got[d] != c for d, c in want.items()) == 0
+
+
 # ---- vectors
 
 
