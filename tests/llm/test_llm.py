@@ -514,6 +514,29 @@ def test_near_duplicate_stage_verifies(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()) == [0, 1, 2, 3, 6]
 
 
+def test_stages_decide_on_rows(spark, tmp_path):
+    """Null and repeated ids: a row goes or stays by its own text."""
+    import corpus_pipeline
+
+    clean = [" ".join(f"{w}{i}" for w in ("apple", "pear", "plum", "fig", "lime", "kiwi")) for i in "abcdefgh"]
+    item = " ".join(f"bench{i}" for i in "abcdefghijkl")
+    schema = "doc_id long, text string, lang string, `row` string"
+
+    def kept(stage, rows):
+        docs = spark.createDataFrame([(d, t, "en", "clash") for d, t in rows], schema)
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        return Counter((r.doc_id, r.text) for r in out.collect())
+
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, clean[0]), (None, "12 345"), (7, clean[1]), (7, "!!"), (8, clean[2])]
+    assert kept(corpus_pipeline.identify_language, rows) == Counter([rows[0], rows[2], rows[4]])
+    rows = [(None, clean[0]), (None, clean[0]), (3, clean[1]), (3, clean[1]), (3, clean[2]), (4, clean[2]), (None, clean[3]), (9, clean[3]), (3, clean[4])]
+    assert kept(corpus_pipeline.drop_near_duplicates, rows) == Counter([rows[0], rows[2], rows[4], rows[7], rows[8]])
+    rows = [(None, clean[0]), (None, item), (5, clean[1]), (5, item), (6, clean[2])]
+    assert kept(corpus_pipeline.decontaminate, rows) == Counter([rows[0], rows[2], rows[4]])
+
+
 def test_ann_hashing_orders_by_success():
     h = ann.Hashing(4, 1.0, 1, 3, 1.0)
     order = h.order(np.array([[0.1, 0.5, 0.9]]))

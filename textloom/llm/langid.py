@@ -259,6 +259,23 @@ def identify(docs: DataFrame, models: Models | None) -> DataFrame:
     return spread(docs.select("doc_id", "text"), "doc_id", per_core=1).mapInArrow(run, SCHEMA)
 
 
+def accepted(docs: DataFrame, models: Models | None) -> DataFrame:
+    """The rows that identify() does not reject, each by its own text, with all their columns."""
+    spark = docs.sparkSession
+    share_code(spark)
+    if models is None:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    sent = spark.sparkContext.broadcast(models)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        m = sent.value
+        for b in batches:
+            yield b.filter(pa.array([not r[3] for r in m.predict(b.column(at).to_pylist())], pa.bool_()))
+
+    return spread(docs, per_core=1).mapInArrow(run, docs.schema)
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(crc_bucket("doc_id", 5) == 0, F.lit(False))
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
