@@ -361,6 +361,17 @@ def test_foreign_text_is_rejected(spark):
     assert [r[3] for r in rows] == [True, False, True, True]
 
 
+def test_short_foreign_text_despite_odd_labels(spark):
+    """Some rows of a wrong label, some of no learned language, and a language with few rows."""
+    italian = "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura che la diritta via era smarrita. Quanto a dir qual era e cosa dura questa selva selvaggia e aspra e forte che nel pensier rinova la paura."
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", F.when(F.col("doc_id") % 40 == 0, "de").otherwise(F.col("lang")).alias("lang"))
+    odd = [(10**6 + i, "qzx wvk jjq " * 40, "en") for i in range(8)] + [(2 * 10**6 + i, "kala muna tobi reva " * 9, "xx") for i in range(6)]
+    models = langid.fit(docs.unionAll(spark.createDataFrame(odd, docs.schema)))
+    assert [r[3] for r in models.predict([italian[:120], italian, "zqx kvw jjq xkcd " * 12])] == [True, True, True]
+    texts = [r.text for r in docs.limit(300).collect()]
+    assert sum(r[3] for r in models.predict(texts)) <= 3
+
+
 # ---- language model
 
 

@@ -6,8 +6,8 @@ low bits), and the n-grams of all languages stand in one sorted array beside a m
 takes one binary search a character, and one more for each order it backs off.
 
 A text gets the language of the lowest cross-entropy per character. It is rejected where it has no letter, or where that
-cross-entropy is further from the language's usual one than calibration documents, which the models are not fitted on,
-ever are, by a margin; the scale shrinks with the root of the text's length.
+cross-entropy is further from the language's usual one than nearly all calibration documents, which the models are not
+fitted on, by a margin; the scale shrinks with the root of the text's length. Each language has its own cut.
 
 Models are fitted on a bounded sample: about `sample` labelled documents a language, chosen by a hash of doc_id.
 """
@@ -26,8 +26,10 @@ from .common import crc_bucket, share_code, spread, table
 ORDER = 4
 #: Documents a language that models are fitted on, about; and one in so many of them calibrates instead.
 SAMPLE, CALIBRATE = 1500, 4
-#: Characters beyond which a longer text is no surer, and the least multiple of the usual deviation that is rejected.
-LONGEST, LEAST_CUT, MARGIN = 500, 8.0, 1.5
+#: Characters beyond which a longer text is no surer, and the least multiple of the usual deviation that is rejected. That is
+#: the deviation of the inner TRIM of the rows; documents of a learned language with junk or secrets reach 20 of it.
+LONGEST, LEAST_CUT, MARGIN = 500, 25.0, 1.5
+TRIM, FEW = 0.95, 20
 SCHEMA = "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean"
 
 _letters: list[np.ndarray] = []
@@ -118,8 +120,7 @@ class Models:
             keys = np.unique(np.concatenate([m.levels[n][0] for m in own]))
             contexts = np.unique(np.concatenate([m.levels[n][2] for m in own]))
             self.tables[n] = (keys, np.stack([np.log(m.prob(n, keys)) for m in own], 1).astype(np.float32), contexts, np.stack([np.log(m.rest(n, contexts)) for m in own], 1).astype(np.float32))
-        self.usual = {x: (0.0, 1.0) for x in self.names}
-        self.cut = float("inf")
+        self.usual = {x: (0.0, float("inf"), LEAST_CUT) for x in self.names}
 
     def logs(self, codes: np.ndarray) -> np.ndarray:
         """Log probability of each n-gram's last character, a column per language."""
@@ -167,24 +168,47 @@ class Models:
             best = int(ce[i].argmin())
             name, least = self.names[best], float(ce[i, best])
             score = 1.0 / float(np.exp(-(ce[i] - least) * min(n, LONGEST)).sum())
-            rows.append((name, score, least, self.away(name, least, n) > self.cut))
+            rows.append((name, score, least, self.away(name, least, n) > self.usual[name][2]))
         return rows
 
     def away(self, name: str, entropy: float, n: int) -> float:
         """How far a text's cross-entropy is above the usual, in deviations at its length."""
-        mean, scale = self.usual[name]
+        mean, scale, _ = self.usual[name]
         return (entropy - mean) * math.sqrt(min(n, LONGEST)) / scale
 
     def calibrate(self, seen: list[tuple[str, float, int]]) -> None:
-        """From (language, its cross-entropy, characters) of documents that models were not fitted on."""
-        for name in self.names:
-            own = [(e, min(n, LONGEST)) for x, e, n in seen if x == name and n]
-            if len(own) >= 2:
-                mean = float(np.average([e for e, _ in own], weights=[n for _, n in own]))
-                self.usual[name] = (mean, max(1e-6, float(np.sqrt(np.mean([(e - mean) ** 2 * n for e, n in own])))))
-            else:
-                self.usual[name] = (0.0, float("inf"))
-        self.cut = max([LEAST_CUT] + [MARGIN * self.away(x, e, n) for x, e, n in seen if n and math.isfinite(self.usual[x][1])])
+        """From (language, its cross-entropy, characters) of documents that models were not fitted on, and that they find to be of it.
+
+        Each language on its own rows: its mean and deviation are those of the TRIM share nearest to its median, and its cut is
+        MARGIN times the farthest of these, LEAST_CUT at least; so a few odd rows move nothing. A language of fewer than FEW
+        rows has the deviation and cut of all rows, each taken from its own language's median; without a row, the highest mean.
+        """
+        rows = {x: np.array([(e, min(n, LONGEST)) for y, e, n in seen if y == x and n], dtype=float).reshape(-1, 2) for x in self.names}
+
+        def inner(e: np.ndarray, n: np.ndarray, middle) -> np.ndarray:
+            off = np.abs(e - middle) * np.sqrt(n)
+            return off <= np.quantile(off, TRIM)
+
+        def bounds(e: np.ndarray, n: np.ndarray, middle) -> tuple[float, float]:
+            off = np.abs(e - middle) * np.sqrt(n)
+            scale = max(1e-6, float(np.sqrt(np.mean(off**2))))
+            return scale, max(LEAST_CUT, MARGIN * float(off.max()) / scale)
+
+        every = np.concatenate(list(rows.values()))
+        middles = np.concatenate([np.full(len(r), np.median(r[:, 0]) if len(r) else 0.0) for r in rows.values()])
+        if len(every) < FEW:  # nothing to tell by
+            self.usual = {x: (0.0, float("inf"), LEAST_CUT) for x in self.names}
+            return
+        near = inner(every[:, 0], every[:, 1], middles)
+        pooled = bounds(every[near, 0], every[near, 1], middles[near])
+        highest = float(middles.max())
+        for x, r in rows.items():
+            if len(r) < FEW:
+                self.usual[x] = (float(np.median(r[:, 0])) if len(r) else highest, *pooled)
+                continue
+            near = inner(r[:, 0], r[:, 1], np.median(r[:, 0]))
+            mean = float(np.average(r[near, 0], weights=r[near, 1]))
+            self.usual[x] = (mean, *bounds(r[near, 0], r[near, 1], mean))
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Models | None:
@@ -230,7 +254,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Models | None:
         for b in batches:
             langs = b.column(1).to_pylist()
             ce, sizes = m.entropies(b.column(0).to_pylist())
-            own = [float(ce[i, m.names.index(x)]) if x in m.names else None for i, x in enumerate(langs)]
+            own = [float(ce[i].min()) if x in m.names and ce[i].argmin() == m.names.index(x) else None for i, x in enumerate(langs)]  # others may be mislabelled
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(own, pa.float64()), pa.array(sizes)], names=["lang", "e", "n"])
 
     models.calibrate([tuple(r) for r in chosen.where(held).select("text", "lang").mapInArrow(entropy, "lang string, e double, n long").where("e IS NOT NULL").collect()])
