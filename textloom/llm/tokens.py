@@ -2,8 +2,8 @@
 
 Where a file's ids are the ranks of its merges, the merges run in tiktoken, from the file's own vocabulary; a file whose
 words end in a suffix gets one byte in the suffix's place. The tokenizers library itself encodes texts that hold a special
-string or characters outside PLAIN (where normal forms and character classes may differ between libraries), and all texts
-of other files. Tests hold both ways equal, character by character.
+string, very long white space, or characters outside PLAIN (where normal forms and character classes may differ between
+libraries), and all texts of other files. Tests hold both ways equal, character by character.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ BYTE_LEVEL = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}
 BYTES = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 #: What ends a word in a text whose words are marked, and stands for the suffix.
 END = "\x00"
+#: A run of so much white space goes to the tokenizers library: tiktoken's look-ahead behind it takes stack for each character.
+GAP = 100_000
 
 _encoders: dict[str, Encoder] = {}
 
@@ -44,6 +46,7 @@ class Encoder:
         suffix = model.get("end_of_word_suffix") or ""
         self.special = [x["content"] for x in spec["added_tokens"]]
         self.unlike = regex.compile(f"[^{PLAIN}]").search
+        self.gap = regex.compile(f"[{SPACE}]{{{GAP},}}+").search
         self.fast = None
         if model["type"] != "BPE" or not _ranked(model["vocab"], model["merges"]):
             return
@@ -63,6 +66,8 @@ class Encoder:
     def odd(self, text: str) -> bool:
         if any(s in text for s in self.special) or any(c in text for c in "\x1c\x1d\x1e\x1f"):  # those four are white space to Python alone
             return True
+        if len(text) > GAP and self.gap(text):
+            return True
         return not text.isascii() and np.frombuffer(text.encode("utf-32-le"), "<u4").max() >= 0x300 and bool(self.unlike(text))
 
     def encode(self, texts: list[str]) -> list[bytes]:
