@@ -1,15 +1,16 @@
 """SimHash near-duplicates by an inverted index on byte positions with count filtering.
 
 Fingerprints of 64 bits that differ in at most 2 bits differ in at most 2 of their 8 bytes, so they share at least 6 bytes
-at the same positions. The index posts each distinct fingerprint under its positional bytes. A pair's tally of shared bytes
-reaches 6 if and only if the two meet in a list keyed by some 6 positions together, so the count filter is built into the
-lists: 28 of them for each fingerprint, instead of 8 lists of single bytes in which pairs would grow with the square of the
-table. What meets is verified bit by bit.
-
-Only distinct fingerprints are posted, so copies meet nowhere. The members of a list share 48 bits and are at most 65,536;
-small lists are tallied pair by pair, large ones probe the 136 ways to change at most 2 of the other 16 bits. A list gives
-the edges of a spanning forest of its links, not its pairs. Components come from alternating star contractions, whose
-hubs are aggregated before their edges are joined to them.
+at the same positions: the guaranteed minimum of matches. Lists of single positional bytes would hold a 256th of the table each,
+and pairs would grow with its square; so the index posts each distinct fingerprint under its bytes at 5 positions. The 3
+positions left out run through triples that cover each two of the 8 positions: 11 lists. Whichever 2 bytes a pair
+differs in, some triple holds both, so the pair meets in that list. What meets only shares 5 bytes for sure; the tally of
+all positional bytes that the pair shares is counted, pairs below 6 are dropped, and the others are verified bit by bit.
+
+Only distinct fingerprints are posted, so copies meet nowhere. A long list is not tallied pair by pair: it is divided by each
+byte left out (each part has a tally of 6), and a long part, which 16 free bits bound to 65,536 members, probes the 136
+ways to change at most 2 of them. A list gives the edges of a spanning forest of its links, not its pairs. Components
+come from alternating star contractions, whose hubs are aggregated before their edges are joined to them.
 """
 
 from __future__ import annotations
@@ -24,9 +25,22 @@ from pyspark.sql import functions as F
 
 from .common import materialise, share_code, spread, table
 
-BYTES_SHARED, BITS = 6, 2
-#: 6 of 8 byte positions, as masks of a signed long.
-MASKS = [int(np.array([sum(0xFF << 8 * p for p in kept)], dtype=np.uint64).view(np.int64)[0]) for kept in combinations(range(8), BYTES_SHARED)]
+BYTES, BYTES_SHARED, BITS = 8, 6, 2
+
+
+def _left_out() -> list[tuple[int, ...]]:
+    """Triples of byte positions that hold each two positions together at least once, taken greedily."""
+    open_pairs, triples = set(combinations(range(BYTES), BITS)), []
+    while open_pairs:
+        best = max(combinations(range(BYTES), BITS + 1), key=lambda t: len(open_pairs.intersection(combinations(t, BITS))))
+        triples.append(best)
+        open_pairs.difference_update(combinations(best, BITS))
+    return triples
+
+
+LEFT_OUT = _left_out()
+#: The positions that stay, as masks of a signed long.
+MASKS = [int(np.array([sum(0xFF << 8 * p for p in range(BYTES) if p not in t)], dtype=np.uint64).view(np.int64)[0]) for t in LEFT_OUT]
 #: All ways to change one or two of 16 bits.
 FLIPS = np.array([1 << i for i in range(16)] + [1 << i | 1 << j for i, j in combinations(range(16), 2)], dtype=np.int64)
 SMALL = 64
@@ -57,28 +71,42 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return spread(docs.select("doc_id", "text"), "doc_id", per_core=1).mapInArrow(run, "doc_id long, fp long")
 
 
-def _links(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of a list's members that are verified links."""
-    if len(members) <= SMALL:
-        x = members[:, None] ^ members[None, :]
-        tally = (x.view(np.uint8).reshape(*x.shape, 8) == 0).sum(axis=2)
-        near = (tally >= BYTES_SHARED) & (np.bitwise_count(x.view(np.uint64)) <= BITS)
-        i, j = np.nonzero(np.triu(near, 1))
-        return i, j
-    free = [p for p in range(8) if len(np.unique(members >> 8 * p & 0xFF)) > 1][:2]
-    free += [p for p in range(8) if p not in free][: 2 - len(free)]
+def tallied(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that share at least BYTES_SHARED positional bytes, of a short list."""
+    x = members[:, None] ^ members[None, :]
+    tally = (x.view(np.uint8).reshape(*x.shape, BYTES) == 0).sum(axis=2)
+    return np.nonzero(np.triu(tally >= BYTES_SHARED, 1))
+
+
+def _probed(members: np.ndarray, free: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs within BITS bits, of members that differ at two positions only."""
     own = (members >> 8 * free[0] & 0xFF) | (members >> 8 * free[1] & 0xFF) << 8
     place = np.full(1 << 16, -1, dtype=np.int64)
     place[own] = np.arange(len(members))
-    pairs = []
-    for f in FLIPS:
-        other = place[own ^ f]
-        i = np.flatnonzero(other > np.arange(len(members)))
-        if len(i):
-            pairs.append((i, other[i]))
-    if not pairs:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    return np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
+    found = [np.stack([i, place[own[i] ^ f]]) for f in FLIPS for i in [np.flatnonzero(place[own ^ f] > np.arange(len(members)))]]
+    return tuple(np.concatenate(found, axis=1))
+
+
+def _links(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of a list's members that are verified links."""
+    if len(members) <= SMALL:
+        i, j = tallied(members)
+        near = np.bitwise_count((members[i] ^ members[j]).view(np.uint64)) <= BITS
+        return i[near], j[near]
+    unlike = np.bitwise_or.reduce(members ^ members[0])
+    free = [p for p in range(BYTES) if unlike >> 8 * p & 0xFF]
+    free += [p for p in range(BYTES) if p not in free][: max(0, 2 - len(free))]
+    if len(free) == 2:
+        return _probed(members, free)
+    found = []
+    for p in free:  # what shares one more byte: divide by it
+        byte = members >> 8 * p & 0xFF
+        order = np.argsort(byte, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(byte[order])) + 1):
+            if len(part) > 1:
+                i, j = _links(members[part])
+                found.append(np.stack([part[i], part[j]]))
+    return tuple(np.concatenate([np.zeros((2, 0), dtype=np.int64), *found], axis=1))
 
 
 def forest(members: np.ndarray) -> list[tuple[int, int]]:
@@ -100,7 +128,7 @@ def forest(members: np.ndarray) -> list[tuple[int, int]]:
 def link(fps: DataFrame) -> DataFrame:
     """Edges a, b whose components are those of all links between the distinct fingerprints in column fp."""
     keys = F.explode(F.array(*[F.struct(F.lit(i).cast("byte").alias("at"), F.col("fp").bitwiseAND(F.lit(m)).alias("shared")) for i, m in enumerate(MASKS)]))
-    dealt = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a small table makes 28 times its rows
+    dealt = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a small table makes 11 times its rows
     lists = dealt.select("fp", keys.alias("key")).groupBy("key").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1).select("members")
 
     def run(batches):
