@@ -6,9 +6,10 @@ smoothed share of that class, which no state changes; so the forward recursion r
 rare words meet their texts in one join.
 
 Counts of all training words are gathered by word. Words above a count that at most `head` words reach are sent to the
-workers; only the others are joined, and none of those is frequent. Baum-Welch begins on a bounded sample in the driver, to
-part the states, and then takes `rounds` steps over all training texts: tasks run the scaled forward and backward
-recursions and give expected counts, which are summed over partitions by class. The last forward pass gives each text's likelihood.
+workers; only the others are joined, and none of those is frequent. Baum-Welch takes `rounds` steps from a fixed start, each
+over all training texts: tasks run the scaled forward and backward recursions and give expected counts, which are summed over
+partitions by class. The last forward pass gives each text's likelihood. Nothing depends on how the table is partitioned, but
+for the rounding of sums (1e-9 of a score in tests).
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_bucket, materialise, share_code, spread, table
@@ -62,9 +63,14 @@ class Hmm:
 
     @classmethod
     def begin(cls, states: int, frequency: np.ndarray) -> Hmm:
+        """Classes at their frequencies, each leaning to some of the states by dice of its place in the list.
+
+        States nearly always stay, so that a whole text's evidence parts them: three or four steps settle what takes over ten from
+        states that change freely.
+        """
         dice = np.random.default_rng(7)
-        emit = (frequency + 0.5)[:, None] * dice.uniform(0.5, 1.5, (len(frequency), states))
-        move = np.full((states, states), 1.0) + np.eye(states) * states
+        emit = (frequency + 0.5)[:, None] * dice.exponential(1.0, (len(frequency), states))
+        move = np.full((states, states), 1.0) + np.eye(states) * 1000
         return cls(np.full(states, 1.0 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
     @classmethod
@@ -117,7 +123,28 @@ def _arrays(column) -> list[np.ndarray]:
     return [np.frombuffer(x.as_py(), dtype="<u2").astype(np.int64) for x in column]
 
 
-def score(docs: DataFrame, states: int = 4, own: int = 8192, head: int = 100_000, rounds: int = 2, sample: int = 1500) -> DataFrame:
+def _bin(n: str) -> Column:
+    """Counts up to 128 each alone, above that 64 steps an octave: some 3,700 bins, whatever the corpus."""
+    octave = F.greatest(F.floor(F.log2(n)) - 6, F.lit(0))
+    return octave * 1000 + F.floor(F.col(n) / F.pow(F.lit(2.0), octave))
+
+
+def _thresholds(counts: DataFrame, *most: int) -> tuple[list[int], int, int]:
+    """For each of `most` the least count from which on at most so many words are left; how many words there are, and their tokens."""
+    bins = sorted((tuple(r) for r in counts.withColumn("bin", _bin("n")).groupBy("bin").agg(F.min("n"), F.count("*"), F.sum("n")).collect()), reverse=True)
+    out = []
+    for limit in most:
+        held, least = 0, 1 << 62
+        for _, low, k, _ in bins:
+            held += k
+            if held > limit:
+                break
+            least = low
+        out.append(least)
+    return out, sum(b[2] for b in bins), sum(b[3] for b in bins)
+
+
+def score(docs: DataFrame, states: int = 4, own: int = 8192, head: int = 100_000, rounds: int = 4) -> DataFrame:
     """docs: doc_id, text, held_out. Per document: n_tokens, n_known, train_tokens, base_score and score.
 
     Learns from rows whose held_out is false. Null and empty texts are the end alone. Repeated rows are texts of their own.
@@ -145,58 +172,42 @@ def score(docs: DataFrame, states: int = 4, own: int = 8192, head: int = 100_000
     training = docs.where(~F.col("held_out"))
     counts = materialise(training.select("text").mapInArrow(count, "word binary, n long, class int").groupBy("word", "class").agg(F.sum("n").alias("n")), "word-counts")
     texts = training.count()
-    by_count = sorted(((r[0], r[1]) for r in counts.groupBy("n").count().collect()), reverse=True)  # as many rows as there are different counts
-    total, kinds = sum(n * k for n, k in by_count) + texts, sum(k for _, k in by_count) + (texts > 0)
-
-    def least(most: int) -> int:
-        """The least count that at most so many words reach."""
-        held, least = 0, 1 << 62
-        for n, k in by_count:
-            held += k
-            if held > most:
-                break
-            least = n
-        return least
+    (own_from, head_from), kinds, total = _thresholds(counts, own, head)
+    total, kinds = total + texts, kinds + (texts > 0)
 
-    own_from, head_from = least(own), least(head)
-    frequent = sorted(((bytes(r[0]), r[1]) for r in counts.where(F.col("n") >= head_from).select("word", "n").collect()), key=lambda x: (-x[1], x[0]))
-    ids = {w: i for i, (w, n) in enumerate(frequent) if n >= own_from}
+    frequent = sorted(((bytes(r[0]), r[1], r[2]) for r in counts.where(F.col("n") >= head_from).select("word", "n", "class").collect()), key=lambda x: (-x[1], x[0]))
+    first = sum(n >= own_from for _, n, _ in frequent)  # the class behind those of frequent words
     shared = {r[0]: (r[1], r[2]) for r in counts.where(F.col("n") < own_from).groupBy("class").agg(F.sum("n"), F.count("*")).collect()}
-    end = len(ids) + SHARED
+    end = first + SHARED
     below = np.array([np.log10(shared.get(k, (0, 0))[0] + ADD * (shared.get(k, (0, 0))[1] + 1)) for k in range(SHARED)])  # log10 of a shared class's smoothed total
-    base = np.log10(total + ADD * (kinds + 1))
-    known = spark.sparkContext.broadcast((ids, dict(frequent)))
+    base = float(np.log10(total + ADD * (kinds + 1)))
+    # by rank: the word's class, log10 of its smoothed count, and that of its share of a shared class
+    logs = np.log10(np.array([n for _, n, _ in frequent], dtype=float) + ADD)
+    class_of = np.array([i if i < first else first + c for i, (_, _, c) in enumerate(frequent)], dtype="<u2")
+    share_of = np.array([0.0 if i < first else logs[i] - below[c] for i, (_, _, c) in enumerate(frequent)])
+    known = spark.sparkContext.broadcast(({w: i for i, (w, _, _) in enumerate(frequent)}, class_of, logs, share_of))
 
     def index(batches):
-        ids, n_of = known.value
+        rank, class_of, logs, share_of = known.value
         uid = TaskContext.get().partitionId() << 33
-        first = len(ids)
         for b in batches:
             rows = []
             for doc, t, held in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), b.column(2).to_pylist()):
                 words = words_of(t.as_py())
-                classes = np.empty(len(words) + 1, dtype="<u2")
-                n_known, base_sum, own_sum, rare = int(texts > 0), float(np.log10(texts + ADD)), 0.0, []
-                tallies = Counter(words)
-                logs = {}
-                for w, k in tallies.items():
-                    n = n_of.get(w)
-                    i = ids.get(w)
-                    if i is None:
-                        s = shared_class(w)
-                        own_sum -= k * below[s]
-                        i = first + s
-                        if n is None:
-                            rare += [w] * k
-                        else:
-                            own_sum += k * float(np.log10(n + ADD))
-                    if n is not None:
-                        n_known += k
-                        base_sum += k * float(np.log10(n + ADD))
-                    logs[w] = i
-                classes[:-1] = [logs[w] for w in words]
-                classes[-1] = end
-                rows.append((uid, doc, held, len(words) + 1, n_known, base_sum - (len(words) + 1) * float(base), float(own_sum), classes.tobytes(), rare))
+                ranks = np.array([rank.get(w, -1) for w in words], dtype=np.int64)
+                seen = ranks >= 0
+                classes = np.full(len(words) + 1, end, dtype="<u2")
+                found = ranks[seen]
+                classes[:-1][seen] = class_of[found]
+                base_sum = float(np.log10(texts + ADD)) + float(logs[found].sum())
+                own_sum = float(share_of[found].sum())
+                rare = []
+                for i in np.flatnonzero(~seen).tolist():
+                    rare.append(words[i])
+                    s = shared_class(words[i])
+                    own_sum -= float(below[s])
+                    classes[i] = first + s
+                rows.append((uid, doc, held, len(words) + 1, int(texts > 0) + len(found), base_sum - (len(words) + 1) * base, own_sum, classes.tobytes(), rare))
                 uid += 1
             kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()))
             names = ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "own", "classes", "rare"]
@@ -207,17 +218,11 @@ def score(docs: DataFrame, states: int = 4, own: int = 8192, head: int = 100_000
     stored = materialise(docs.mapInArrow(index, schema), "indexed")
     learn = stored.where(~F.col("held_out")).select("classes")
 
-    # part the states on a sample, in short pieces
-    if texts:
-        rate = min(1.0, sample / texts)
-        some = [np.frombuffer(r[0], dtype="<u2").astype(np.int64) for r in stored.where(~F.col("held_out") & (F.pmod(F.xxhash64("uid"), F.lit(1_000_003)) < int(rate * 1_000_003) + 1)).select("classes").collect()]
-        pieces = [s[i : i + 128] for s in some for i in range(0, len(s), 128)][:20_000]
-        model = Hmm.begin(states, np.bincount(np.concatenate(pieces), minlength=end + 1).astype(float) if pieces else np.zeros(end + 1))
-        for _ in range(8 if pieces else 0):
-            model = Hmm.estimate(*model.expect(pieces))
-    else:
-        model = Hmm.begin(states, np.zeros(end + 1))
-
+    frequency = np.zeros(end + 1)
+    frequency[:first] = [n for _, n, _ in frequent[:first]]
+    frequency[first:end] = [shared.get(k, (0, 0))[0] for k in range(SHARED)]
+    frequency[end] = texts
+    model = Hmm.begin(states, frequency)
     for _ in range(rounds if texts else 0):
         sent = spark.sparkContext.broadcast(model)
 
