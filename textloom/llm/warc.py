@@ -1,7 +1,8 @@
 """WARC archives in Zstandard: one frame per record, behind a skippable frame that holds the dictionary.
 
 Files are written and read through pyarrow's file systems, so the shared folder may be local, S3, GCS or HDFS. A task
-writes archives of bounded size under names of its own partition; a task that runs again replaces them by the same bytes.
+writes archives of bounded size under names that no other attempt has, and gives those names; so of a task that runs twice (again, or
+speculatively) only the archives of the attempt whose rows Spark keeps are read, each with the records counted there.
 """
 
 from __future__ import annotations
@@ -151,16 +152,16 @@ def write_archives(records: DataFrame, folder: str, date: str = "2024-01-01T00:0
 
         fs, base = FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
-        part, serial, held, size, done = TaskContext.get().partitionId(), 0, [], 0, []
+        part, attempt, serial, held, size, done = TaskContext.get().partitionId(), uuid.uuid4().hex, 0, [], 0, []
 
         def flush():
             nonlocal serial, held, size
             if not held:
                 return
-            data, name = archive(held), f"{base}/part-{part:05d}-{serial:04d}.warc.zst"
-            with fs.open_output_stream(temp := f"{name}.{uuid.uuid4().hex}") as f:
+            data, name = archive(held), f"{base}/part-{part:05d}-{serial:04d}-{attempt}.warc.zst"
+            with fs.open_output_stream(f"{name}.tmp") as f:
                 f.write(data)
-            fs.move(temp, name)  # whole or not at all
+            fs.move(f"{name}.tmp", name)  # whole or not at all
             done.append((name, len(held), len(data)))
             serial, held, size = serial + 1, [], 0
 
