@@ -17,17 +17,27 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 def spread(df: DataFrame, *keys: str, per_core: int = 2) -> DataFrame:
     """Deal a table of few partitions over the cores; leave one that has enough as it is, without a shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.select(F.spark_partition_id()).distinct().count() >= per_core * cores:  # reads no column
+    spark = df.sparkSession
+    wanted = per_core * spark.sparkContext.defaultParallelism
+    full = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    # as planned, without a job: each file is a split at least, and large ones are cut
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if len(df._jdf.inputFiles()) >= wanted or size >= wanted * full:
         return df
-    return df.repartition(per_core * cores, *keys)
+    return df.repartition(wanted, *keys)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (as in tests)."""
+    """The folder that all executors share: spark.checkpoint.dir.
+
+    Where it is unset, one of our own if driver and executors are one process (as in tests), else an error: a folder of one
+    machine would hide what executors write from each other.
+    """
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="textloom-"))
         folder = sc.getCheckpointDir()
     return folder if "://" in folder or folder.startswith("file:") else f"file://{os.path.abspath(folder)}"
