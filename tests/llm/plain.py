@@ -123,3 +123,59 @@ def similar(texts, words=5, least=0.8):
             if n >= least * (len(sets[d]) + len(sets[other]) - n) and (a := root(d)) != (b := root(other)):
                 group[max(a, b)] = min(a, b)
     return {d: root(d) for d in sets}
+
+
+def hmm_scores(texts, held, begin, states, own, shared, shared_class, add, rounds):
+    """log10 probability of each text, word by word: classes, Baum-Welch and the recursion in plain loops. begin gives (start, move, emit)."""
+    from collections import Counter
+    from math import log10
+
+    words = [(t or "").encode().lower().split() for t in texts]
+    train = [w for w, h in zip(words, held) if not h]
+    n = Counter(x for w in train for x in w)
+    levels = sorted(set(n.values()), reverse=True)
+    least = 1 << 62
+    for level in levels:
+        if sum(v >= level for v in n.values()) > own:
+            break
+        least = level
+    ranked = sorted((w for w in n if n[w] >= least), key=lambda w: (-n[w], w))
+    number = {w: i for i, w in enumerate(ranked)}
+    rest = [[w for w in n if w not in number and shared_class(w) == c] for c in range(shared)]
+    smooth = [sum(n[w] for w in r) + add * (len(r) + 1) for r in rest]
+    end = len(ranked) + shared
+    frequency = [n[w] for w in ranked] + [sum(n[w] for w in r) for r in rest] + [len(train)]
+    cls = lambda w: number.get(w, len(ranked) + shared_class(w))
+    share = lambda w: 1.0 if w in number else (n[w] + add) / smooth[shared_class(w)]
+    start, move, emit = ([*map(float, x)] if i == 0 else [[*map(float, y)] for y in x] for i, x in enumerate(begin(frequency)))
+
+    def forward(seq):
+        a, scales = [], []
+        for t, c in enumerate(seq):
+            now = [(start[s] if t == 0 else sum(a[-1][r] * move[r][s] for r in range(states))) * emit[c][s] for s in range(states)]
+            scales.append(sum(now))
+            a.append([x / scales[-1] for x in now])
+        return a, scales
+
+    for _ in range(rounds):
+        es, em, ee = [0.1] * states, [[0.1] * states for _ in range(states)], [[0.01] * states for _ in emit]
+        for w in train:
+            seq = [*map(cls, w), end]
+            a, scales = forward(seq)
+            b = [1.0] * states
+            for t in range(len(seq) - 1, -1, -1):
+                for s in range(states):
+                    ee[seq[t]][s] += a[t][s] * b[s]
+                    if t == 0:
+                        es[s] += a[0][s] * b[s]
+                if t:
+                    ahead = [emit[seq[t]][s] * b[s] / scales[t] for s in range(states)]
+                    for r in range(states):
+                        for s in range(states):
+                            em[r][s] += a[t - 1][r] * move[r][s] * ahead[s]
+                    b = [sum(move[r][s] * ahead[s] for s in range(states)) for r in range(states)]
+        start = [x / sum(es) for x in es]
+        move = [[x / sum(r) for x in r] for r in em]
+        totals = [sum(r[s] for r in ee) for s in range(states)]
+        emit = [[r[s] / totals[s] for s in range(states)] for r in ee]
+    return [sum(log10(x) for x in forward([*map(cls, w), end])[1]) + sum(log10(share(x)) for x in w) for w in words]
