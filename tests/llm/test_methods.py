@@ -150,3 +150,23 @@ def test_only_small_tables_are_dealt(spark):
     spark.range(100).repartition(16).write.parquet(many)
     plan = lambda p: spread(spark.read.parquet(p))._jdf.queryExecution().toString()
     assert "Exchange" in plan(few) and "Exchange" not in plan(many)
+
+
+def test_bitmaps_never_drop_a_similar_pair():
+    dice = np.random.default_rng(6)
+    sets, pairs, wanted, dropped = [], [], [], 0
+    for _ in range(1500):
+        n = int(dice.integers(1, dice.choice([8, 70, 300, 3000])))
+        a = np.unique(dice.integers(0, 1 << 64, n, dtype=np.uint64))
+        gone = int(dice.integers(0, n // 3 + 1))
+        b = np.unique(np.concatenate([dice.permutation(a)[gone:], dice.integers(0, 1 << 64, int(dice.integers(0, gone + 1)), dtype=np.uint64)]))
+        if not len(b):
+            continue
+        common = len(np.intersect1d(a, b))
+        pairs.append((len(sets), len(sets) + 1))
+        wanted.append(common >= 0.8 * (len(a) + len(b) - common))
+        sets += [a, b]
+    i, j = np.array(pairs).T
+    kept = similar.plausible(np.array([len(x) for x in sets]), [similar.bitmap(x) for x in sets], i, j, 0.8)
+    wanted = np.array(wanted)
+    assert kept[wanted].all() and (~kept[~wanted]).mean() > 0.5

@@ -2,16 +2,22 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from textloom.functions import rules, text
 from textloom.operators import bpe, lines, ngrams, overlap, selection
-from textloom.plans.runs import inner_sd
 from textloom.sources import corpus
 
 SF = "/root/testdata/sf0.001"
 
 
+def inner_sd(values):
+    mean = math.fsum(values) / len(values)
+    return math.sqrt(math.fsum((v - mean) ** 2 for v in values) / (len(values) - 1))
+
+
 def docs(spark, *texts):
     return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
 
@@ -49,25 +55,35 @@ def test_probabilities_sum_to_one(spark, order):
         assert p == pytest.approx(1)
 
 
+def glued(word, pair):
+    """A word's pieces with each occurrence of the pair made one, from the left; by text, with a mark between pieces."""
+    text = "\0" + "\0".join(word) + "\0"
+    while (at := text.find("\0" + "\0".join(pair) + "\0")) >= 0:
+        end = at + 1 + len(pair[0])
+        text = text[: at + 1] + "\1" + text[at + 1 : end] + text[end + 1 :]  # \1 keeps a made piece from being taken again
+    return [x.strip("\1") for x in text.strip("\0").split("\0")]
+
+
 def slow_merges(texts, how_many):
-    words = [list(t) for t in texts]
-    out = []
-    for _ in range(how_many):
+    words, out = [list(t) for t in texts], []
+    while len(out) < how_many:
         n = Counter(p for w in words for p in zip(w, w[1:]))
         if not n or max(n.values()) < 2:
             break
-        best = max(n, key=lambda p: (n[p], p))
-        out.append(best)
-        words = [bpe.merged(w, *best) for w in words]
-    return out
+        out.append(max(n, key=lambda p: (n[p], p)))
+        words = [glued(w, out[-1]) for w in words]
+    return out, words
 
 
 def test_merges_by_recount(spark):
     dice = random.Random(3)
     chunks = ["".join(dice.choice("aab c’_.") for _ in range(dice.randint(1, 14))).strip() or "a" for _ in range(60)]
     counted = spark.createDataFrame(list(Counter(chunks).items()), "chunk string, n long")
-    assert bpe.learn(counted, 30) == slow_merges(chunks, 30)
-    assert bpe.learn(spark.createDataFrame([("aaabdaaabac", 1)], "chunk string, n long"), 3) == [("a", "a"), ("aa", "a"), ("aaa", "b")]
+    merges, words = slow_merges(chunks, 30)
+    assert bpe.learn(counted, 30) == merges
+    coded = {r.chunk: r.pieces for r in bpe.encode_chunks(counted.select("chunk"), merges).collect()}
+    assert [coded[c] for c in chunks] == words
+    assert bpe.learn(spark.createDataFrame([("xyxyxyz", 2), ("xxxx", 1)], "chunk string, n long"), 9) == [("x", "y"), ("xy", "xy"), ("x", "x"), ("xyxy", "xy"), ("xyxyxy", "z")]
     pairs = {(r[0], r[1]): r[2] for r in bpe.pair_counts(counted).collect()}
     assert pairs == Counter(p for c in chunks for p in zip(c, c[1:]))
 
@@ -90,8 +106,47 @@ def test_test_set_is_locked(spark):
 def test_longest_copy(spark):
     lifted = "q".join(f"{i * 7919 % 1000:03d}" for i in range(100))
     held = docs(spark, "zz" + lifted[50:350] + "##")
-    assert overlap.longest(held, docs(spark, "other", lifted)) == 300
-    assert overlap.longest(docs(spark, "???"), docs(spark, "abc")) == 0
+    assert overlap.longest(held, docs(spark, "other", lifted)) == (300, 0, 2)
+    assert overlap.longest(docs(spark, "???"), docs(spark, "abc")) == (0, None, None)
+    assert overlap.longest(docs(spark, "??", "xab", "ab"), docs(spark, "abc")) == (2, 1, 1)
+
+
+@pytest.mark.parametrize("part", [7, 64, 1_000_000])
+def test_hashed_windows_are_the_windows(spark, monkeypatch, part):
+    """Equal hashes for equal windows and for no others, wherever long texts are cut; in this process, so that the cut can be moved."""
+    dice = random.Random(part)
+    texts = ["", None, "ab", "".join(dice.choice("abé") for _ in range(300)), "".join(dice.choice("ab") for _ in range(63 + 20)), "𝔘" * 70]
+    monkeypatch.setattr(overlap, "PART", part)
+    seen = {}
+    for rows, begins, nexts, codes in overlap._parts(texts, 20):
+        for row, begin, behind, code in zip(rows, begins, nexts, codes):
+            sums = overlap.Sums(code)
+            for w in (1, 3, 20):
+                at = np.arange(max(0, min(len(code) - w + 1, behind - begin)))
+                for i, h, g in zip(at.tolist(), sums.hashes(at, w, 0).tolist(), sums.hashes(at, w, 1).tolist()):
+                    assert (row, begin + i, w) not in seen
+                    seen[row, begin + i, w] = (h, g)
+    want = {(row, i, w): t[i : i + w] for row, t in enumerate(texts) for w in (1, 3, 20) for i in range(len(t or "") - w + 1)}
+    assert set(seen) == set(want)
+    by_text = defaultdict(set)
+    for k, text in want.items():
+        by_text[text].add(seen[k])
+    assert all(len(v) == 1 for v in by_text.values()) and len({x for v in by_text.values() for x in v}) == len(by_text)
+
+
+@pytest.mark.parametrize("most", [0, 1 << 23])
+def test_shared_windows_by_text(spark, monkeypatch, most):
+    """With and without the bitmap."""
+    monkeypatch.setattr(overlap, "MOST", most)
+    dice = random.Random(2)
+    text = lambda n: "".join(dice.choice("ab ") for _ in range(n))
+    held, rest = [text(60) for _ in range(8)], [text(80) for _ in range(8)]
+    got = sorted(tuple(r) for r in overlap.shared(docs(spark, *held), docs(spark, *rest), [5, 8, 11], "doc_id").collect())
+    assert got == sorted((d, i, w) for d, t in enumerate(held) for w in (5, 8, 11) for i in range(len(t) - w + 1) if any(t[i : i + w] in r for r in rest))
+    both = held + rest
+    for r in overlap.held_elsewhere(docs(spark, *both), [5, 8], "doc_id").collect():
+        at = [(d, t[i : i + r.width]) for d, t in enumerate(both) for i in range(len(t) - r.width + 1)]
+        assert (r.windows, r.shared) == (len(at), sum(any(x in t for e, t in enumerate(both) if e != d) for d, x in at))
 
 
 def test_labels(spark):
@@ -112,12 +167,20 @@ def test_window_plan_scores_each_target_once():
             assert sorted(seen) == list(range(n))
 
 
-def test_next_length():
-    assert rules.next_length({}) == 5000
-    assert rules.next_length({5000: (1.78, 4900)}) == 10_000
-    assert rules.next_length({5000: (1.78, 4900), 10_000: (1.77, 9000)}) is None
-    assert rules.next_length({5000: (1.78, 100), 10_000: (1.78, 9000)}) == 2500
-    assert rules.next_length({5000: (1.0, 4999), 1250: (1.0, 0), 10_000: (1.0, 9999)}) == 625
+def test_next_length(spark):
+    cases = [
+        ({}, 5000), ({5000: (1.78, 4900)}, 10_000), ({5000: (1.78, 4900), 10_000: (1.77, 9000)}, None), ({5000: (1.78, 100), 10_000: (1.78, 9000)}, 2500),
+        ({5000: (1.0, 4999), 1250: (1.0, 0), 10_000: (1.0, 9999)}, 625), ({5000: (2.0, 4999), 10_000: (1.5, 9999)}, 20_000), ({5000: (2.0, 4999), 10_000: (1.5, 9999), 20_000: (1.6, 5000)}, None),
+        ({10_000: (1.5, 10)}, 5000), ({5000: (2.0, 10), 10_000: (2.0, 10), 2500: (2.0, 10), 1250: (2.0, 10), 625: (2.0, 1)}, None),
+    ]
+    for tried, want in cases:
+        rows = spark.createDataFrame([(n, *x) for n, x in tried.items()], "steps int, best double, best_step int")
+        assert rules.next_length(rows).first()[0] == want, tried
+
+
+def test_learning_rate(spark):
+    got = [r[0] for r in spark.range(0, 31, 5).select(rules.learning_rate(F.col("id"), 10, 30, 1.0, 0.1)).collect()]
+    assert got == pytest.approx([0.1, 0.6, 1.0, 0.1 + 0.45 * (1 + math.cos(math.pi / 4)), 0.55, 0.1 + 0.45 * (1 + math.cos(math.pi * 3 / 4)), 0.1])
 
 
 def test_bootstrap_of_equal_blocks(spark):
@@ -135,10 +198,12 @@ def test_pooled_sd(spark):
 
 def test_normaliser():
     alphabet = frozenset("abcdefghijklmnopqrstuvwxyz ’“”—\n")
-    assert text.normalised('say "hi" it\'s', alphabet) == "say “hi” it’s"
-    assert text.normalised("a\r\nb\tc­ –", alphabet) == "a\nb c —"
-    for bad in ("ñ", "", "  "):
-        with pytest.raises(ValueError):
+    assert text.normalised('say "hi" it\'s', alphabet) == ("say “hi” it’s", ["a straight double quote became “", "a straight double quote became ”", "\"'\" (apostrophe, U+0027) became '’' (right single quotation mark, U+2019)"])
+    assert text.normalised("a\r\nb\tc\xad –  ", alphabet)[0] == "a\nb c —"
+    assert text.normalised("a\u200b\"", alphabet)[0] == "a”" and text.normalised('"', alphabet | {'"'}) == ('"', [])  # the alphabet is asked first
+    assert text.normalised("a ", alphabet) == ("a", ["1 trailing space(s) removed"])
+    for bad, why in (("ñ", "nearest letter there is 'n'"), ("日", "not in the alphabet$"), ("", "empty"), ("  ", "empty")):
+        with pytest.raises(ValueError, match=why):
             text.normalised(bad, alphabet)
 
 

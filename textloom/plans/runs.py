@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,7 +112,7 @@ def _(spark, sf_dir):
 
 @query("q_next_length", f"WITH {TRIED_SQL} SELECT max(steps) // 2 AS next_length FROM t WHERE best_step < steps * 2 / 3 AND steps // 2 >= 625 AND steps // 2 NOT IN (SELECT steps FROM t)")
 def _(spark, sf_dir):
-    return spark.createDataFrame([(rules.next_length(TRIED),)], "next_length long")
+    return rules.next_length(spark.createDataFrame([(n, *x) for n, x in TRIED.items()], "steps int, best double, best_step int"))
 
 
 @query("q_verdict", "WITH v(train, held) AS (VALUES (66, 40), (44, 0), (50, 25), (50, 26), (49, 39), (49, 38), (30, 45)) SELECT train, held, CASE WHEN train >= 50 AND train >= 2 * held THEN 'recites' WHEN train < 50 AND train - held <= 10 THEN 'does not recite' ELSE 'between' END AS verdict FROM v")
@@ -197,11 +195,3 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     blocks = _arms(spark, sf_dir).select("doc_id", "block", "chars", (F.col("bits3") - F.col("bits2")).alias("bits"))
     return _round(selection.bootstrap(blocks, 1000), "low", "high")
-
-
-def inner_sd(values: list[float]) -> float | None:
-    """Sample deviation for checks by hand; None of fewer than two."""
-    if len(values) < 2:
-        return None
-    mean = math.fsum(values) / len(values)
-    return math.sqrt(math.fsum((v - mean) ** 2 for v in values) / (len(values) - 1))

@@ -16,6 +16,8 @@ from .registry import D, T, chars_sql, chunks_sql, lines_sql, query, windows_sql
 
 WIDTHS = [20, 25, 30, 40, 50, 60, 80, 100]
 ORDER = 4
+#: As many as a vocabulary of 4,096 takes.
+MERGES = 3998
 
 
 def _train(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,14 +189,14 @@ def _(spark, sf_dir):
 
 @query("q_bpe_merges")
 def _(spark, sf_dir):
-    merges = bpe.learn(bpe.chunk_counts(_train(spark, sf_dir)), 200)
+    merges = bpe.learn(bpe.chunk_counts(_train(spark, sf_dir)), MERGES)
     return spark.createDataFrame([(i, a, b, a + b) for i, (a, b) in enumerate(merges)], "rank int, left string, right string, piece string")
 
 
 @query("q_bpe_encode")
 def _(spark, sf_dir):
     held = corpus.load_set(spark, sf_dir, "validation")
-    coded = bpe.encode(held, bpe.learn(bpe.chunk_counts(_train(spark, sf_dir)), 200))
+    coded = bpe.encode(held, bpe.learn(bpe.chunk_counts(_train(spark, sf_dir)), MERGES))
     return coded.groupBy("doc_id").agg(F.sum(F.size("pieces")).alias("n_tokens"), F.sum(F.length("chunk")).alias("n_chars"))
 
 
@@ -202,7 +204,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     train = _train(spark, sf_dir)
     counted = bpe.chunk_counts(train).cache()
-    merges = bpe.learn(counted, 200)
+    merges = bpe.learn(counted, MERGES)
     used = counted.join(bpe.encode_chunks(counted, merges), "chunk").select("n", F.explode("pieces").alias("token")).groupBy("token").agg(F.sum("n").alias("n"))
     vocab = characters(train).select(F.col("ch").alias("token")).distinct().unionAll(spark.createDataFrame([(a + b,) for a, b in merges], "token string")).distinct()
     n = F.coalesce("n", F.lit(0))
@@ -213,7 +215,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """The ways that merges cut each of the 20 most frequent words (with the space before it)."""
     counted = bpe.chunk_counts(_train(spark, sf_dir)).cache()
-    coded = bpe.encode_chunks(counted, bpe.learn(counted, 200)).join(counted, "chunk")
+    coded = bpe.encode_chunks(counted, bpe.learn(counted, MERGES)).join(counted, "chunk")
     word = F.trim("chunk")
     cuts = coded.where(F.regexp_like("chunk", F.lit(r"^ ?\p{Ll}{3,}$"))).groupBy(word.alias("word")).agg(F.count_distinct(F.array_join(F.transform("pieces", lambda x: F.trim(x)), "|")).alias("ways"), F.sum("n").alias("n"))
     return cuts.orderBy(F.desc("n"), "word").limit(20)
@@ -358,18 +360,18 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     alphabet = frozenset(map(chr, range(32, 127))) | frozenset("\n’“”—éàèçäöüßñóí") - {'"', "'"}
 
-    @F.pandas_udf("struct<fed: string, refused: string>")
+    @F.pandas_udf("struct<fed: string, notes: array<string>, refused: string>")
     def one(prompt: pd.Series) -> pd.DataFrame:
         rows = []
         for p in prompt:
             try:
-                rows.append((normalised(p, alphabet), None))
+                rows.append((*normalised(p, alphabet), None))
             except ValueError as e:
-                rows.append((None, str(e)))
-        return pd.DataFrame(rows, columns=["fed", "refused"])
+                rows.append((None, [], str(e)))
+        return pd.DataFrame(rows, columns=["fed", "notes", "refused"])
 
     turns = corpus.dealt(corpus.table(spark, sf_dir, "conversations")).select("conv_id", "turn", one("text").alias("x"))
-    return turns.select("conv_id", "turn", "x.fed", "x.refused")
+    return turns.select("conv_id", "turn", "x.fed", F.array_join("x.notes", "; ").alias("notes"), "x.refused")
 
 
 @query("q_compress")
@@ -537,9 +539,9 @@ def _(spark, sf_dir):
     return own.join(have, "piece", "left").agg(F.count("*").alias("windows"), F.count("hit").alias("matched"))
 
 
-@query("q_loo_overlap", "WITH " + ", ".join(windows_sql(f"a{w}", "documents", "doc_id", w) for w in (30, 50, 100)) + " " + " UNION ALL ".join(f"SELECT {w} AS width, sum(n)::BIGINT AS windows, coalesce(sum(n) FILTER (WHERE x <> y), 0)::BIGINT AS shared FROM (SELECT count(*) AS n, min(doc_id) AS x, max(doc_id) AS y FROM a{w} GROUP BY piece)" for w in (30, 50, 100)))
+@query("q_loo_overlap", "WITH " + ", ".join(windows_sql(f"a{w}", "documents", "doc_id", w) for w in WIDTHS) + " " + " UNION ALL ".join(f"SELECT {w} AS width, sum(n)::BIGINT AS windows, coalesce(sum(n) FILTER (WHERE x <> y), 0)::BIGINT AS shared FROM (SELECT count(*) AS n, min(doc_id) AS x, max(doc_id) AS y FROM a{w} GROUP BY piece)" for w in WIDTHS))
 def _(spark, sf_dir):
-    return overlap.held_elsewhere(corpus.documents(spark, sf_dir), [30, 50, 100], "doc_id")
+    return overlap.held_elsewhere(corpus.documents(spark, sf_dir), WIDTHS, "doc_id")
 
 
 @query("q_leak", f"""WITH {windows_sql('a', 'benchmark', 'item_id', 50)}, {windows_sql('b', 'documents', 'doc_id', 50)}, fa AS (SELECT item_id, piece, min(pos) AS pa FROM a GROUP BY ALL), fb AS (SELECT doc_id, piece, min(pos) AS pb FROM b WHERE piece IN (SELECT piece FROM a) GROUP BY ALL),
@@ -554,4 +556,4 @@ def _(spark, sf_dir):
 @query("q_longest_copy")
 def _(spark, sf_dir):
     held, rest = _held_and_rest(spark, sf_dir)
-    return spark.createDataFrame([(overlap.longest(held, rest),)], "longest int")
+    return spark.createDataFrame([overlap.longest(held, rest)], "longest int, doc_id long, pos long")

@@ -16,8 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
     """A table of few partitions over all cores, before its texts are taken apart; one that has enough stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.select(F.spark_partition_id()).distinct().count() >= cores else df.repartition(cores, *keys)
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    # as planned, without a job: each file is a split at least, and large ones are cut
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    enough = len(df._jdf.inputFiles()) >= cores or size >= cores * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df if enough else df.repartition(cores, *keys)
 
 
 def split_of(doc_id: str = "doc_id"):
