@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from textloom.llm import hmm, packing, similar, simhash, tokens, warc
+from textloom.llm import hmm, packing, similar, simhash, token_counts, tokens, warc
 from textloom.llm.common import fresh, spread
 
 SF = "/root/testdata/sf0.001"
@@ -31,6 +31,33 @@ def test_packing_of_long_white_space(spark):
     assert got[0] == got[1] == len(Tokenizer.from_file(BYTES).encode(" " * 1_000_000 + "x", add_special_tokens=False).ids) + 1
 
 
+# ---- token counts
+
+
+@pytest.mark.parametrize("name", ["periodic", "periods", "letters", "wide", "mixed"])
+def test_long_texts_without_white_space(name):
+    """Chunks whose maps are not constant: phases that never meet, and characters of many kinds and bytes across the cuts."""
+    dice = random.Random(3)
+    wide = [chr(c) for c in range(0x4E00, 0x9FA5)]
+    text = {
+        "periodic": "x" * 100_001, "periods": "".join(x * dice.randint(1, 3000) for x in ("abc", "x", "don't", "é", "日本", "'s") * 20), "letters": "".join(dice.choice("etaoinsh") for _ in range(20_000)),
+        "wide": "".join(dice.choice(wide) for _ in range(20_000)), "mixed": "".join(dice.choice(["e", "t", "é", "日", "𝔘", "ß", "İ", "'", "1", ".", "\u3000", "\u00a0", "<|endoftext|>"] + ["th"] * 30) for _ in range(20_000)),
+    }[name]
+    lib = Tokenizer.from_file(WORDS)
+    texts = [text, "a b", text[1:], "", text[: len(text) // 2]]
+    assert token_counts.Transducer(WORDS).counts(texts).tolist() == [len(lib.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_tables_have_bounded_room():
+    """20,000 kinds of characters; and hardly any room, so that states are dropped in the middle of a text."""
+    dice, lib = random.Random(4), Tokenizer.from_file(WORDS)
+    wide = "".join(chr(dice.randrange(0x4E00, 0x9FA5)) for _ in range(40_000))
+    for most, text in ((30_000, wide), (300, "".join(dice.choice("etaoin é") for _ in range(9000)) + "x" * 2000)):
+        machine = token_counts.Transducer(WORDS, most=most)
+        assert machine.counts([text]).tolist() == [len(lib.encode(text, add_special_tokens=False).ids)]
+        assert len(machine.next) <= max(most, 1024) * 256 and machine.most == most
+
+
 # ---- SimHash
 
 

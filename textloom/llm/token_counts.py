@@ -1,20 +1,22 @@
 """Token counts by a finite-state compilation of a tokenizer.
 
-The tokenizer (BPE with word ends behind a regular-expression split) becomes a deterministic transducer over characters.
-Its transitions carry the number of tokens that are certain once the character is read; reading a text and adding them up
-gives the count, with no token ever built.
+The tokenizer (BPE with word ends behind a regular-expression split) becomes a deterministic transducer over UTF-8 bytes. Its
+transitions carry the number of tokens that are certain once the byte is read; reading a text and adding them up gives the count, with no
+token ever built.
 
 A state inside a word holds what BPE may still do: for each recent position at which a longer token could have begun, the
 last token before it, and the count there. This is finite, since tokens are, and exact: a sequence of tokens is BPE's own
 if and only if each two neighbours are what BPE makes of their joined text, so each position has one last token, found
 from those states alone. Around it lies the split: letters run together, digits stand alone, other characters run together,
-and an apostrophe at the start of a word may begin one of the contractions. States and transitions are made when first met
-and kept by the worker.
-
-Texts are laid end to end and cut into chunks that all step at once. A chunk's state map is constant behind its first
-white space: it ends in one state whatever it began in. So a first pass runs all chunks from an unknown state; a scan then
-composes the maps (the incoming state of a chunk is its predecessor's constant, or, behind a chunk without white space, its
-predecessor's image), and a second pass fills in the counts before each first white space.
+and an apostrophe at the start of a word may begin one of the contractions; bytes of a character that is not whole yet are held.
+States and transitions are made when first met and kept by the worker, 256 cells a state; beyond `most` states all but those in use are
+dropped.
+
+Texts are laid end to end and cut into chunks that all step at once, from an unknown state, which the first white space ends. So
+most chunks' state maps are constant behind it, and what they got from their predecessor decides the count up to there only. A chunk
+without white space has a real map: it is taken for the states that may come in, which are those that its predecessor's map
+gives, and to begin with the state behind its predecessor's last bytes. All chunks are taken at once, until no map gives a state
+that its successor lacks. The maps are then composed by doubling: in each step of the scan, spans of composed maps become twice as long.
 """
 
 from __future__ import annotations
@@ -34,17 +36,23 @@ SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 CONTRACTIONS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
 BETWEEN, UNKNOWN = 0, 1
-#: A code beyond Unicode, for a special token's place in a text.
-SPECIAL = 0x110000
-CHUNK = 512
+#: A byte that UTF-8 never has, for a special token's place in a text.
+SPECIAL = 0xFF
+#: Bytes of a chunk; bytes before a chunk that a guess of its incoming state reads; rounds of maps taken for all chunks at once.
+CHUNK, BEHIND, ROUNDS = 512, 48, 8
+
+
+class Full(Exception):
+    """No room for another state."""
+
 
 _compiled: dict[str, Transducer] = {}
 
 
 class Transducer:
-    """counts(texts) gives the tokens of each text. most: states kept before the tables start anew."""
+    """counts(texts) gives the tokens of each text. most: states that tables have room for, 1.5 KB each."""
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, models, normalizers
 
@@ -66,9 +74,7 @@ class Transducer:
         self.begins = {t[:i] for t in self.tokens[0] | self.tokens[1] for i in range(len(t))} | self.tokens[1]
         self.special = [x["content"] for x in spec["added_tokens"]]
         self.fits: dict = {}
-        self.codes = np.full(SPECIAL + 1, -1, dtype=np.int32)
-        self.classes: list[tuple] = []  # of each: the kinds and bytes of its characters
-        self.class_ids: dict[tuple, int] = {}
+        self.characters: dict[str, tuple] = {}  # of each: the kinds and bytes of what the library's own steps make of it
         self.most = most
         self.reset()
 
@@ -107,31 +113,52 @@ class Transducer:
     # ---- states
 
     def reset(self) -> None:
-        self.states: list = [("between",), ("unknown",)]
-        self.ids: dict = {s: i for i, s in enumerate(self.states)}
-        self.width = max(128, 1 << len(self.classes).bit_length())
-        self.next = np.full((4096, self.width), -1, dtype=np.int32)
-        self.emit = np.zeros((4096, self.width), dtype=np.uint16)
-
-    def class_of(self, code: int) -> int:
-        """A new character's class: what the library's own steps make of it."""
-        if code == SPECIAL:
-            kinds: tuple = (("X", b""),)
-        else:
+        self.states: list = []
+        self.ids: dict = {}
+        self.next = np.full(1024 * 256, -1, dtype=np.int32)
+        self.emit = np.zeros(1024 * 256, dtype=np.uint16)
+        self.blind = np.zeros(1024, dtype=bool)  # states that don't know their word
+        self.id_of((("between",), b""))
+        self.id_of((("unknown",), b""))
+
+    def id_of(self, state: tuple) -> int:
+        if state not in self.ids:
+            if len(self.states) >= self.most:
+                raise Full
+            if len(self.states) == len(self.blind):
+                room = min(len(self.blind), self.most - len(self.blind))
+                self.next = np.concatenate([self.next, np.full(room * 256, -1, dtype=np.int32)])
+                self.emit = np.concatenate([self.emit, np.zeros(room * 256, dtype=np.uint16)])
+                self.blind = np.concatenate([self.blind, np.zeros(room, dtype=bool)])
+            self.blind[len(self.states)] = state[0][0] == "unknown"
+            self.ids[state] = len(self.states)
+            self.states.append(state)
+        return self.ids[state]
+
+    def keep(self, *used: np.ndarray) -> None:
+        """Drop all states but those of these arrays, which are renumbered in place."""
+        old, kept = self.states, np.unique(np.concatenate([[BETWEEN, UNKNOWN], *used]))
+        if len(kept) * 2 > self.most:
+            self.most *= 2  # more in use than there is room for: chunks, not text, bound them
+        self.reset()
+        new = np.zeros(len(old), dtype=np.int64)
+        for i in kept.tolist():
+            new[i] = self.id_of(old[i])
+        for x in used:
+            x[:] = new[x]
+
+    def kinds(self, c: str) -> tuple:
+        if c not in self.characters:
+            if len(self.characters) > 200_000:
+                self.characters.clear()
             split = lambda s: [x for x, _ in self.library.pre_tokenizer.pre_tokenize_str(s)]
-            kinds = ()
-            for c in self.library.normalizer.normalize_str(chr(code)):
-                among, marks = split(f"a{c}a"), split(f"!{c}!")
+            out: tuple = ()
+            for x in self.library.normalizer.normalize_str(c):
+                among, marks = split(f"a{x}a"), split(f"!{x}!")
                 kind = "L" if len(among) == 1 else "S" if len(among) == 2 else "P" if len(marks) == 1 else "N"
-                kinds += ((kind, b"" if kind == "S" else c.encode()),)
-        if kinds not in self.class_ids:
-            self.class_ids[kinds] = len(self.classes)
-            self.classes.append(kinds)
-            if len(self.classes) > self.width:
-                more = np.full((len(self.next), self.width), -1, dtype=np.int32)
-                self.next, self.emit = np.hstack([self.next, more]), np.hstack([self.emit, np.zeros_like(more, dtype=np.uint16)])
-                self.width *= 2
-        return self.class_ids[kinds]
+                out += ((kind, b"" if kind == "S" else x.encode()),)
+            self.characters[c] = out
+        return self.characters[c]
 
     def step(self, state: tuple, kind: str, text: bytes) -> tuple[tuple, int]:
         """One character, by the split's rules."""
@@ -163,93 +190,141 @@ class Transducer:
         behind, more = self.step(behind, kind, text)
         return behind, n + more
 
-    def fill(self, state: int, cls: int) -> None:
-        if state == UNKNOWN:
-            to, n = (("between",) if self.classes[cls][-1][0] in "SX" else ("unknown",)), 0
+    def fill(self, state: int, byte: int) -> None:
+        """Make the transition."""
+        core, held = self.states[state]
+        n, kinds = 0, ()
+        if byte == SPECIAL:
+            held, kinds = b"", (("X", b""),)
+        elif byte < 0x80:
+            held, kinds = b"", self.kinds(chr(byte))
+        elif byte >= 0xC0 or held:  # else the rest of a character whose beginning lies before what is read
+            held = bytes([byte]) if byte >= 0xC0 else held + bytes([byte])
+            if len(held) == 2 + (held[0] >= 0xE0) + (held[0] >= 0xF0):
+                held, kinds = b"", self.kinds(held.decode())
+        if core[0] == "unknown":
+            core = ("between",) if kinds and kinds[-1][0] in "SX" else core
         else:
-            to, n = self.states[state], 0
-            for kind, text in self.classes[cls]:
-                to, more = self.step(to, kind, text)
+            for kind, text in kinds:
+                core, more = self.step(core, kind, text)
                 n += more
-        if to not in self.ids:
-            self.ids[to] = len(self.states)
-            self.states.append(to)
-            if len(self.states) > len(self.next):
-                self.next = np.vstack([self.next, np.full_like(self.next, -1)])
-                self.emit = np.vstack([self.emit, np.zeros_like(self.emit)])
-        self.next[state, cls], self.emit[state, cls] = self.ids[to], n
-
-    def move(self, states: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = states * self.width + classes
-        to = self.next.ravel().take(at)
+        to = self.id_of((core, held))
+        self.next[state * 256 + byte], self.emit[state * 256 + byte] = to, n
+
+    def move(self, states: np.ndarray, read: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = states * 256 + read
+        to = self.next.take(at)
         if to.min(initial=0) < 0:
             for i in np.unique(at[to < 0]).tolist():
-                self.fill(*divmod(i, self.width))
-            return self.move(states, classes)
-        return to, self.emit.ravel().take(at)
+                self.fill(*divmod(i, 256))
+            to = self.next.take(at)
+        return to, self.emit.take(at)
 
     # ---- texts
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text."""
-        if len(self.states) > self.most:
-            self.reset()
         parts, sizes = [], []
         for text in texts:
             pieces = [text]
-            for s in self.special:
-                pieces = [y for x in pieces for y in _between(x, s)]
+            for x in self.special:
+                pieces = [y for p in pieces for y in _between(p, x)]
             size = 1
             for x in pieces:
-                if x is None:
-                    code = np.array([SPECIAL], dtype=np.uint32)
-                else:
-                    code = np.frombuffer(x.encode("utf-32-le"), dtype=np.uint32)
-                    if not x.isascii() and code.max() >= 0x300:
-                        code = np.frombuffer(self.nfc(x).encode("utf-32-le"), dtype=np.uint32)
-                parts.append(code)
-                size += len(code)
-            parts.append(np.array([32], dtype=np.uint32))
+                raw = bytes([SPECIAL]) if x is None else x.encode()
+                if x is not None and not x.isascii() and max(raw) >= 0xCC:  # characters from U+0300 on
+                    raw = self.nfc(x).encode()
+                parts.append(raw)
+                size += len(raw)
+            parts.append(b" ")
             sizes.append(size)
         if not sizes:
             return np.zeros(0, dtype=np.int64)
-        codes = np.concatenate(parts)
-        pad = -len(codes) % CHUNK
-        codes = np.concatenate([codes, np.full(pad, 32, dtype=np.uint32)])
-        classes = self.codes.take(codes)
-        if classes.min() < 0:
-            for c in np.unique(codes[classes < 0]).tolist():
-                self.codes[c] = self.class_of(c)
-            classes = self.codes.take(codes)
-        emitted = self.scan(np.ascontiguousarray(classes.reshape(-1, CHUNK).T.astype(np.int64)))
+        total = sum(sizes)
+        read = np.frombuffer(b"".join(parts) + b" " * (-total % CHUNK), dtype=np.uint8)
+        emitted = self.scan(np.ascontiguousarray(read.reshape(-1, CHUNK).T.astype(np.int64)))
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        return np.add.reduceat(emitted.T.ravel()[: len(codes) - pad].astype(np.int64), starts)
+        return np.add.reduceat(emitted.T.ravel()[:total].astype(np.int64), starts)
 
-    def scan(self, classes: np.ndarray) -> np.ndarray:
-        """Tokens emitted at each place; classes: a column per chunk."""
-        steps, n = classes.shape
-        emitted = np.zeros(classes.shape, dtype=np.uint16)
+    def scan(self, read: np.ndarray) -> np.ndarray:
+        """Tokens emitted at each place, those of a chunk's part before its first white space at its first place; read: a column per chunk."""
+        steps, n = read.shape
+        emitted = np.zeros(read.shape, dtype=np.uint16)
         state = np.full(n, UNKNOWN, dtype=np.int64)
         state[0] = BETWEEN
+        head = np.full(n, steps - 1, dtype=np.int64)  # the last place that depends on what came in
+        unknown = np.arange(1, n)
         for t in range(steps):
-            to, emitted[t] = self.move(state, classes[t])
+            try:
+                to, emitted[t] = self.move(state, read[t])
+            except Full:
+                self.keep(state)
+                to, emitted[t] = self.move(state, read[t])
             state = to.astype(np.int64)
-        resets = np.array([x[-1][0] in "SX" for x in self.classes])[classes]
-        head = np.where(resets.any(axis=0), resets.argmax(axis=0), steps - 1)  # the last place that depends on what came in
-        ready = np.flatnonzero(state[:-1] != UNKNOWN) + 1
-        while len(ready):  # chunks whose incoming state is known, all at once
-            image = state[ready - 1]
-            live = np.arange(len(ready))
-            for t in range(int(head[ready].max()) + 1):
-                live = live[head[ready[live]] >= t]
-                to, emitted[t, ready[live]] = self.move(image[live], classes[t, ready[live]])
-                image[live] = to
-            through = state[ready] == UNKNOWN  # no white space: the image is what the next chunk gets
-            state[ready[through]] = image[through]
-            ready = ready[through] + 1
-            ready = ready[ready < n]
+            if len(unknown):
+                still = self.blind[state[unknown]]
+                head[unknown[~still]] = t
+                unknown = unknown[still]
+        if n > 1:
+            through = np.zeros(n, dtype=bool)
+            through[unknown] = True
+            chunk, count = self.heads(read, state, head, through)
+            emitted[0, chunk] += count.astype(np.uint16)
         return emitted
 
+    def walk(self, read: np.ndarray, chunk: np.ndarray, state: np.ndarray, first: int, last: np.ndarray, *used: np.ndarray) -> np.ndarray:
+        """From these states (which become those behind) over places first to last of these chunks; the tokens emitted."""
+        count, live = np.zeros(len(chunk), dtype=np.int64), np.arange(len(chunk))
+        for t in range(first, int(last.max(initial=-1)) + 1):
+            live = live[last[live] >= t]
+            try:
+                to, more = self.move(state[live], read[t, chunk[live]])
+            except Full:
+                self.keep(state, *used)
+                to, more = self.move(state[live], read[t, chunk[live]])
+            state[live] = to
+            count[live] += more
+        return count
+
+    def heads(self, read: np.ndarray, state: np.ndarray, head: np.ndarray, through: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Chunks from the second on, with the tokens of each up to its head."""
+        n = len(state)
+        steps = len(read)
+        after = np.flatnonzero(through[:-1]) + 1  # chunks whose incoming state takes a map
+        chunk = np.concatenate([np.flatnonzero(~through[:-1]) + 1, after])
+        guess = np.full(len(after), BETWEEN, dtype=np.int64)
+        self.walk(read, after - 1, guess, max(0, steps - BEHIND), np.full(len(after), steps - 1), state)
+        # nodes: a chunk and a state that may come in, with the state behind and the tokens
+        came = np.concatenate([state[chunk[: len(chunk) - len(after)] - 1], guess])
+        true = np.arange(len(chunk)) < len(chunk) - len(after)
+        gone = came.copy()
+        count = self.walk(read, chunk, gone, 0, head[chunk], came)
+        for turn in range(n + 1):
+            # where each node's map leads
+            key = chunk << 32 | came
+            order = np.argsort(key)
+            want = chunk + 1 << 32 | gone
+            at = np.minimum(np.searchsorted(key[order], want), len(key) - 1)
+            passes = through[chunk] & (chunk + 1 < n)
+            known = passes & (key[order][at] == want)
+            leads = np.where(known, order[at], -1)
+            reached, jump = true.copy(), leads.copy()
+            while (jump >= 0).any():  # spans of composed maps, twice as long each time
+                reached[jump[reached & (jump >= 0)]] = True
+                jump = np.where(jump >= 0, jump[jump], -1)
+            open_ends = passes & ~known & (reached if turn >= ROUNDS else True)
+            if not (open_ends & reached).any():
+                return chunk[reached], count[reached]
+            new = np.unique(want[open_ends])
+            to, begin = new >> 32, new & 0xFFFFFFFF
+            behind = begin.copy()
+            # renumbered together, if there is no room
+            old, been = gone, came
+            more = self.walk(read, to, behind, 0, head[to], begin, old, been)
+            chunk, came, gone = np.concatenate([chunk, to]), np.concatenate([been, begin]), np.concatenate([old, behind])
+            count, true = np.concatenate([count, more]), np.concatenate([true, np.zeros(len(to), dtype=bool)])
+        raise AssertionError("each turn reaches another chunk")
+
 
 def _between(text: str | None, special: str) -> list:
     """The stretches of a text around a special string, with None in its places."""
