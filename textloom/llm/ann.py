@@ -1,10 +1,15 @@
 """Nearest neighbours by inner product: multiprobe p-stable hashing.
 
-Vectors get one more component that brings all to the greatest norm, so that the largest inner product is the least distance. A table
-hashes a vector by `width` projections on normal vectors, cut into cells; a query visits cells around its own in the order
-of estimated success, which is that of the squared distances from its projections to the cells' borders. All of the 3^width
-perturbations by at most one cell are ordered at once. How many are visited is set on a bounded sample of queries: as many as find
-the wanted share of their true neighbours. Candidates of all tables are scored exactly, in double precision.
+Vectors get one more component that brings all to the greatest norm, and queries are brought to that norm, so that the largest inner
+product is the least distance. A table hashes a vector by `width` projections on normal vectors, cut into cells; a query visits cells
+around its own in the order of estimated success. A neighbour at distance r is off by a normal deviate of r in each projection,
+so the chance that it lies in a given cell is a product over the projections; all of the 3^width perturbations by at most one
+cell are ordered by it. Each query has its own r, that of its k-th neighbour as told by a bounded sample of the table, and visits as many
+cells as it takes to find such a neighbour with the wanted chance. So isolated queries visit more than those in a cluster.
+Candidates of all tables are scored exactly, in double precision.
+
+A query that all cells in reach would not give the wanted chance, and one that found fewer than k vectors, is compared with all vectors,
+in blocks.
 
 Equal vectors are one vector with its least ids, so copies weigh nothing. Buckets are dealt over slots, a large bucket over
 several; a task holds the vectors of its slots, one after the other, while the queries that probe them stream by.
@@ -12,6 +17,7 @@ several; a task holds the vectors of its slots, one after the other, while the q
 
 from __future__ import annotations
 
+import math
 from itertools import product
 
 import numpy as np
@@ -21,23 +27,36 @@ from pyspark.sql import functions as F
 
 from .common import materialise, share_code, spread, table
 
-#: Vectors of a bucket in one slot at most, vectors of a slot on average, queries scored at once.
-LARGE, SLOT, BLOCK = 4096, 8192, 256
+#: Vectors of a bucket in one slot at least, vectors of a slot on average, queries scored at once, large buckets that the driver holds.
+LARGE, SLOT, BLOCK, MOST = 4096, 8192, 256, 20_000
+
+
+def normal_share(z: np.ndarray) -> np.ndarray:
+    """The normal distribution function, to 1e-7 (a rational approximation of the error function)."""
+    x = np.abs(z) / np.sqrt(2)
+    t = 1 / (1 + 0.3275911 * x)
+    tail = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * np.exp(-x * x) / 2
+    return np.where(z > 0, 1 - tail, tail)
 
 
 class Hashing:
-    def __init__(self, dims: int, norm2: float, tables: int, width: int, cell: float, seed: int = 11):
+    """tables hashes of `width` projections each; norm: the greatest norm; cell: a cell's share of it."""
+
+    def __init__(self, dims: int, norm: float, tables: int, width: int, cell: float, seed: int = 11):
         dice = np.random.default_rng(seed)
-        self.norm2, self.cell = norm2, cell * float(np.sqrt(norm2))
+        self.norm, self.cell = norm, cell * norm
         self.lines = dice.normal(size=(tables, dims + 1, width))
         self.shift = dice.uniform(0, self.cell, size=(tables, width))
+        self.reach = np.linalg.norm(self.lines, axis=1) / math.sqrt(dims + 1)  # the deviation along each line of what lies at distance 1
         self.moves = np.array(list(product((0, -1, 1), repeat=width)), dtype=np.int64)  # the first stays
         self.tables, self.width = tables, width
-        self.probes, self.large, self.slots = len(self.moves), {}, 1
+        self.large, self.slots = {}, 1
 
     def project(self, x: np.ndarray, query: bool) -> np.ndarray:
         """Cells and places in them, by table, vector and projection."""
-        more = np.zeros(len(x)) if query else np.sqrt(np.maximum(0.0, self.norm2 - (x * x).sum(axis=1)))
+        if query:
+            x = x * (self.norm / np.linalg.norm(x, axis=1))[:, None]
+        more = np.zeros(len(x)) if query else np.sqrt(np.maximum(0.0, self.norm**2 - (x * x).sum(axis=1)))
         return (np.einsum("nd,tdk->tnk", np.column_stack([x, more]), self.lines) + self.shift[:, None]) / self.cell
 
     def keys(self, cells: np.ndarray) -> np.ndarray:
@@ -49,13 +68,24 @@ class Hashing:
         t = np.arange(self.tables, dtype=np.uint64).reshape(-1, *[1] * (key.ndim - 1))
         return ((key ^ t) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
 
-    def order(self, places: np.ndarray) -> np.ndarray:
-        """Perturbations by estimated success, of queries with these places in their cells."""
+    def chances(self, places: np.ndarray, distance: np.ndarray) -> np.ndarray:
+        """For each perturbation the chance that a vector at a query's distance lies there; by table, query and move. places: in the cells."""
         out = np.zeros((*places.shape[:-1], len(self.moves)))
         for k in range(self.width):
-            cost = np.stack([np.zeros_like(places[..., k]), (1 - places[..., k]) ** 2, places[..., k] ** 2], axis=-1)  # by a move of 0, 1, -1
-            out += cost[..., self.moves[:, k]]
-        return np.argsort(out, axis=-1, kind="stable")
+            at = places[..., k : k + 1]
+            sigma = np.maximum(1e-9, self.reach[:, k, None, None] * distance[:, None] / self.cell)
+            edges = normal_share((np.arange(-1, 3) - at) / sigma)  # of the cell below, the own one and the one above
+            share = np.log(np.maximum(1e-30, np.diff(edges, axis=-1)))[..., [1, 2, 0]]  # by a move of 0, 1, -1
+            out += share[..., self.moves[:, k]]
+        return np.exp(out)
+
+    def visits(self, places: np.ndarray, distance: np.ndarray, chance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Moves in the order of their chances, how many of them each table and query takes, and whether these are enough for each query."""
+        share = self.chances(places, distance)
+        order = np.argsort(-share, axis=-1, kind="stable")
+        total = np.cumsum(np.take_along_axis(share, order, axis=-1), axis=-1)
+        wanted = 1 - (1 - chance) ** (1 / self.tables)  # of each table alone
+        return order, (total < wanted).sum(axis=-1) + 1, (total[..., -1] >= wanted).all(axis=0)
 
     def slot(self, keys: np.ndarray, salt) -> np.ndarray:
         mixed = (keys.view(np.uint64) + np.uint64(salt) * np.uint64(0x632BE59BD9B4E019)) * np.uint64(0x9E3779B97F4A7C15)
@@ -75,33 +105,47 @@ def _best(scores: np.ndarray, kept: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(real)
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = 2, width: int = 8, cell: float = 2.0, recall: float = 0.96, sample: int = 128) -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = 2, width: int = 8, cell: float = 2.0, chance: float = 0.95, sample: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose vec_id is divisible by `every`.
 
     vectors: vec_id, embedding. Rows take no part if the id or the vector is null, the vector is empty, zero or holds null or
-    non-finite components, or has another length than most. A query's own id is no candidate of it; ties go to the smaller
-    id; with fewer candidates than k all are returned. Repeated rows count once. An empty table gives no rows.
+    non-finite components. Vectors of different lengths have no product: those of each length are searched apart. A query's own id is
+    no candidate of it; ties go to the smaller id; with fewer candidates than k all are returned. Products too large for a double are
+    infinite, and still in their order. Repeated rows count once. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     share_code(spark)
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda x: x != 0))
-    usable = usable.distinct()
-    lengths = usable.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").take(1)
-    none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not lengths:
-        return none
-    dims = lengths[0][0]
-    usable = materialise(usable.where(F.size("embedding") == dims), "vectors")
+    usable = materialise(usable.distinct(), "vectors")
+    is_query = F.col("vec_id") % every == 0
+    lengths = sorted(r[0] for r in usable.where(is_query).groupBy(F.size("embedding").alias("n")).count().collect())
+    if len(lengths) > 100:
+        raise ValueError("queries of over 100 lengths")
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for n in lengths:
+        out = out.unionAll(_search(usable.where(F.size("embedding") == n), is_query, n, k, tables, width, cell, chance, sample))
+    return out
+
+
+def _search(usable: DataFrame, is_query, dims: int, k: int, tables: int, width: int, cell: float, chance: float, sample: int) -> DataFrame:
+    """search() among usable vectors of one length."""
+    spark = usable.sparkSession
+    # components are brought below 1 by a power of two, so that no product overflows
+    power = math.frexp(usable.agg(F.max(F.array_max(F.transform("embedding", F.abs)))).first()[0])[1]
     # one row per distinct vector: its k + 1 least ids, and one of its query ids if it has any
     w = Window.partitionBy("embedding").orderBy("vec_id")
     least = usable.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k + 1).groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    asked = usable.where(F.col("vec_id") % every == 0).groupBy("embedding").agg(F.lit(True).alias("asked"))
-    distinct = materialise(least.join(asked, "embedding", "left").select(F.col("ids")[0].alias("id"), "embedding", "ids", F.coalesce("asked", F.lit(False)).alias("asked")), "distinct-vectors")
+    asked = usable.where(is_query).groupBy("embedding").agg(F.lit(True).alias("asked"))
+    by = [math.ldexp(1.0, power // 2), math.ldexp(1.0, power - power // 2)]  # in two steps, as one may not be a double
+    scaled = F.transform("embedding", lambda x: x / by[0] / by[1])
+    distinct = least.join(asked, "embedding", "left").select(F.col("ids")[0].alias("id"), scaled.alias("embedding"), "ids", F.coalesce("asked", F.lit(False)).alias("asked"))
+    distinct = materialise(distinct, "distinct-vectors")
     n, norm2 = distinct.agg(F.count("*"), F.max(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))).first()
-    hashing = Hashing(dims, norm2, tables, width, cell)
+    hashing = Hashing(dims, math.sqrt(norm2), tables, width, cell)
     distinct = spread(distinct)
-    _tune(hashing, distinct, k, recall, sample)
+    some = np.array([r[0] for r in distinct.select("embedding", "id").orderBy(F.xxhash64("id"), "id").limit(sample).collect()], dtype=np.float64)
+    near = min(len(some), 1 + -(-k * len(some) // n)) - 1  # the place in the sample of a k-th neighbour, behind the query itself if it is there
 
     held = spark.sparkContext.broadcast(hashing)
 
@@ -116,8 +160,9 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = 2, wi
                 yield pa.RecordBatch.from_arrays([pa.array(keys[t]), *b.columns], names=["key", "id", "embedding", "ids"])
 
     posted = distinct.select("id", "embedding", "ids").mapInArrow(index, "key long, id long, embedding array<double>, ids array<long>")
-    # only buckets of over LARGE vectors, a LARGE-th of the table at most
-    hashing.large = {r[0]: -(-r[1] // LARGE) for r in posted.groupBy("key").count().where(F.col("count") > LARGE).collect()}
+    # buckets that take more than one slot: MOST of them at most
+    large = max(LARGE, n * tables // MOST)
+    hashing.large = {r[0]: -(-r[1] // large) for r in posted.groupBy("key").count().where(F.col("count") > large).collect()}
     hashing.slots = max(2 * spark.sparkContext.defaultParallelism, n * tables // SLOT)
     held = spark.sparkContext.broadcast(hashing)
     rows = "slot long, probe boolean, id long, embedding array<double>, ids array<long>, keys array<long>"
@@ -132,19 +177,34 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = 2, wi
                 slots[salts == s] = h.slot(keys[salts == s], s)
             yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(np.zeros(len(keys), dtype=bool)), *b.columns[1:], pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32)), pa.array(keys))], names=["slot", "probe", "id", "embedding", "ids", "keys"])
 
+    def routed(part, take: list[int], slots: list[np.ndarray], wanted: list[np.ndarray]):
+        """Rows of queries: to which slot, and which keys it visits there (none: all)."""
+        taken = pa.array(np.array(take, dtype=np.int64))
+        offsets = np.concatenate([[0], np.cumsum([len(y) for y in wanted])]).astype(np.int32)
+        columns = [pa.array(np.concatenate(slots)), pa.array(np.ones(len(take), dtype=bool)), part.column(0).take(taken), part.column(1).take(taken), pa.nulls(len(take), pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(wanted)))], names=["slot", "probe", "id", "embedding", "ids", "keys"])
+
     def probe(batches):
         h = held.value
+        every_slot = np.arange(h.slots)
         for b in batches:
             for at in range(0, len(b.column(0)), 64):
                 part = b.slice(at, 64)
                 x = _slice(part.column(1))
+                unit = x * (h.norm / np.linalg.norm(x, axis=1))[:, None]
+                product = np.partition(-(unit @ some.T), near, axis=1)[:, near]
+                distance = np.sqrt(np.maximum(0.0, 2 * h.norm**2 + 2 * product))
                 where = h.project(x, True)
                 cells = np.floor(where)
-                order = h.order(where - cells)[..., : h.probes]
-                keys = h.keys(cells[:, :, None, :] + h.moves[order])
+                order, count, enough = h.visits(where - cells, distance, chance)
                 take, slots, wanted = [], [], []
                 for i in range(len(x)):
-                    own = np.unique(keys[:, i].ravel())
+                    if not enough[i]:
+                        take += [i] * h.slots
+                        slots.append(every_slot)
+                        wanted += [np.zeros(0, dtype=np.int64)] * h.slots
+                        continue
+                    own = np.unique(np.concatenate([h.keys(cells[:, i, None] + h.moves[order[t, i, : count[t, i]]])[t] for t in range(h.tables)]))
                     to = h.slot(own, 0)
                     more = [(j, h.slot(own[j : j + 1], s)[0]) for j, key in enumerate(own.tolist()) if key in h.large for s in range(1, h.large[key])] if h.large else []
                     own = np.concatenate([own, own[[j for j, _ in more]]]) if more else own
@@ -154,9 +214,15 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = 2, wi
                     take += [i] * len(each)
                     slots.append(each)
                     wanted += np.split(own[sort], first[1:])
-                taken = pa.array(take)
-                offsets = np.concatenate([[0], np.cumsum([len(y) for y in wanted])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(slots)), pa.array(np.ones(len(take), dtype=bool)), part.column(0).take(taken), part.column(1).take(taken), pa.nulls(len(take), pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(wanted)))], names=["slot", "probe", "id", "embedding", "ids", "keys"])
+                yield routed(part, take, slots, wanted)
+
+    def everywhere(batches):
+        h = held.value
+        for b in batches:
+            for at in range(0, len(b.column(0)), 64):
+                part = b.slice(at, 64)
+                m = len(part.column(0))
+                yield routed(part, np.repeat(np.arange(m), h.slots).tolist(), [np.arange(h.slots)] * m, [np.zeros(0, dtype=np.int64)] * m * h.slots)
 
     def scan(batches):
         slot, parts, found = None, [], None
@@ -182,18 +248,30 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = 2, wi
                     yield from _score(part.slice(at, BLOCK), *found, k)
 
     posted_rows = posted.mapInArrow(deal, rows)
-    probing = distinct.where("asked").select("id", "embedding").mapInArrow(probe, rows)
-    dealt = posted_rows.unionAll(probing).repartition(min(hashing.slots, 20_000), "slot").sortWithinPartitions("slot", "probe")
-    near = dealt.mapInArrow(scan, "query long, id long, score double, ids array<long>")
-    best = near.groupBy("query", "id").agg(F.first("score").alias("score"), F.first("ids").alias("ids"))
+
+    def scored(queries: DataFrame) -> DataFrame:
+        """query, id, score, ids: of each vector the best places, once."""
+        dealt = posted_rows.unionAll(queries).repartition(min(hashing.slots, 20_000), "slot").sortWithinPartitions("slot", "probe")
+        near = dealt.mapInArrow(scan, "query long, id long, score double, ids array<long>")
+        return near.groupBy("query", "id").agg(F.first("score").alias("score"), F.first("ids").alias("ids"))
+
+    asking = distinct.where("asked").select("id", "embedding")
+    best = materialise(scored(asking.mapInArrow(probe, rows)), "found")
+    # k + 1 ids, of which one may be the query's own
+    enough = best.groupBy("query").agg(F.sum(F.size("ids")).alias("n")).where(F.col("n") > k).select(F.col("query").alias("id"))
+    short = materialise(asking.join(enough, "id", "left_anti"), "short-queries")
+    if not short.isEmpty():
+        best = best.join(short.select(F.col("id").alias("query")), "query", "left_anti").unionAll(scored(short.mapInArrow(everywhere, rows)))
     flat = best.select("query", "score", F.explode("ids").alias("vec_id"))
     top = flat.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= k + 1)
     lists = top.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score"))).alias("found"))
-    named = distinct.where("asked").select("embedding", F.col("id").alias("query")).join(lists, "query")
-    queries = usable.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    named = distinct.where("asked").select(F.col("id").alias("query"), "ids", "embedding").join(lists, "query")
+    # by vector, since one may have very many ids
+    queries = usable.where(is_query).select(F.col("vec_id").alias("query_id"), scaled.alias("embedding"))
     mine = F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
     out = queries.join(named, "embedding").select("query_id", F.posexplode(mine).alias("at", "x"))
-    return out.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
+    score = F.col("x.score") * by[0] * by[1] * by[0] * by[1]
+    return out.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), score.alias("score"))
 
 
 def _slice(column) -> np.ndarray:
@@ -213,6 +291,7 @@ def _score(part, own: np.ndarray, x: np.ndarray, ids: np.ndarray, lists: list, k
     hit = kinds[at] == keys
     visits = np.zeros((len(part), len(kinds)), dtype=bool)
     visits[row[hit], at[hit]] = True
+    visits[np.diff(offsets) == 0] = True  # no keys: all
     q, asked = _slice(part.column(3)), part.column(2).to_numpy()
     scores = np.where(visits[:, of], q @ x.T, -np.inf)
     i, j = _best(scores, 2 * (k + 1))  # a vector may stand here once per table
@@ -226,48 +305,5 @@ def _score(part, own: np.ndarray, x: np.ndarray, ids: np.ndarray, lists: list, k
     yield pa.RecordBatch.from_arrays([pa.array(asked[i]), pa.array(ids[j]), pa.array(exact), pa.array([lists[y] for y in j.tolist()], pa.list_(pa.int64()))], names=["query", "id", "score", "ids"])
 
 
-def _tune(hashing: Hashing, distinct: DataFrame, k: int, recall: float, sample: int) -> None:
-    """Set hashing.probes: the least number by which the wanted share of the sample's true neighbours is visited."""
-    spark = distinct.sparkSession
-    rows = distinct.where("asked").select("id", "embedding").orderBy(F.xxhash64("id"), "id").limit(sample).collect()
-    if not rows:
-        return
-    names, q = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=np.float64)
-    where = hashing.project(q, True)
-    cells = np.floor(where)
-    order = hashing.order(where - cells)
-    ranks = np.empty_like(order)
-    np.put_along_axis(ranks, order, np.broadcast_to(np.arange(order.shape[-1]), order.shape), axis=-1)
-    sent = spark.sparkContext.broadcast((hashing, names, q, cells, ranks.astype(np.int32)))
-
-    def run(batches):
-        h, names, q, cells, ranks = sent.value
-        digit = np.array([0, 1, 2])  # of a move 0, 1, -1 in moves' order: 0, -1, 1
-        digit[1], digit[-1] = 2, 1
-        for b in batches:
-            x, ids = _matrix(b.column(1)), b.column(0).to_numpy()
-            if not len(x):
-                continue
-            scores = q @ x.T
-            scores[names[:, None] == ids[None, :]] = -np.inf
-            i, j = _best(scores, k)
-            own = np.floor(h.project(x, False))
-            rank = np.full(len(i), 1 << 30, dtype=np.int64)
-            for t in range(h.tables):
-                move = (own[t, j] - cells[t, i]).astype(np.int64)
-                near = (np.abs(move) <= 1).all(axis=1)
-                code = np.zeros(near.sum(), dtype=np.int64)
-                for d in range(h.width):
-                    code = code * 3 + digit[move[near, d]]
-                rank[near] = np.minimum(rank[near], ranks[t, i[near], code])
-            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(ids[j]), pa.array(scores[i, j]), pa.array(rank)], names=["q", "id", "score", "rank"])
-
-    near = distinct.select("id", "embedding").mapInArrow(run, "q long, id long, score double, rank long")
-    w = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    true = np.sort([r[0] for r in near.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).select("rank").collect()])
-    if len(true):
-        hashing.probes = int(min(len(hashing.moves), true[min(len(true) - 1, int(recall * len(true)))] + 1))
-
-
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
