@@ -1,9 +1,11 @@
 """License detection by ordered signature rules.
 
-Rules come from a table of licenses and, for each, a few hand-written forms: the phrase itself, the name, the SPDX tag, a
-sentence that grants it, its address, its file's title. A rule has a priority, a label, a keyword and a regular expression over the
-text's words. An Aho-Corasick automaton finds which keywords a text holds; only the rules of those are run. Detections are
-taken in order of priority, then length, then place, and one that lies inside a taken detection of another label is suppressed.
+Rules are regular expressions over a text's words: sentences of the licenses' own texts and of their usual notices, written one by one,
+and, for each license of a table, its SPDX tag, a grant that names it, its name with and without a version, and its address. A rule
+has a priority, a label, a keyword and an expression; where the expression finds a version, a number of clauses or "or later", the label
+carries it (gpl-3.0-or-later, bsd-3-clause). An Aho-Corasick automaton finds which keywords a text holds; only the rules of those are
+run. Detections are taken in order of priority, then length, then place, and one that lies inside a taken detection, of whatever label,
+is suppressed.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ LICENSES = [
     ("gpl", ["gnu general public license", "gnu gpl"], ["gpl"], ["gnu org licenses gpl"]),
     ("apache", ["apache software license", "apache license version"], ["apache"], ["apache org licenses license"]),
     ("mit", ["the mit license", "expat license", "mit expat license"], ["mit"], ["opensource org licenses mit"]),
-    ("bsd", ["bsd license", "berkeley software distribution license", "(?:2|two|3|three|4|four) clause bsd license", "(?:simplified|new|modified|revised|original) bsd license"], ["bsd"], ["opensource org licenses bsd"]),
+    ("bsd", ["(?P<clause>2|two|3|three|4|four) clause bsd license", "(?P<clause>simplified|new|modified|revised|original) bsd license", "bsd license", "berkeley software distribution license"], ["bsd"], ["opensource org licenses bsd"]),
     ("isc", ["isc license", "internet systems consortium license"], ["isc"], ["opensource org licenses isc"]),
     ("mpl", ["mozilla public license"], ["mpl"], ["mozilla org mpl"]),
     ("epl", ["eclipse public license"], ["epl"], ["eclipse org legal epl"]),
@@ -69,54 +71,123 @@ LICENSES = [
     ("json", ["json license", "software shall be used for good not evil"], ["json"], ["json org license"]),
     ("proprietary", ["all rights reserved", "proprietary and confidential", "unauthorized copying of this file"], [], []),
 ]
-#: Sentences of a license's own text, which name it without its name.
-BODIES = [
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
-    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license"),
-    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
-    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
+#: Label, keyword and expression of sentences that name a license without its name, or tell its versions apart. The first come first.
+SIGNATURES = [
+    ("mit", "permission is hereby granted free of charge", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "permission is hereby granted free of charge", r"permission is hereby granted free of charge to any person obtaining a copy of this software(?! and (?:accompanying|associated))"),
+    ("mit", "copyright notice and this permission notice", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "the software is provided as is without warranty", r"the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability"),
+    ("x11", "shall not be used in advertising or otherwise", r"except as contained in this notice the names? of (?:[^ ]+ ){1,12}shall not be used in advertising or otherwise to promote the sale use or other dealings in this software"),
+    ("0bsd", "with or without fee is hereby granted", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is"),
+    ("isc", "with or without fee is hereby granted", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted(?: provided that the above copyright notice and this permission notice appear in all copies)?"),
+    ("isc", "with or without fee is hereby granted", r"permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("hpnd", "without fee is hereby granted provided", r"permission to use copy modify and distribute this software and its documentation for any purpose (?:and )?without fee is hereby granted provided that"),
+    ("postgresql", "without a written agreement is hereby granted", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("bsd-4-clause", "all advertising materials mentioning", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("bsd-3-clause", "be used to endorse or promote products", r"neither the names? of (?:[^ ]+ ){1,12}nor the names of (?:its|their|any) contributors may be used to endorse or promote products derived from this software"),
+    ("bsd", "redistribution and use in source and binary forms", r"redistribution and use in source and binary forms with or without modification are permitted(?: provided that the following conditions are met)?"),
+    ("bsd", "redistributions of source code must retain", r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce", r"redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
+    ("apache-1.1", "acknowledgment this product includes software developed by the apache", r"acknowledgment this product includes software developed by the apache software foundation"),
+    ("apache-2.0", "in compliance with the license", r"licensed under the apache license version 2 0 the license you may not use (?:this file|this work|these files) except in compliance with the license"),
+    ("apache", "distributed under the license is distributed", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache", "to the apache software foundation", r"licensed to the apache software foundation (?:asf )?under one or more contributor license agreements"),
+    ("gpl", "this program is free software", r"this program is free software (?:you can redistribute it and or modify it|and is licensed) under the terms of the gnu general public license(?: as published by the free software foundation)?(?: either)?(?P<v> version \d(?: \d)?)?(?: of the license)?(?P<later> or at your option any later version| or later)?"),
+    ("gpl", "redistribute it and or modify it under the terms of the gnu general", r"you (?:can|may) redistribute it and or modify it under the terms of the gnu general public license(?: as published by the free software foundation)?(?: either)?(?P<v> version \d(?: \d)?)?(?: of the license)?(?P<later> or at your option any later version| or later)?"),
+    ("lgpl", "this library is free software", r"this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license(?: as published by the free software foundation)?(?: either)?(?P<v> version \d(?: \d)?)?(?: of the license)?(?P<later> or at your option any later version| or later)?"),
+    ("agpl", "terms of the gnu affero general public license", r"(?:redistribute it and or modify it )?under the terms of the gnu affero general public license(?: as published by the free software foundation)?(?: either)?(?P<v> version \d(?: \d)?)?(?: of the license)?(?P<later> or at your option any later version| or later)?"),
+    ("gpl", "a copy of the gnu general public license", r"you should have received a copy of the gnu general public license(?P<v> version \d(?: \d)?)? along with this (?:program|software|package)"),
+    ("lgpl", "a copy of the gnu lesser general public license", r"you should have received a copy of the gnu lesser general public license(?P<v> version \d(?: \d)?)? along with this (?:program|software|library)"),
+    ("agpl", "a copy of the gnu affero general public license", r"you should have received a copy of the gnu affero general public license(?P<v> version \d(?: \d)?)? along with this (?:program|software)"),
+    ("agpl", "interacting with it remotely through a computer network", r"your modified version must prominently offer all users interacting with it remotely through a computer network"),
+    ("gpl", "in the hope that it will be useful", r"this program is distributed in the hope that it will be useful but without any warranty"),
+    ("lgpl", "in the hope that it will be useful", r"this library is distributed in the hope that it will be useful but without any warranty"),
+    ("mpl-2.0", "a copy of the mpl was not distributed", r"if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("mpl", "this source code form is subject to the terms", r"this source code form is subject to the terms of the mozilla public license(?: v(?:ersion)?)?(?P<v> ?\d(?: \d)?)?"),
+    ("mpl", "the contents of this file are subject to the mozilla", r"the contents of this file are subject to the mozilla public license(?P<v> version \d(?: \d)?)?"),
+    ("cddl", "subject to the terms of the common development", r"the contents of this file are subject to the terms of the common development and distribution license"),
+    ("epl", "this program and the accompanying materials", r"this program and the accompanying materials are (?:licensed and )?made available under the terms of the eclipse public license(?: v(?:ersion)?)?(?P<v> ?\d(?: \d)?)?"),
+    ("epl-2.0", "secondary license", r"this source code may also be made available under the following secondary licenses when the conditions"),
+    ("eupl", "licensed under the eupl", r"licensed under the eupl(?P<v>(?: version)? \d(?: \d)?)?(?P<later> or as soon they will be approved)?"),
+    ("boost-1.0", "boost software license version", r"distributed under the boost software license version 1 0 see accompanying file"),
+    ("boost", "a copy of the software and accompanying documentation", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("zlib", "without any express or implied warranty in no event", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
+    ("zlib", "origin of this software must not be misrepresented", r"the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("unlicense", "free and unencumbered software released", r"this is free and unencumbered software released into the public domain"),
+    ("unlicense", "anyone is free to copy modify publish", r"anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("wtfpl", "just do what the fuck you want to public license", r"you just do what the fuck you want to public license"),
+    ("beerware", "whatever you want with this stuff", r"as long as you retain this notice you can do whatever you want with this stuff"),
+    ("json", "shall be used for good not evil", r"the software shall be used for good not evil"),
+    ("python", "psf hereby grants licensee", r"psf hereby grants licensee a nonexclusive royalty free world wide license"),
+    ("openssl", "software developed by the openssl project", r"this product includes software developed by the openssl project"),
+    ("php", "includes php software", r"this product includes php software freely available from"),
+    ("ofl", "this font software is licensed", r"this font software is licensed under the sil open font license(?: version)?(?P<v> \d \d)?"),
+    ("artistic", "state the conditions under which a package", r"the intent of this document is to state the conditions under which a package may be copied"),
+    ("artistic", "same terms as perl itself", r"(?:you can redistribute it and or modify it )?under the same terms as perl itself"),
+    ("cc0", "waived all copyright and related", r"to the extent possible under law (?:[^ ]+ ){1,12}ha(?:s|ve) waived all copyright and related or neighboring rights"),
+    ("cc-by", "you must give appropriate credit provide a link", r"you must give appropriate credit provide a link to the license and indicate if changes were made"),
+    ("cc-by-sa", "your contributions under the same license", r"if you remix transform or build upon the material you must distribute your contributions under the same license as the original"),
+    ("cc-by-nc", "use the material for commercial purposes", r"you may not use the material for commercial purposes"),
+    ("cc-by-nd", "may not distribute the modified material", r"if you remix transform or build upon the material you may not distribute the modified material"),
+    ("ms-pl", "if you use the software you accept this license", r"this license governs use of the accompanying software if you use the software you accept this license"),
+    ("upl", "subject to the condition set forth below", r"subject to the condition set forth below permission is hereby granted to any person obtaining a copy of this software associated documentation and or data"),
+    ("ncsa", "with the software without restriction", r"to deal with the software without restriction including without limitation the rights to use copy modify merge"),
+    ("sspl", "make the functionality of the program", r"if you make the functionality of the program or a modified version available to third parties as a service"),
+    ("busl", "licensor hereby grants you the right to copy", r"the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use"),
+    ("public-domain", "the public domain", r"(?:this|the) (?:work|code|file|software|program|library) (?:is|has been) (?:hereby )?(?:placed |released |dedicated )?in(?:to)? the public domain"),
+    ("public-domain", "to the public domain", r"(?:i|we|the authors?) (?:hereby )?(?:dedicate|release)s? (?:this|the) (?:work|code|file|software|program|library) to the public domain"),
+    ("proprietary", "confidential and proprietary", r"(?:this (?:software|document|file) is|contains) (?:the )?confidential and proprietary (?:information|property)"),
+    ("proprietary", "unauthorized copying of this", r"unauthorized copying of this (?:file|software|document) via any medium is strictly prohibited"),
+    ("proprietary", "without the prior written", r"may not be (?:copied|reproduced|distributed|disclosed)(?: [^ ]+){0,10} without the prior written (?:permission|consent)"),
+    ("proprietary", "not for redistribution", r"internal use only not for redistribution"),
 ]
-VERSION = r"(?: (?:version|v))? ?v?\d+(?: \d+)*(?: or(?: at your option)? any later version| or later| only)?"
+#: A version behind a name, and what a grant says of later ones.
+VERSION = r"(?P<v>(?: (?:version|v))? ?v?\d(?: \d{1,2}){0,2})(?P<later> or (?:at your option )?any later version| or (?:at your option )?later| or newer| plus)?(?P<only> only)?"
 #: Forms of a name and how sure they are; {n} is the name. Earlier forms have priority over later ones.
 FORMS = [
-    (1.0, r"(?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?{n}(?:" + VERSION + ")?"),
+    (1.0, r"(?:licensed|released|distributed|available|published|provided|covered) (?:under|by) (?:the )?(?:terms of )?(?:the )?{n}(?:" + VERSION + ")?"),
     (0.95, r"{n}" + VERSION),
-    (0.9, r"(?:subject to|under the terms of|according to|governed by) (?:the )?{n}"),
+    (0.9, r"(?:subject to|under the terms of|according to|governed by|in accordance with) (?:the )?{n}"),
+    (0.85, r"{n}s? (?:applies|agreement|text|file|header|notice)"),
     (0.8, r"{n}"),
 ]
+CLAUSES = {"two": "2", "three": "3", "four": "4", "simplified": "2", "new": "3", "modified": "3", "revised": "3", "original": "4"}
 
 
 def _rules() -> list[tuple[int, str, float, str, re.Pattern]]:
     """(priority, label, score, keyword, pattern), the most specific first."""
-    raw: list[tuple[str, float, str, str]] = []
-    for label, body in BODIES:
-        raw.append((label, 1.0, body, body))
+    raw: list[tuple[str, float, str, str]] = [(label, 1.0, key, p) for label, key, p in SIGNATURES]
     for label, _, tags, _ in LICENSES:
-        raw += [(label, 1.0, "spdx license identifier " + t, rf"spdx license identifier {t}(?: \d+)*(?: clause)?(?: only| or later| plus)?") for t in tags]
+        raw += [(label, 1.0, "spdx license identifier " + t, rf"spdx license identifier {t}(?P<v>(?: \d+)+)?(?P<clauses> clause)?(?P<only> only)?(?P<later> or later| plus)?") for t in tags]
     for sure, form in FORMS:
         for label, names, _, _ in LICENSES:
             raw += [(label, sure, _keyword(n), form.replace("{n}", n)) for n in names]
     for label, _, _, places in LICENSES:
-        raw += [(label, 0.9, p, rf"(?:https? )?(?:www )?{p}(?: \d+)*") for p in places]
+        raw += [(label, 0.9, p, rf"(?:https? )?(?:www )?{p}(?P<v>(?: \d+)+)?") for p in places]
     for phrase, label in BASE.items():
         raw.append((label, 0.7, phrase, phrase))
-    return [(i, label, sure, key, re.compile(rf"(?<![^ ]){p}(?![^ ])")) for i, (label, sure, key, p) in enumerate(raw)]
+    return [(i, label, sure, key, re.compile(rf"(?<![^ ])(?:{p})(?![^ ])")) for i, (label, sure, key, p) in enumerate(raw)]
+
+
+def labelled(label: str, found: re.Match) -> str:
+    """The label, with the version, clauses and later versions that the match tells."""
+    told = found.groupdict()
+    numbers = re.findall(r"\d+", told.get("v") or "")
+    clause = told.get("clause")
+    if clause or told.get("clauses"):
+        return f"{label}-{CLAUSES.get(clause, clause) if clause else (numbers or ['3'])[0]}-clause"
+    if not numbers:
+        return label
+    version = ".".join(numbers if len(numbers) > 1 else [*numbers, "0"])
+    return f"{label}-{version}" + ("-or-later" if told.get("later") else "-only" if told.get("only") else "")
 
 
 def _keyword(pattern: str) -> str:
     """The longest stretch of a name that stands as it is."""
-    return max(re.split(r" \?|\(\?:[^()]*\)\??|\[[^]]*\]", pattern), key=len).strip(" ()?") if re.search(r"[\[(?]", pattern) else pattern
+    return max(re.split(r" \?|\((?:\?:|\?P<\w+>)[^()]*\)\??|\[[^]]*\]", pattern), key=len).strip(" ()?") if re.search(r"[\[(?]", pattern) else pattern
 
 
 RULES = _rules()
-#: Every keyword holds one of these; most texts hold none, and are done then.
-GATES = (b"licen", b"copy", b"redistribut", b"software", b" org", b" net", b" com ", b"creative", b"reserved", b"confidential", b"cc0", b"europa", b"public domain", b"gnu ")
 #: Lower case for A-Z, and a space for what is not in a word: a word is of digits, letters and bytes beyond ASCII.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -159,8 +230,6 @@ def scan(text: bytes) -> tuple[int, list[int], list[tuple[str, int, int, float]]
     """Words of a text, the starts of base phrases with their labels, and detections as (label, first word, last word, score)."""
     words = text.translate(WORDS).split()
     joined = b" ".join(words)
-    if not any(k in joined for k in GATES):
-        return len(words), [], []
     chars = joined.decode("utf-8", "surrogateescape")
     hits = {i for _, rules in _keywords().iter(chars) for i in rules}
     if not hits:
@@ -168,8 +237,8 @@ def scan(text: bytes) -> tuple[int, list[int], list[tuple[str, int, int, float]]
     spaces = [m.start() for m in re.finditer(" ", chars)]
     word = lambda at: bisect_right(spaces, at)
     base = [(word(m.start()), label) for phrase, label in BASE.items() if phrase in chars for m in re.finditer(rf"(?<![^ ])(?={phrase}(?![^ ]))", chars)]
-    found = [(i, m.start(), m.end()) for i in sorted(hits) for m in RULES[i][4].finditer(chars)]
-    return len(words), base, [(RULES[i][1], word(b), word(e - 1), RULES[i][2]) for i, b, e in resolve(found)]
+    found = {(i, m.start(), m.end()): m for i in sorted(hits) for m in RULES[i][4].finditer(chars)}
+    return len(words), base, [(labelled(RULES[i][1], found[i, b, e]), word(b), word(e - 1), RULES[i][2]) for i, b, e in resolve(list(found))]
 
 
 def detect(docs: DataFrame) -> DataFrame:
