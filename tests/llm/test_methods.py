@@ -105,14 +105,15 @@ def test_no_similar_pair_is_without_a_common_key():
         common = len(np.intersect1d(small, large))
         if common == len(small) == len(large) or common * 10 < 8 * (len(small) + len(large) - common):
             continue
-        assert len(np.intersect1d(positions.keys(small), positions.keys(large)))
+        (a, one), (b, two) = positions.keys(small), positions.keys(large)
+        assert len(np.intersect1d(a, b)) > max(one, two)
 
 
 def test_more_positions_for_larger_sets():
     positions = similar.Positions(0.8)
     for c in range(10):
-        _, p, d = positions._grid(c)
-        assert (np.diff(p) >= 0).all() and (p > d).all()
+        cuts, p, d, t = positions._grid(c)
+        assert (np.diff(p) >= 0).all() and (p >= d + t).all() and (np.diff(t) >= 0).all() and p[-1] <= len(cuts)
 
 
 def test_lists_without_a_similar_centre(spark):
