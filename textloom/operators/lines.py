@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import DIRECTION, ENTRANCE, HEADING, LABEL
+from ..functions.text import BODY, DIRECTION, ENTRANCE, HEADING, LABEL, chunks
 
 
 def cleaned(lines: DataFrame) -> DataFrame:
@@ -55,3 +55,49 @@ def apparatus(lines: DataFrame, key: str) -> DataFrame:
     rest = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("ours"), F.struct("line_no", "text")))), lambda x: x["text"]), "\n")
     inside = F.aggregate(F.regexp_extract_all(rest, F.lit(DIRECTION), 0), F.lit(0), lambda n, x: n + F.length(x))
     return own.groupBy(key).agg(F.sum("size").alias("n_chars"), (F.sum(F.when(F.col("ours"), F.col("size")).otherwise(0)) + inside).alias("n_apparatus"))
+
+
+def _placed(texts: DataFrame, key: str) -> DataFrame:
+    """Marked lines with the places of their characters, each line's newline among its own: begin, end."""
+    split = texts.select(key, F.posexplode(F.split("text", "\n")).alias("at", "text")).select(key, (F.col("at") + 1).cast("long").alias("line_no"), "text")
+    w = Window.partitionBy(key)
+    size = F.length("text") + F.when(F.col("line_no") < F.max("line_no").over(w), 1).otherwise(0)
+    own = marked(split, key).withColumn("size", size.cast("long"))
+    return own.withColumn("end", F.sum("size").over(w.orderBy("line_no"))).withColumn("begin", F.col("end") - F.col("size"))
+
+
+def editor_spans(texts: DataFrame, key: str) -> DataFrame:
+    """key, spans: where the editor wrote, as disjoint (begin, end) in order: labels, headings, entrances, bracketed directions, and all before the first body heading."""
+    own = _placed(texts, key)
+    ours = F.col("is_label") | F.col("text").rlike(HEADING) | F.col("text").rlike(ENTRANCE)
+    span = lambda b, e: F.struct(b.cast("long").alias("begin"), e.cast("long").alias("end"))
+    body = F.min(F.when(F.col("text").rlike(BODY), F.col("begin")))
+    whole = own.groupBy(key).agg(F.collect_list(F.when(ours & (F.col("size") > 0), span(F.col("begin"), F.col("end")))).alias("lines"), F.coalesce(body, F.lit(0)).alias("body"))
+    # the i-th direction stands behind i + 1 stretches of other text and i directions
+    found, rest = F.regexp_extract_all("text", F.lit(DIRECTION), 0), F.split("text", DIRECTION, -1)
+    before = lambda parts, i: F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0).cast("long"), lambda n, x: n + F.length(x))
+    where = F.transform(found, lambda x, i: span(before(rest, i + 1) + before(found, i), before(rest, i + 1) + before(found, i + 1)))
+    every = texts.select(key, where.alias("directions")).join(whole, key).select(key, F.array_sort(F.concat("lines", "directions", F.filter(F.array(span(F.lit(0), F.col("body"))), lambda s: s["end"] > 0))).alias("all"))
+    empty = F.array().cast("array<struct<begin:bigint,end:bigint>>")
+    united = F.aggregate("all", empty, lambda done, s: F.when((F.size(done) > 0) & (F.element_at(done, -1)["end"] >= s["begin"]), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(span(F.element_at(done, -1)["begin"], F.greatest(F.element_at(done, -1)["end"], s["end"]))))).otherwise(F.concat(done, F.array(s))))
+    return every.select(key, united.alias("spans"))
+
+
+def author_wrote(found: DataFrame, spans: DataFrame, key: str, width: int) -> DataFrame:
+    """Adds authors: whether the editor wrote at most half of a passage at its first place (first_<key>, first_pos). No such place: the editor did."""
+    at = spans.select(F.col(key).alias(f"first_{key}"), "spans")
+    begin = F.col("first_pos")
+    inside = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + F.greatest(F.lit(0).cast("long"), F.least(s["end"], begin + width) - F.greatest(s["begin"], begin)))
+    return found.join(at, f"first_{key}", "left").withColumn("authors", F.coalesce(inside * 2 <= width, F.lit(False))).drop("spans")
+
+
+def label_chunks(texts: DataFrame, key: str) -> DataFrame:
+    """n_chunks, and the chunks and characters on speaker labels. A chunk that only begins on a label is an error."""
+    labels = _placed(texts, key).where("is_label").groupBy(key).agg(F.collect_list(F.struct("begin", "end")).alias("labels"))
+    own = texts.select(key, chunks("text").alias("chunks")).join(labels, key, "left")
+    ends = F.aggregate("chunks", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("ends")), lambda a, x: F.struct((a["at"] + F.length(x)).alias("at"), F.concat(a["ends"], F.array(a["at"] + F.length(x))).alias("ends")))["ends"]
+    flat = own.withColumn("ends", ends).select("labels", F.explode(F.arrays_zip("chunks", "ends")).alias("c")).select("labels", F.length("c.chunks").alias("size"), F.col("c.ends").alias("end"))
+    on = lambda at: F.coalesce(F.exists("labels", lambda s: (at >= s["begin"]) & (at < s["end"])), F.lit(False))
+    first, last = on(F.col("end") - F.col("size")), on(F.col("end") - 1)
+    judged = flat.select("size", F.when(first != last, F.raise_error(F.lit("a chunk lies on a label in part"))).otherwise(first).alias("label"))
+    return judged.agg(F.count("*").alias("n_chunks"), F.count_if("label").alias("n_label_chunks"), F.sum(F.when(F.col("label"), F.col("size"))).alias("n_label_chars"))
