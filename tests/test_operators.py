@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import rules, text
 from textloom.operators import bpe, lines, ngrams, overlap, selection
-from textloom.sources import corpus
+from textloom.sources import corpus, files
 
 SF = "/root/testdata/sf0.001"
 
@@ -207,10 +207,7 @@ def test_normaliser():
             text.normalised(bad, alphabet)
 
 
-def test_log_and_sinks(spark, tmp_path):
-    (tmp_path / "log.csv").write_text("step,passes,learning_rate,training_loss,gradient_length,share_clipped,seen_bpc,validation_bpc,validation_loss,tokens_per_second,minutes\n0,0.0,0.1,nan,nan,nan,6.6,6.6,4.5,nan,0.1\n")
-    row = corpus.read_log(spark, str(tmp_path / "log.csv")).first()
-    assert row.step == 0 and math.isnan(row.training_loss) and row.seen_bpc == 6.6
+def test_sinks(spark, tmp_path):
     one = docs(spark, "x")
     corpus.append_attempt(one, str(tmp_path / "a"))
     corpus.append_attempt(one, str(tmp_path / "a"))
@@ -220,12 +217,68 @@ def test_log_and_sinks(spark, tmp_path):
         corpus.write_once(one, str(tmp_path / "b"))
 
 
+def test_swap_in(spark, tmp_path):
+    path = f"file:{tmp_path}/table"
+    files.swap_in(docs(spark, "a"), path)
+    files.swap_in(docs(spark, "b", "c"), path)
+    assert [r.text for r in spark.read.parquet(path).orderBy("doc_id").collect()] == ["b", "c"] and [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["table"]
+    with pytest.raises(Exception, match="no such luck"):
+        files.swap_in(docs(spark, "d").withColumn("text", F.raise_error(F.lit("no such luck"))), path)
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_one_way_door(spark, tmp_path):
+    path = f"file:{tmp_path}/final.json"
+    with pytest.raises(FileNotFoundError):
+        files.complete(spark, path, {})
+    files.claim(spark, path, {"begun": True})
+    with pytest.raises(Exception, match="(?i)exists"):
+        files.claim(spark, path, {})
+    files.complete(spark, path, {"score": 1.5})
+    assert spark.read.json(path).first().score == 1.5
+
+
+def test_files_are_what_a_manifest_says(spark, tmp_path):
+    import hashlib
+
+    for name, text in (("a.txt", "eins\n"), ("b.txt", "zwei")):
+        (tmp_path / name).write_text(text)
+    row = lambda name, text: (name, hashlib.sha256(text.encode()).hexdigest())
+    manifest = lambda *rows: spark.createDataFrame(rows, "file string, sha256 string")
+    got = files.verified(spark, str(tmp_path), manifest(row("a.txt", "eins\n"), row("b.txt", "zwei"))).orderBy("file").collect()
+    assert [tuple(r) for r in got] == [("a.txt", "eins\n"), ("b.txt", "zwei")]
+    for bad, why in ((row("a.txt", "other"), "not what was recorded"), (row("c.txt", ""), "c.txt is missing")):
+        with pytest.raises(Exception, match=why):
+            files.verified(spark, str(tmp_path), manifest(bad)).collect()
+
+
 def test_run_folders(spark, tmp_path):
-    import json
-
-    for name, best in (("a", 1.5), ("b", None)):
-        (tmp_path / name).mkdir()
-        (tmp_path / name / "config.json").write_text(json.dumps({"name": name, "seed": 1}, indent=1))
-        if best:
-            (tmp_path / name / "result.json").write_text(json.dumps({"name": name, "best": {"validation_bpc": best}}, indent=1))
-    assert {r.name: r.best and r.best.validation_bpc for r in corpus.read_runs(spark, str(tmp_path)).collect()} == {"a": 1.5, "b": None}
+    base = {"arm": "x", "seed": 1, "steps": 10, "parameters": 5, "git_commit": "c", "sixteen_bit": False, "vocabulary": 9}
+    done = {"best": {"validation_bpc": 1.5, "step": 7, "passes": 1.0, "seen_bpc": 1.0}, "final_validation_bpc": 1.6, "minutes": 2.0}
+    files.write_runs(spark, f"file:{tmp_path}", [
+        {"config.json": {**base, "name": "a-1"}, "result.json": done, "evaluation-best.json": {"everything_else": {"bits_per_character": 1.4}}, "DIVERGED": "", "log.csv": "step,passes,learning_rate,training_loss,validation_bpc,tokens_per_second\n0,0.0,0.1,nan,6.6,nan\n"},
+        {"config.json": {**base, "name": "a-2"}, "DIVERGED": ""}, {"config.json": {**base, "name": "a-3"}, "last.pt": ""}, {"config.json": {**base, "name": "b"}},
+    ])
+    got = {r.run: (r.best, r.everything_else, r.state, r.diverged) for r in files.read_runs(spark, f"file:{tmp_path}").collect()}
+    assert got == {"a-1": (1.5, 1.4, "done", True), "a-2": (None, None, "diverged", True), "a-3": (None, None, "interrupted", False), "b": (None, None, "to do", False)}
+    assert {r.run for r in files.read_runs(spark, f"file:{tmp_path}", "a-").collect()} == {"a-1", "a-2", "a-3"} and files.read_runs(spark, f"file:{tmp_path}", "none").count() == 0
+    row = files.read_logs(spark, f"file:{tmp_path}").first()
+    assert (row.run, row.step, row.validation_bpc) == ("a-1", 0, 6.6) and math.isnan(row.training_loss) and math.isnan(row.tokens_per_second)
+
+
+def test_no_verdict_before_all_is_done(spark):
+    rows = [(a, i, s, 1.0 + i + s / 100, "done", False) for i, a in enumerate("ab") for s in (1, 2, 3)]
+    run = lambda *more: spark.createDataFrame([*rows, *more], "arm string, parameters int, seed int, best double, state string, diverged boolean")
+    told = lambda df: (selection.verdicts(selection.groups(df), selection.complete(df)).first().verdict, selection.choice(selection.groups(df), selection.complete(df)).first().chosen)
+    assert told(run()) == ("DIFFERENT", "a") and told(run(("a", 0, 4, None, "diverged", True)))[0] == "DIFFERENT"
+    for more in (("a", 0, 4, 1.0, "done", False), ("b", 1, 4, None, "interrupted", False), ("b", 1, 4, None, "to do", False)):
+        assert told(run(more)) == ("PARTIAL", None)
+
+
+def test_borrowed_lengths(spark):
+    found = lambda **k: spark.createDataFrame(list(k.items()), "arm string, steps int")
+    got = rules.borrowed(found(a=4000, b=8000, c=10), {"x": "a"}, ("a", "b")).collect()
+    assert {tuple(r) for r in got} == {("a", 4000, "a"), ("b", 8000, "b"), ("c", 10, "c"), ("x", 4000, "a")}
+    for bad in ({"a": 4000, "b": 8001}, {"a": 4000}):
+        with pytest.raises(Exception, match="search these lengths"):
+            rules.borrowed(found(**bad), {"x": "a"}, ("a", "b")).collect()

@@ -10,10 +10,22 @@ from ..functions.rules import t_point
 BLOCK = 5000
 
 
-def groups(runs: DataFrame) -> DataFrame:
-    """arm, parameters, seeds, mean, sd: repeats of a seed are averaged first; sd is null for one seed."""
-    seeds = runs.groupBy("arm", "parameters", "seed").agg(F.avg("best").alias("best"))
-    return seeds.groupBy("arm", "parameters").agg(F.count("*").alias("seeds"), F.avg("best").alias("mean"), F.stddev_samp("best").alias("sd"))
+def groups(runs: DataFrame, score: str = "best") -> DataFrame:
+    """arm, parameters, seeds, mean, sd, repeat_range: repeats of a seed are averaged first, and range so far; sd is null for one seed. Runs without a score are left out."""
+    seeds = runs.where(F.col(score).isNotNull()).groupBy("arm", "parameters", "seed").agg(F.avg(score).alias("best"), (F.max(score) - F.min(score)).alias("repeats"))
+    return seeds.groupBy("arm", "parameters").agg(F.count("*").alias("seeds"), F.avg("best").alias("mean"), F.stddev_samp("best").alias("sd"), F.max("repeats").alias("repeat_range"))
+
+
+def completeness(runs: DataFrame) -> DataFrame:
+    """arm, seeds, unfinished, replaced, status: complete only if all arms have the same number of seeds, three at least, and no run is unfinished."""
+    per = runs.groupBy("arm").agg(F.count_distinct(F.when(F.col("state") == "done", F.col("seed"))).alias("seeds"), F.bool_or(F.col("state").isin("interrupted", "to do")).alias("unfinished"), F.bool_or("diverged").alias("replaced"))
+    whole = per.agg(((F.count_distinct("seeds") == 1) & (F.min("seeds") >= 3) & ~F.bool_or("unfinished")).alias("whole"))
+    return per.crossJoin(F.broadcast(whole)).select("arm", "seeds", "unfinished", "replaced", F.when(F.col("whole"), "complete").otherwise("PARTIAL").alias("status"))  # one row
+
+
+def complete(runs: DataFrame) -> DataFrame:
+    """complete: whether a verdict may be given. One row."""
+    return completeness(runs).agg(F.bool_and(F.col("status") == "complete").alias("complete"))
 
 
 def pooled(grouped: DataFrame) -> DataFrame:
@@ -21,21 +33,29 @@ def pooled(grouped: DataFrame) -> DataFrame:
     return grouped.agg(F.sqrt(F.sum(F.col("sd") * F.col("sd") * (F.col("seeds") - 1)) / F.sum(F.col("seeds") - 1)).alias("pooled_sd"), F.sum(F.col("seeds") - 1).alias("df"))
 
 
-def verdicts(grouped: DataFrame) -> DataFrame:
-    """Each pair of arms: their difference, the least that tells, DIFFERENT or tie. There are as many rows as pairs of arms."""
+def verdicts(grouped: DataFrame, may: DataFrame | None = None) -> DataFrame:
+    """Each pair of arms: their difference, the least that tells, DIFFERENT or tie (PARTIAL if `may` says that a verdict can't be given yet). There are as many rows as pairs of arms."""
     a, b = grouped.alias("a"), grouped.alias("b")
-    pairs = a.join(b, F.col("a.arm") < F.col("b.arm")).crossJoin(F.broadcast(pooled(grouped)))
+    pairs = _allowed(a.join(b, F.col("a.arm") < F.col("b.arm")).crossJoin(F.broadcast(pooled(grouped))), may)
     least = t_point(F.col("df")) * F.col("pooled_sd") * F.sqrt(1 / F.col("a.seeds") + 1 / F.col("b.seeds"))
     gap = F.col("b.mean") - F.col("a.mean")
-    return pairs.select(F.col("a.arm").alias("first"), F.col("b.arm").alias("second"), gap.alias("difference"), least.alias("threshold"), F.when(F.abs(gap) > least, "DIFFERENT").otherwise("tie").alias("verdict"))
+    return pairs.select(F.col("a.arm").alias("first"), F.col("b.arm").alias("second"), gap.alias("difference"), least.alias("threshold"), _if(may, F.when(F.abs(gap) > least, "DIFFERENT").otherwise("tie"), "PARTIAL").alias("verdict"))
 
 
-def choice(grouped: DataFrame) -> DataFrame:
-    """The smallest arm within reach of the best mean."""
+def choice(grouped: DataFrame, may: DataFrame | None = None) -> DataFrame:
+    """The smallest arm within reach of the best mean; null as long as a verdict can't be given."""
     best = grouped.agg(F.min("mean").alias("lowest"), F.min_by("seeds", "mean").alias("best_seeds"))
     reach = t_point(F.col("df")) * F.col("pooled_sd") * F.sqrt(1 / F.col("seeds") + 1 / F.col("best_seeds"))
-    near = grouped.crossJoin(F.broadcast(best)).crossJoin(F.broadcast(pooled(grouped))).where(F.col("mean") - F.col("lowest") <= reach)
-    return near.agg(F.min_by("arm", F.struct("parameters", "mean", "arm")).alias("chosen"))
+    near = _allowed(grouped.crossJoin(F.broadcast(best)).crossJoin(F.broadcast(pooled(grouped))), may).where(F.col("mean") - F.col("lowest") <= reach)
+    return near.agg(F.min_by(_if(may, F.col("arm"), None), F.struct("parameters", "mean", "arm")).alias("chosen"))
+
+
+def _allowed(df: DataFrame, may: DataFrame | None) -> DataFrame:
+    return df if may is None else df.crossJoin(F.broadcast(may))  # one row
+
+
+def _if(may: DataFrame | None, told: Column, otherwise) -> Column:
+    return told if may is None else F.when(F.col("complete"), told).otherwise(F.lit(otherwise))
 
 
 def reason(**tests: Column) -> Column:
@@ -59,10 +79,14 @@ def dice(seed: int, resample: Column, doc: Column, slot: Column, sides: Column)
 
 def bootstrap(blocks: DataFrame, resamples: int, seed: int = 0) -> DataFrame:
     """low, high: 95 % interval of a ratio of sums, blocks (doc_id, block, bits, chars) drawn with replacement inside each text."""
-    w = Window.partitionBy("doc_id")
-    sized = blocks.withColumns({"sides": F.count("*").over(w), "slot": F.row_number().over(w.orderBy("block")) - 1})
-    thrown = sized.select("doc_id", "slot", "sides", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r"))
-    thrown = thrown.withColumn("pick", dice(seed, F.col("r"), F.col("doc_id"), F.col("slot"), F.col("sides")))
-    drawn = thrown.join(sized.select("doc_id", F.col("slot").alias("pick"), "bits", "chars"), ["doc_id", "pick"])
+    ordered = F.array_sort(F.collect_list(F.struct("block", F.col("bits").cast("double").alias("bits"), F.col("chars").cast("double").alias("chars"))))
+    texts = blocks.groupBy("doc_id").agg(ordered.alias("blocks"))  # a row per text; its blocks are drawn from in place
+    step = 500
+    tries = texts.select("doc_id", "blocks", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1), F.lit(step))).alias("from"))
+    tries = tries.select("doc_id", "blocks", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + (step - 1), F.lit(resamples - 1)))).alias("r"))
+    sides = F.size("blocks")
+    picked = F.transform(F.sequence(F.lit(0), sides - 1), lambda slot: F.get("blocks", dice(seed, F.col("r"), F.col("doc_id"), slot, sides).cast("int")))
+    total = lambda field: F.aggregate("picked", F.lit(0.0), lambda n, x: n + x[field])
+    drawn = tries.withColumn("picked", picked).select("r", total("bits").alias("bits"), total("chars").alias("chars"))
     ratios = drawn.groupBy("r").agg((F.sum("bits") / F.sum("chars")).alias("x"))
     return ratios.agg(F.percentile("x", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))

@@ -2,102 +2,184 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..operators import ngrams, selection
-from ..sources import corpus
+from ..sources import corpus, files
 from .registry import D, query, windows_sql
 
-#: Runs to compare, by hand: arm, parameters, seed, best score, steps, step of the best, commit, 16-bit, finished.
+#: Runs to compare, invented: name, arm, parameters, seed, best score, score but labels, steps, step of the best, commit, 16-bit, state.
 RUNS = [
-    ("char", 10757760, 1, 1.7492, 9985, 9236, "0f72600", False, True),
-    ("char", 10757760, 2, 1.7560, 9985, 9000, "0f72600", False, True),
-    ("char", 10757760, 3, 1.7586, 9985, 8800, "0f72600", False, True),
-    ("char", 10757760, 1, 1.7500, 9985, 9100, "aaaaaaa", False, True),
-    ("char", 10757760, 4, 1.7400, 9985, 9100, "0f72600", False, True),
-    ("char", 10757760, 2, 1.7450, 9985, 9100, "0f72600", True, True),
-    ("bpe-1024", 11113728, 1, 1.7890, 4000, 3900, "0f72600", False, True),
-    ("bpe-1024", 11113728, 2, 1.8012, 4000, 2000, "0f72600", False, True),
-    ("bpe-1024", 11113728, 3, 1.8134, 4000, 3800, "0f72600", False, True),
-    ("bpe-2048", 11506944, 1, 1.8191, 3600, 3500, "0f72600", False, True),
-    ("bpe-2048", 11506944, 2, 1.8239, 3600, 3400, "0f72600", False, True),
-    ("bpe-2048", 11506944, 3, 1.8287, 3600, 3550, "0f72600", False, False),
+    ("sweep-char-1", "char", 2400, 1, 1.6100, 1.5800, 9000, 8300, "c0ffee1", False, "done"),
+    ("sweep-char-2", "char", 2400, 2, 1.6180, 1.5860, 9000, 8100, "c0ffee1", False, "done"),
+    ("sweep-char-3", "char", 2400, 3, 1.6140, 1.5790, 9000, 7900, "c0ffee1", False, "done"),
+    ("sweep-char-1-again", "char", 2400, 1, 1.6120, 1.5820, 9000, 8200, "c0ffee1", False, "done"),
+    ("sweep-pair-1", "pair", 2600, 1, 1.6300, 1.5900, 4200, 4100, "c0ffee1", False, "done"),
+    ("sweep-pair-2", "pair", 2600, 2, 1.6220, 1.5880, 4200, 2100, "c0ffee1", False, "done"),
+    ("sweep-pair-3", "pair", 2600, 3, 1.6410, 1.6010, 4200, 3900, "c0ffee1", False, "done"),
+    ("sweep-word-1", "word", 3100, 1, 1.7010, 1.6600, 3800, 3700, "c0ffee1", False, "done"),
+    ("sweep-word-2", "word", 3100, 2, 1.7100, 1.6650, 3800, 3300, "c0ffee1", False, "done"),
+    ("sweep-word-3", "word", 3100, 3, 1.6950, 1.6570, 3800, 3600, "c0ffee1", False, "done"),
+    ("late-char-1", "char", 2400, 1, 1.6000, None, 9000, 8800, "beef002", False, "done"),
+    ("late-char-4", "char", 2400, 4, 1.5900, None, 9000, 8800, "c0ffee1", False, "done"),
+    ("late-char-2", "char", 2400, 2, 1.5950, None, 9000, 8800, "c0ffee1", True, "done"),
+    ("pilot-word-1", "word", 3100, 1, None, None, 5000, None, "c0ffee1", False, "diverged"),
+    ("pilot-word-1001", "word", 3100, 1001, 1.7200, None, 5000, 4900, "c0ffee1", False, "replaced"),
+    ("pilot-pair-1", "pair", 2600, 1, None, None, 5000, None, "c0ffee1", False, "interrupted"),
+    ("pilot-char-1", "char", 2400, 1, None, None, 5000, None, "c0ffee1", False, "to do"),
 ]
-COLUMNS = ["arm string", "parameters long", "seed int", "best double", "steps int", "best_step int", "git_commit string", "sixteen_bit boolean", "finished boolean"]
-SQL = "r(arm, parameters, seed, best, steps, best_step, git_commit, sixteen_bit, finished) AS (VALUES " + ", ".join(f"('{a}', {p}, {s}, {b}::DOUBLE, {n}, {m}, '{c}', {str(x).lower()}, {str(y).lower()})" for a, p, s, b, n, m, c, x, y in RUNS) + ")"
-GROUPED = SQL + ", s AS (SELECT arm, parameters, seed, avg(best) AS best FROM r GROUP BY ALL), g AS (SELECT arm, parameters, count(*) AS seeds, avg(best) AS mean, stddev_samp(best) AS sd FROM s GROUP BY ALL)"
-POOLED = GROUPED + f", p AS (SELECT sqrt(sum(sd * sd * (seeds - 1)) / sum(seeds - 1)) AS pooled_sd, sum(seeds - 1)::BIGINT AS df, ({rules.T_95}::DOUBLE[])[least(sum(seeds - 1), {len(rules.T_95)})::INT] AS t FROM g)"
+COMMIT, SEEDS = "c0ffee1", (1, 2, 3)
+NAMES = ["run", "arm", "parameters", "seed", "best", "everything_else", "steps", "best_step", "git_commit", "sixteen_bit", "state"]
 
 
-def _runs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RUNS, ", ".join(COLUMNS))
+def _literal(x) -> str:
+    return "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x).lower() if isinstance(x, bool) else f"{x}::DOUBLE" if isinstance(x, float) else str(x)
+
+
+#: The same records as rows, for SQL; a run that was replaced after it diverged is done.
+ALL_SQL = f"a({', '.join(NAMES)}) AS (VALUES " + ", ".join("(" + ", ".join(_literal("done" if x == "replaced" else x) for x in r) + ")" for r in RUNS) + ")"
+SQL = ALL_SQL + ", r AS (SELECT * FROM a WHERE starts_with(run, 'sweep-'))"
+
+
+def _grouped(score: str) -> str:
+    return SQL + f", s AS (SELECT arm, parameters, seed, avg({score}) AS best, max({score}) - min({score}) AS repeats FROM r GROUP BY ALL), g AS (SELECT arm, parameters, count(*) AS seeds, avg(best) AS mean, stddev_samp(best) AS sd, max(repeats) AS repeat_range FROM s GROUP BY ALL)"
+
+
+def _pooled(score: str) -> str:
+    return _grouped(score) + f", p AS (SELECT sqrt(sum(sd * sd * (seeds - 1)) / sum(seeds - 1)) AS pooled_sd, sum(seeds - 1)::BIGINT AS df, ({rules.T_95}::DOUBLE[])[least(sum(seeds - 1), {len(rules.T_95)})::INT] AS t FROM g)"
+
+
+GROUPED, POOLED = _grouped("best"), _pooled("best")
+
+
+def _folder(spark: SparkSession) -> str:
+    """Run folders with these records, written anew."""
+    folder, made = files.scratch(spark, "runs"), []
+    for run, arm, parameters, seed, best, rest, steps, best_step, commit, sixteen, state in RUNS:
+        own: dict = {"config.json": {"name": run, "arm": arm, "seed": seed, "steps": steps, "parameters": parameters, "git_commit": commit, "sixteen_bit": sixteen, "vocabulary": 98}}
+        if best is not None:
+            own["result.json"] = {"best": {"validation_bpc": best, "step": best_step, "passes": 8.5, "seen_bpc": 1.4}, "final_validation_bpc": best + 0.01, "minutes": steps / 250}
+            own["log.csv"] = "step,passes,learning_rate,training_loss,validation_bpc,tokens_per_second\n" + "".join(f"{n},{n / 1000},0.001,{'nan' if n == 0 else 1.5},{best + 1 / (n + 1)},{800 + seed * 10 + n % 7}\n" for n in range(0, 500, 100))
+        if rest is not None:
+            own["evaluation-best.json"] = {"everything_else": {"bits_per_character": rest}}
+        if state == "diverged":
+            own["DIVERGED"] = ""
+        if state == "interrupted":
+            own["last.pt"] = ""
+        made.append(own)
+    files.write_runs(spark, folder, made)
+    return folder
+
+
+def _runs(spark: SparkSession, prefix: str = "sweep-") -> DataFrame:
+    return files.read_runs(spark, _folder(spark), prefix)
 
 
 def _round(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
-@query("q_runs", f"WITH {SQL} SELECT arm, seed, CASE WHEN finished THEN best END AS best, steps FROM r")
+@query("q_runs", f"WITH {ALL_SQL} SELECT run, arm, seed, best, steps, state, round(best + 0.01, 6) AS final FROM a")
+def _(spark, sf_dir):
+    """All run folders: settings with their results, null where a run did not finish."""
+    return _round(_runs(spark, "").select("run", "arm", "seed", "best", "steps", "state", F.col("final_validation_bpc").alias("final")), "final")
+
+
+@query("q_runlog", f"""WITH {SQL}, l AS (SELECT run, seed, best, n, 800 + seed * 10 + n % 7 AS speed, CASE WHEN n = 0 THEN 'nan'::DOUBLE ELSE 1.5 END AS loss FROM r, (SELECT unnest(range(0, 500, 100)) AS n))
+    SELECT run, count(*) AS n, count(*) FILTER (WHERE isnan(loss)) AS n_nan, round(avg(loss) FILTER (WHERE NOT isnan(loss)), 6) AS mean, round(min(best + 1.0::DOUBLE / (n + 1)), 6) AS lowest FROM l GROUP BY run""")
 def _(spark, sf_dir):
-    """Configurations with their results, null where a run did not finish."""
-    runs = _runs(spark).withColumn("key", F.monotonically_increasing_id())
-    return runs.select("key", "arm", "seed", "steps").join(runs.where("finished").select("key", "best"), "key", "left").select("arm", "seed", "best", "steps")
+    """Logs' NaN stays NaN: it is neither null nor part of a mean."""
+    log, nan = files.read_logs(spark, _folder(spark), "sweep-"), F.isnan("training_loss")
+    return _round(log.groupBy("run").agg(F.count("*").alias("n"), F.count_if(nan).alias("n_nan"), F.avg(F.when(~nan, F.col("training_loss"))).alias("mean"), F.min("validation_bpc").alias("lowest")), "mean", "lowest")
 
 
-@query("q_runlog", f"WITH {SQL} SELECT arm, count(*) AS n, count(*) FILTER (WHERE isnan(CASE WHEN finished THEN best ELSE 'nan'::DOUBLE END)) AS n_nan, round(avg(best) FILTER (WHERE finished), 6) AS mean FROM r GROUP BY arm")
+@query("q_timings", f"WITH {SQL}, l AS (SELECT arm, (800 + seed * 10 + n % 7)::DOUBLE AS v FROM r, (SELECT unnest(range(0, 500, 100)) AS n)) SELECT arm, quantile_cont(v, 0.5) AS median, min(v) AS lowest, max(v) AS highest FROM l GROUP BY arm")
 def _(spark, sf_dir):
-    """A log's NaN stays NaN: it is neither null nor part of a mean."""
-    log = _runs(spark).withColumn("best", F.when(F.col("finished"), F.col("best")).otherwise(F.lit(float("nan"))))
-    nan = F.isnan("best")
-    return log.groupBy("arm").agg(F.count("*").alias("n"), F.count_if(nan).alias("n_nan"), F.round(F.avg(F.when(~nan, F.col("best"))), 6).alias("mean"))
+    """Median and range of the speeds in the logs of each arm."""
+    folder = _folder(spark)
+    speeds = files.read_logs(spark, folder, "sweep-").join(files.read_runs(spark, folder, "sweep-").select("run", "arm"), "run")
+    return speeds.groupBy("arm").agg(F.percentile("tokens_per_second", F.lit(0.5)).alias("median"), F.min("tokens_per_second").alias("lowest"), F.max("tokens_per_second").alias("highest"))
+
 
+SETTINGS = ["arm", "steps", "parameters", "sixteen_bit", "vocabulary"]
 
-@query("q_varying", f"WITH {SQL}, k AS (SELECT 'steps' AS key, steps::VARCHAR AS v FROM r UNION ALL SELECT 'sixteen_bit', sixteen_bit::VARCHAR FROM r UNION ALL SELECT 'parameters', parameters::VARCHAR FROM r UNION ALL SELECT 'optimizer', 'adamw' FROM r) SELECT key, count(DISTINCT v) AS kinds FROM k GROUP BY key HAVING count(DISTINCT v) > 1")
+
+@query("q_varying", f"WITH {ALL_SQL}, k AS (SELECT 'arm' AS key, arm AS v FROM a UNION ALL SELECT 'steps', steps::VARCHAR FROM a UNION ALL SELECT 'sixteen_bit', sixteen_bit::VARCHAR FROM a UNION ALL SELECT 'parameters', parameters::VARCHAR FROM a UNION ALL SELECT 'vocabulary', '98' FROM a) SELECT key, count(DISTINCT v) AS kinds FROM k GROUP BY key HAVING count(DISTINCT v) > 1")
 def _(spark, sf_dir):
-    told = F.explode(F.create_map(*[x for k in ("steps", "sixteen_bit", "parameters") for x in (F.lit(k), F.col(k).cast("string"))], F.lit("optimizer"), F.lit("adamw")))
-    return _runs(spark).select(told.alias("key", "v")).groupBy("key").agg(F.count_distinct("v").alias("kinds")).where("kinds > 1")
+    told = F.explode(F.create_map(*[x for k in SETTINGS for x in (F.lit(k), F.col(k).cast("string"))]))
+    return _runs(spark, "").select(told.alias("key", "v")).groupBy("key").agg(F.count_distinct("v").alias("kinds")).where("kinds > 1")
 
 
-WHY = "CASE WHEN git_commit <> '0f72600' THEN 'another commit' WHEN seed NOT IN (1, 2, 3) THEN 'another seed' WHEN sixteen_bit THEN 'sixteen bits' END"
+WHY = f"CASE WHEN state <> 'done' THEN 'not finished' WHEN git_commit <> '{COMMIT}' THEN 'another commit' WHEN seed NOT IN {SEEDS} THEN 'another seed' WHEN sixteen_bit THEN 'sixteen bits' WHEN steps <> 9000 THEN 'another length' END"
 
 
 def _eligible(spark: SparkSession) -> DataFrame:
-    why = selection.reason(another_commit=F.col("git_commit") != "0f72600", another_seed=~F.col("seed").isin(1, 2, 3), sixteen_bits=F.col("sixteen_bit"))
-    return _runs(spark).where("arm = 'char'").withColumn("excluded_because", why)
+    why = selection.reason(not_finished=F.col("state") != "done", another_commit=F.col("git_commit") != COMMIT, another_seed=~F.col("seed").isin(*SEEDS), sixteen_bits=F.col("sixteen_bit"), another_length=F.col("steps") != 9000)
+    return _runs(spark, "").where("arm = 'char'").withColumn("excluded_because", why)
+
+
+@query("q_eligible", f"WITH {ALL_SQL} SELECT run, seed, best, git_commit, {WHY} AS excluded_because FROM a WHERE arm = 'char'")
+def _(spark, sf_dir):
+    return _eligible(spark).select("run", "seed", "best", "git_commit", "excluded_because")
+
+
+@query("q_release", f"""WITH {ALL_SQL}, e AS (SELECT *, row_number() OVER (ORDER BY best, seed, run) AS place FROM a WHERE arm = 'char' AND ({WHY}) IS NULL) SELECT (SELECT run FROM e WHERE place = 1) AS run, (SELECT place FROM e WHERE run = 'sweep-char-3') AS place_of_third, min(best) AS best, round(avg(best), 6) AS mean, round(stddev_samp(best), 6) AS sd,
+    round(max(best) - min(best), 6) AS spread, round(avg(best) - min(best), 6) AS gap FROM e""")
+def _(spark, sf_dir):
+    """The eligible run of the lowest score (then seed, then name), the place of another one, and what choosing gained."""
+    w = Window.partitionBy(F.lit(0)).orderBy("best", "seed", "run")  # a handful of runs
+    e = _eligible(spark).where("excluded_because IS NULL").withColumn("place", F.row_number().over(w).cast("long"))
+    got = e.agg(F.min_by("run", "place").alias("run"), F.max(F.when(F.col("run") == "sweep-char-3", F.col("place"))).alias("place_of_third"), F.min("best").alias("best"), F.avg("best").alias("mean"), F.stddev_samp("best").alias("sd"), (F.max("best") - F.min("best")).alias("spread"), (F.avg("best") - F.min("best")).alias("gap"))
+    return _round(got, "mean", "sd", "spread", "gap")
 
 
-@query("q_eligible", f"WITH {SQL} SELECT arm, seed, best, git_commit, {WHY} AS excluded_because FROM r WHERE arm = 'char'")
+@query("q_run_state", f"WITH {ALL_SQL} SELECT run, state FROM a")
 def _(spark, sf_dir):
-    return _eligible(spark).select("arm", "seed", "best", "git_commit", "excluded_because")
+    """By the files of each folder."""
+    return _runs(spark, "").select("run", "state")
 
 
-@query("q_release", f"WITH {SQL}, e AS (SELECT * FROM r WHERE arm = 'char' AND ({WHY}) IS NULL) SELECT (SELECT seed FROM e ORDER BY best, seed LIMIT 1) AS seed, min(best) AS best, round(avg(best), 6) AS mean, round(stddev_samp(best), 6) AS sd, round(avg(best) - min(best), 6) AS gap FROM e")
+@query("q_run_groups", f"WITH {GROUPED} SELECT arm, parameters, seeds, round(mean, 6) AS mean, round(sd, 6) AS sd, round(repeat_range, 6) AS repeat_range FROM g")
 def _(spark, sf_dir):
-    e = _eligible(spark).where("excluded_because IS NULL")
-    return _round(e.agg(F.min_by("seed", F.struct("best", "seed")).alias("seed"), F.min("best").alias("best"), F.avg("best").alias("mean"), F.stddev_samp("best").alias("sd"), (F.avg("best") - F.min("best")).alias("gap")), "mean", "sd", "gap")
+    return _round(selection.groups(_runs(spark)), "mean", "sd", "repeat_range")
+
+
+def _test_sql(score: str) -> str:
+    return f"WITH {_pooled(score)} SELECT a.arm AS first, b.arm AS second, round(b.mean - a.mean, 6) AS difference, round(t * pooled_sd * sqrt(1.0 / a.seeds + 1.0 / b.seeds), 6) AS threshold, CASE WHEN abs(b.mean - a.mean) > t * pooled_sd * sqrt(1.0 / a.seeds + 1.0 / b.seeds) THEN 'DIFFERENT' ELSE 'tie' END AS verdict FROM g a JOIN g b ON a.arm < b.arm, p"
 
 
-@query("q_run_state", f"WITH {SQL} SELECT arm, seed, git_commit, CASE WHEN finished THEN 'done' WHEN best_step < steps / 2 THEN 'diverged' WHEN best_step > 0 THEN 'interrupted' ELSE 'to do' END AS state FROM r")
+@query("q_pooled_test", _test_sql("best"))
 def _(spark, sf_dir):
-    state = F.when(F.col("finished"), "done").when(F.col("best_step") < F.col("steps") / 2, "diverged").when(F.col("best_step") > 0, "interrupted").otherwise("to do")
-    return _runs(spark).select("arm", "seed", "git_commit", state.alias("state"))
+    runs = _runs(spark)
+    return _round(selection.verdicts(selection.groups(runs), selection.complete(runs)), "difference", "threshold")
 
 
-@query("q_run_groups", f"WITH {GROUPED} SELECT arm, parameters, seeds, round(mean, 6) AS mean, round(sd, 6) AS sd FROM g")
+@query("q_secondary_test", _test_sql("everything_else"))
 def _(spark, sf_dir):
-    return _round(selection.groups(_runs(spark)), "mean", "sd")
+    """The same test on the score of everything but labels: it decides nothing."""
+    runs = _runs(spark)
+    return _round(selection.verdicts(selection.groups(runs, "everything_else"), selection.complete(runs)), "difference", "threshold")
 
 
-@query("q_pooled_test", f"WITH {POOLED} SELECT a.arm AS first, b.arm AS second, round(b.mean - a.mean, 6) AS difference, round(t * pooled_sd * sqrt(1.0 / a.seeds + 1.0 / b.seeds), 6) AS threshold, CASE WHEN abs(b.mean - a.mean) > t * pooled_sd * sqrt(1.0 / a.seeds + 1.0 / b.seeds) THEN 'DIFFERENT' ELSE 'tie' END AS verdict FROM g a JOIN g b ON a.arm < b.arm, p")
+@query("q_partial_test", f"WITH {ALL_SQL}, f AS (SELECT arm, count(DISTINCT seed) FILTER (WHERE state = 'done') AS seeds, bool_or(state IN ('interrupted', 'to do')) AS unfinished, bool_or(state = 'diverged') AS replaced FROM a GROUP BY arm) SELECT arm, seeds, unfinished, replaced, CASE WHEN (SELECT count(DISTINCT seeds) = 1 AND min(seeds) >= 3 AND NOT bool_or(unfinished) FROM f) THEN 'complete' ELSE 'PARTIAL' END AS status FROM f")
 def _(spark, sf_dir):
-    return _round(selection.verdicts(selection.groups(_runs(spark))), "difference", "threshold")
+    """Over all folders there is no verdict yet: some runs are unfinished."""
+    return selection.completeness(_runs(spark, ""))
 
 
 @query("q_choice", f"WITH {POOLED}, b AS (SELECT min(mean) AS lowest, arg_min(seeds, mean) AS bs FROM g) SELECT arm AS chosen FROM g, b, p WHERE mean - lowest <= t * pooled_sd * sqrt(1.0 / seeds + 1.0 / bs) ORDER BY parameters, mean, arm LIMIT 1")
 def _(spark, sf_dir):
-    return selection.choice(selection.groups(_runs(spark)))
+    runs = _runs(spark)
+    return selection.choice(selection.groups(runs), selection.complete(runs))
+
+
+@query("q_lengths", "WITH f(arm, steps) AS (VALUES ('char', 9000), ('pair', 4200), ('word', 3800)) SELECT arm, steps, arm AS taken_from FROM f UNION ALL SELECT 'pair-large', steps, 'pair' FROM f WHERE arm = 'pair' UNION ALL SELECT 'word-small', steps, 'word' FROM f WHERE arm = 'word'")
+def _(spark, sf_dir):
+    """Lengths that were searched, and those that arms between two of them borrow."""
+    found = _runs(spark).select("arm", "steps").distinct()
+    return rules.borrowed(found, {"pair-large": "pair", "word-small": "word"}, ("pair", "word"))
 
 
 TRIED = {5000: (1.780, 4900), 10_000: (1.752, 9000), 20_000: (1.745, 9500)}
@@ -190,8 +272,8 @@ def _(spark, sf_dir):
 
 
 @query("q_bootstrap", f"""WITH {_arms_sql()}, s AS (SELECT doc_id, chars, bits3 - bits2 AS bits, count(*) OVER (PARTITION BY doc_id) AS sides, row_number() OVER (PARTITION BY doc_id ORDER BY block) - 1 AS slot FROM b),
-    t AS (SELECT doc_id, slot, sides, unnest(range(0, 1000)) AS r FROM s), x AS (SELECT doc_id, r, ('0x' || substr(md5('0|' || r || '|' || doc_id || '|' || slot), 1, 8))::BIGINT % sides AS pick FROM t),
+    t AS (SELECT doc_id, slot, sides, unnest(range(0, 10000)) AS r FROM s), x AS (SELECT doc_id, r, ('0x' || substr(md5('0|' || r || '|' || doc_id || '|' || slot), 1, 8))::BIGINT % sides AS pick FROM t),
     q AS (SELECT r, sum(bits) / sum(chars) AS v FROM x JOIN s ON x.doc_id = s.doc_id AND x.pick = s.slot GROUP BY r) SELECT round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM q""")
 def _(spark, sf_dir):
     blocks = _arms(spark, sf_dir).select("doc_id", "block", "chars", (F.col("bits3") - F.col("bits2")).alias("bits"))
-    return _round(selection.bootstrap(blocks, 1000), "low", "high")
+    return _round(selection.bootstrap(blocks, 10_000), "low", "high")

@@ -58,19 +58,6 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.groupBy("conv_id").agg(F.array_join(F.transform(ordered, lambda x: x["said"]), "").alias("text"))
 
 
-def read_runs(spark: SparkSession, folder: str) -> DataFrame:
-    """Run folders' config.json and result.json; a run without a result has nulls there."""
-    config = spark.read.json(f"{folder}/*/config.json", multiLine=True)
-    result = spark.read.json(f"{folder}/*/result.json", multiLine=True, schema="name string, best struct<validation_bpc: double, step: long, passes: double>, final_validation_bpc double, minutes double")
-    return config.join(result, "name", "left")
-
-
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """A run's CSV log; `nan` is NaN, not null."""
-    schema = "step int, passes double, learning_rate double, training_loss double, gradient_length double, share_clipped double, seen_bpc double, validation_bpc double, validation_loss double, tokens_per_second double, minutes double"
-    return spark.read.csv(path, header=True, schema=schema, nanValue="nan")
-
-
 def append_attempt(df: DataFrame, path: str) -> None:
     """Audit rows, as JSON lines; nothing already there is touched."""
     df.write.mode("append").json(path)
