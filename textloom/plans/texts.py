@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import characters, chunks, normalised, plain
-from ..operators import bpe, lines, ngrams, overlap
+from ..operators import bpe, lines, ngrams, overlap, vocabulary
 from ..sources import corpus
 from .registry import D, T, chars_sql, chunks_sql, lines_sql, query, windows_sql
 
@@ -213,12 +213,14 @@ def _(spark, sf_dir):
 
 @query("q_ways_to_cut")
 def _(spark, sf_dir):
-    """The ways that merges cut each of the 20 most frequent words (with the space before it)."""
-    counted = bpe.chunk_counts(_train(spark, sf_dir)).cache()
-    coded = bpe.encode_chunks(counted, bpe.learn(counted, MERGES)).join(counted, "chunk")
-    word = F.trim("chunk")
-    cuts = coded.where(F.regexp_like("chunk", F.lit(r"^ ?\p{Ll}{3,}$"))).groupBy(word.alias("word")).agg(F.count_distinct(F.array_join(F.transform("pieces", lambda x: F.trim(x)), "|")).alias("ways"), F.sum("n").alias("n"))
-    return cuts.orderBy(F.desc("n"), "word").limit(20)
+    """How often each of the 20 most frequent words of three small letters or more stands in held-out texts, and in how many ways tokens cut it."""
+    held = corpus.load_set(spark, sf_dir, "validation")
+    merges = bpe.learn(bpe.chunk_counts(_train(spark, sf_dir)), MERGES)
+    coded = bpe.encode(held, merges).select("doc_id", F.col("pos").alias("chunk"), F.posexplode("pieces").alias("at", "token"))
+    tokens = vocabulary.placed(coded.select("doc_id", F.struct("chunk", "at").alias("pos"), "token"), "doc_id", "token")
+    words = vocabulary.words_in(held, "doc_id").where(F.regexp_like("word", F.lit(r"^\p{Ll}{3,}$")))
+    top = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(20).select("word")
+    return vocabulary.ways_to_cut(words.join(F.broadcast(top), "word"), tokens, "doc_id")  # 20 rows
 
 
 ALPHABET = "al AS (SELECT ch, row_number() OVER (ORDER BY ch) - 1 AS id FROM (SELECT DISTINCT unnest(string_split(text, '')) AS ch FROM documents WHERE text <> ''))"
@@ -234,7 +236,7 @@ def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _(spark, sf_dir):
     ids = F.broadcast(_vocabulary(spark, sf_dir).groupBy().agg(F.map_from_entries(F.collect_list(F.struct("ch", "id"))).alias("ids")))  # an alphabet
     d = corpus.load_set(spark, sf_dir, "validation").where("text <> ''").crossJoin(ids)
-    coded = F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c: F.element_at("ids", c).cast("string"))
+    coded = F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c: vocabulary.ids_of(c, F.col("ids")).cast("string"))
     return d.select("doc_id", F.length("text").cast("long").alias("n_tokens"), F.md5(F.array_join(coded, " ")).alias("ids_md5"))
 
 
@@ -242,7 +244,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     vocab = F.broadcast(_vocabulary(spark, sf_dir))
     ids = characters(corpus.load_set(spark, sf_dir, "validation"), "doc_id").join(vocab, "ch").select("doc_id", "pos", "id")
-    back = ids.join(vocab, "id").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ch"))), lambda x: x["ch"]), "").alias("text"))
+    back = vocabulary.tokens_of(ids, vocab).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ch"))), lambda x: x["ch"]), "").alias("text"))
     return back.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
@@ -387,6 +389,23 @@ def _(spark, sf_dir):
     return held.groupBy("lang").agg((F.sum("s.bz") / F.sum("n")).alias("bzip2"), (F.sum("s.xz") / F.sum("n")).alias("xz"))
 
 
+@query("q_compress_after")
+def _(spark, sf_dir):
+    """Bits per character of each validation text when the compressor has read another text of its language: the extra bytes alone."""
+
+    @F.pandas_udf("struct<bz: long, xz: long>")
+    def extra(text: pd.Series, prior: pd.Series) -> pd.DataFrame:
+        squeeze = {"bz": lambda x: bz2.compress(x, 9), "xz": lambda x: lzma.compress(x, preset=9 | lzma.PRESET_EXTREME)}
+        size = lambda f, x: len(f(x)) if x else 0
+        rows = [((p or "").encode(), ((p or "") + t).encode()) for t, p in zip(text, prior)]
+        return pd.DataFrame({k: [8 * (size(f, both) - size(f, before)) for before, both in rows] for k, f in squeeze.items()})
+
+    read = _train(spark, sf_dir).groupBy("lang").agg(F.max_by("text", F.struct(F.length("text"), "doc_id")).alias("prior"))  # the longest
+    held = corpus.load_set(spark, sf_dir, "validation").where("text <> ''").join(F.broadcast(read), "lang", "left")  # a row per language
+    bits = held.select("doc_id", "lang", F.length("text").alias("n"), extra("text", "prior").alias("s"))
+    return bits.select("doc_id", "lang", (F.col("s.bz") / F.col("n")).alias("bzip2"), (F.col("s.xz") / F.col("n")).alias("xz"))
+
+
 # ---- models
 
 
