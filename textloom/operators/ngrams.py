@@ -6,10 +6,13 @@ length. Scored positions are collapsed to distinct n-grams with a multiplicity b
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import windows
+from .overlap import MOST, PART, Sums, sieve_of
 
 #: Stands before a text's first character; no text holds it.
 PAD = "\x01"
@@ -62,3 +65,99 @@ def score(held: DataFrame, training: DataFrame, order: int, alphabet: int, *grou
     pieces = padded(held, order, *groups).groupBy(*groups, "piece").agg(F.count("*").alias("times"))
     scored = probabilities(pieces, gram_counts(training, order), order, alphabet)
     return scored.groupBy(*groups).agg(F.sum("times").alias("n_chars"), *[F.sum(-F.log2(f"p{k}") * F.col("times")).alias(f"bits{k}") for k in range(1, order + 1)])
+
+
+# ---- many orders at once, by hashes
+
+_SALT = 0x9E3779B97F4A7C15
+
+
+def _salted(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of one order, apart from those of the others."""
+    return (hashes ^ np.uint64(k * _SALT & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _by_order(texts: list, order: int):
+    """Parts of the texts: (their rows, the row of each character, and for each order the hashes of its n-gram and of what comes before it)."""
+    rows, pieces, held = [], [], 0
+    cuts = [(row, begin, text[max(0, begin - order + 1) : begin + PART]) for row, text in enumerate(texts) if text for begin in range(0, len(text), PART)]
+    for n, (row, begin, piece) in enumerate(cuts):
+        pad = PAD * (order - 1 - min(begin, order - 1))
+        pieces.append(np.frombuffer((pad + piece).encode("utf-32-le", "surrogatepass"), dtype="<u4"))
+        rows.append(row)
+        held += len(piece)
+        if held < PART and n + 1 < len(cuts):
+            continue
+        sizes = np.array([len(p) for p in pieces])
+        sums, codes = Sums(np.concatenate(pieces)), int(sizes.sum())
+        first = np.ones(codes, dtype=bool)  # not the characters that only stand before
+        for at in np.concatenate([[0], np.cumsum(sizes)[:-1]]).tolist():
+            first[at : at + order - 1] = False
+        at = np.flatnonzero(first)
+        yield np.repeat(np.array(rows), sizes)[at], [(_salted(sums.hashes(at - k + 1, k, 0), k), _salted(sums.hashes(at - k + 1, k - 1, 0), k)) for k in range(1, order + 1)]
+        rows, pieces, held = [], [], 0
+
+
+def hashed_counts(training: DataFrame, order: int, sieve=None) -> DataFrame:
+    """h, ctx, n: n-grams of all orders up to `order` and their contexts, by 64-bit hashes; with a sieve, those whose context passes it."""
+
+    def run(batches):
+        _, shift, bits = sieve.value if sieve else (0, 0, None)
+        for b in batches:
+            for _, hashes in _by_order(b.column(0).to_pylist(), order):
+                for h, ctx in hashes:
+                    if bits is not None:
+                        i = ctx >> np.uint64(shift)
+                        kept = (bits[(i >> np.uint64(6)).astype(np.int64)] >> (i & np.uint64(63)) & np.uint64(1)).astype(bool)
+                        h, ctx = h[kept], ctx[kept]
+                    h, first, n = np.unique(h, return_index=True, return_counts=True)
+                    for at in range(0, len(h), 200_000):
+                        some = slice(at, at + 200_000)
+                        yield pa.RecordBatch.from_arrays([pa.array(h[some].view(np.int64)), pa.array(ctx[first[some]].view(np.int64)), pa.array(n[some])], names=["h", "ctx", "n"])
+
+    counted = training.select("text").mapInArrow(run, "h long, ctx long, n long")
+    return counted.groupBy("h").agg(F.first("ctx").alias("ctx"), F.sum("n").alias("n"))
+
+
+def score_orders(held: DataFrame, training: DataFrame, order: int, alphabet: int, *groups: str) -> DataFrame:
+    """As score(), for many orders: all of them are counted, joined and collapsed together, whatever their number.
+
+    N-grams are compared by 64-bit hashes. Training n-grams whose context no held-out text has leave before the shuffle.
+    """
+    schema = held.select(*groups).schema
+
+    def run(batches):
+        for b in batches:
+            for rows, hashes in _by_order(b.column(len(groups)).to_pylist(), order):
+                # equal n-grams of one row at once
+                key = np.stack([rows.astype(np.uint64), hashes[-1][0]])
+                by = np.lexsort(key)
+                fresh = np.concatenate([[True], (np.diff(key[:, by]) != 0).any(axis=0)])
+                first, times = by[fresh], np.diff(np.append(np.flatnonzero(fresh), len(by)))
+                for at in range(0, len(first), 50_000):
+                    some = first[at : at + 50_000]
+                    flat = [pa.array(np.stack([x[k][some] for x in hashes], axis=1).ravel().view(np.int64)) for k in (0, 1)]
+                    offsets = pa.array(np.arange(len(some) + 1, dtype=np.int32) * order)
+                    columns = [b.column(c).take(pa.array(rows[some].astype(np.int64))) for c in range(len(groups))]
+                    columns += [pa.array(hashes[-1][0][some].view(np.int64)), pa.array(times[at : at + 50_000]), *(pa.ListArray.from_arrays(offsets, x) for x in flat)]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*schema.names, "id", "times", "hs", "ctxs"])
+
+    spec = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema] + ["id long, times long, hs array<long>, ctxs array<long>"])
+    pieces = held.select(*groups, "text").mapInArrow(run, spec)
+    distinct = pieces.groupBy("id").agg(F.first("hs").alias("hs"), F.first("ctxs").alias("ctxs"))  # the hashes follow from the id
+    at = F.explode(F.transform(F.sequence(F.lit(0), F.lit(order - 1)), lambda k: F.struct(k.alias("k"), F.get("hs", k).alias("h"), F.get("ctxs", k).alias("ctx")))).alias("x")
+    wanted = distinct.select("id", at).select("id", "x.k", "x.h", "x.ctx")
+    chars = held.agg(F.sum(F.length("text"))).first()[0] or 0
+    sieve = sieve_of(wanted.select(F.col("ctx").alias("h1")).distinct(), 0, min(chars * order, MOST)) if chars * order <= 4 * MOST else None
+    counts = hashed_counts(training, order, sieve)
+    contexts = counts.groupBy("ctx").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    found = wanted.join(counts.select("h", "n").hint("merge"), "h", "left").join(contexts.hint("merge"), "ctx", "left")
+    levels = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", F.coalesce("n", F.lit(0)).alias("n"), "total", "kinds"))).alias("levels"))
+    p, names = F.lit(1.0 / alphabet), []
+    for k in range(order):
+        x = F.get("levels", F.lit(k))
+        levels = levels.withColumn(f"p{k + 1}", F.when(x["total"].isNotNull(), (x["n"] + x["kinds"] * p) / (x["total"] + x["kinds"])).otherwise(p))
+        p = F.col(f"p{k + 1}")
+        names.append(f"p{k + 1}")
+    scored = pieces.select(*groups, "id", "times").join(levels.select("id", *names).hint("merge"), "id")
+    return scored.groupBy(*groups).agg(F.sum("times").alias("n_chars"), *[F.sum(-F.log2(f"p{k}") * F.col("times")).alias(f"bits{k}") for k in range(1, order + 1)])
