@@ -55,6 +55,37 @@ def test_probabilities_sum_to_one(spark, order):
         assert p == pytest.approx(1)
 
 
+def test_all_orders_at_once(spark, monkeypatch):
+    dice = random.Random(9)
+    text = lambda n: "".join(dice.choice("abcé 𝔘") for _ in range(n))
+    train, held = docs(spark, *[text(dice.randint(0, 120)) for _ in range(30)], None, ""), docs(spark, *[text(dice.randint(0, 90)) for _ in range(12)], "x", "", None)
+    for groups in ((), ("doc_id",)):
+        key = lambda r: r[: len(groups)]  # noqa: E731, B023
+        a, b = ({key(r): tuple(r)[len(groups) :] for r in f(held, train, 5, 7, *groups).collect()} for f in (ngrams.score, ngrams.score_orders))
+        assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
+
+
+@pytest.mark.parametrize("part", [3, 50])
+def test_orders_across_cuts(monkeypatch, part):
+    """Equal hashes for equal n-grams and contexts only, wherever long texts are cut."""
+    dice = random.Random(part)
+    texts = ["".join(dice.choice("abé") for _ in range(n)) for n in (0, 1, 4, 130)] + [None]
+    monkeypatch.setattr(ngrams, "PART", part)
+    grams, contexts, n = defaultdict(set), defaultdict(set), Counter()
+    for rows, hashes in ngrams._by_order(texts, 4):
+        for row in set(rows.tolist()):
+            at = np.flatnonzero(rows == row)
+            for i, j in enumerate(at.tolist(), start=n[row]):
+                before = "\x01" * 3 + texts[row][: i + 1]
+                for k in range(1, 5):
+                    grams[k, before[-k:]].add(int(hashes[k - 1][0][j]))
+                    contexts[k, before[-k:-1]].add(int(hashes[k - 1][1][j]))
+            n[row] += len(at)
+    assert dict(n) == {i: len(t) for i, t in enumerate(texts) if t}
+    for found in (grams, contexts):
+        assert all(len(v) == 1 for v in found.values()) and len({x for v in found.values() for x in v}) == len(found)
+
+
 def glued(word, pair):
     """A word's pieces with each occurrence of the pair made one, from the left; by text, with a mark between pieces."""
     text = "\0" + "\0".join(word) + "\0"
@@ -144,6 +175,10 @@ def test_shared_windows_by_text(spark, monkeypatch, most):
     got = sorted(tuple(r) for r in overlap.shared(docs(spark, *held), docs(spark, *rest), [5, 8, 11], "doc_id").collect())
     assert got == sorted((d, i, w) for d, t in enumerate(held) for w in (5, 8, 11) for i in range(len(t) - w + 1) if any(t[i : i + w] in r for r in rest))
     both = held + rest
+    counted = overlap.held_elsewhere(docs(spark, *both), [5, 8], "doc_id", F.col("doc_id") % 2 == 0).collect()
+    for r in counted:
+        at = [(d, t[i : i + r.width]) for d, t in enumerate(both) for i in range(len(t) - r.width + 1) if d % 2 == 0]
+        assert (r.windows, r.shared) == (len(at), sum(any(x in t for e, t in enumerate(both) if e != d) for d, x in at))
     for r in overlap.held_elsewhere(docs(spark, *both), [5, 8], "doc_id").collect():
         at = [(d, t[i : i + r.width]) for d, t in enumerate(both) for i in range(len(t) - r.width + 1)]
         assert (r.windows, r.shared) == (len(at), sum(any(x in t for e, t in enumerate(both) if e != d) for d, x in at))
@@ -282,3 +317,18 @@ def test_borrowed_lengths(spark):
     for bad in ({"a": 4000, "b": 8001}, {"a": 4000}):
         with pytest.raises(Exception, match="search these lengths"):
             rules.borrowed(found(**bad), {"x": "a"}, ("a", "b")).collect()
+
+
+def test_more_than_one_passage_is_an_error(spark):
+    item, text = "".join(chr(0x400 + i) for i in range(60)), "".join(chr(0x4E00 + i) for i in range(60))
+    one = overlap.passages(docs(spark, item), docs(spark, "??" + item).withColumnRenamed("doc_id", "other"), 20, "doc_id", "other")
+    assert overlap.only_one(one, "doc_id", "other").first().length == 60
+    two = overlap.passages(docs(spark, item + "#" + text), docs(spark, text + "?" + item).withColumnRenamed("doc_id", "other"), 20, "doc_id", "other")
+    with pytest.raises(Exception, match="2 passages of 0 and 0"):
+        overlap.only_one(two, "doc_id", "other").collect()
+
+
+def test_longest_of_each(spark):
+    held, rest = ["the cat sat on the mat", "a dog", "zzzz", "", "the cat sat"], ["see the cat sat down", "on the mat", "a dig"]
+    want = {d: max((n for n in range(len(t) + 1) for i in range(len(t) - n + 1) if any(t[i : i + n] in r for r in rest)), default=0) for d, t in enumerate(held)}
+    assert {r.doc_id: r.longest for r in overlap.longest_of_each(docs(spark, *held), docs(spark, *rest), "doc_id", cap=40).collect()} == want

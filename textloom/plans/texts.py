@@ -15,7 +15,7 @@ from ..sources import corpus
 from .registry import D, T, chars_sql, chunks_sql, lines_sql, query, windows_sql
 
 WIDTHS = [20, 25, 30, 40, 50, 60, 80, 100]
-ORDER = 4
+ORDER = 8
 #: As many as a vocabulary of 4,096 takes.
 MERGES = 3998
 
@@ -79,11 +79,12 @@ def _(spark, sf_dir):
 
 
 @query("q_corpus_stats", r"""SELECT lang, count(*) AS docs, sum(len(string_split(text, chr(10))))::BIGINT AS lines, sum(len(regexp_extract_all(text, '[^\t\n\f\r ]+')))::BIGINT AS words,
-    sum(length(text))::BIGINT AS chars, round(sum(length(text)) / (SELECT sum(length(text)) FROM documents), 9) AS share FROM documents GROUP BY lang""")
+    sum(length(text))::BIGINT AS chars, round(sum(length(text)) / (SELECT sum(length(text)) FROM documents), 9) AS share, (SELECT count(DISTINCT ch) FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents e WHERE e.lang IS NOT DISTINCT FROM documents.lang AND text <> '')) AS alphabet FROM documents GROUP BY lang""")
 def _(spark, sf_dir):
     d = corpus.documents(spark, sf_dir)
+    different = d.select("lang", F.explode(F.array_distinct(F.split("text", ""))).alias("ch")).where("ch <> ''").distinct().groupBy("lang").agg(F.count("*").alias("alphabet"))
     per = d.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.size(F.split("text", "\n"))).alias("lines"), F.sum(F.regexp_count("text", F.lit(r"[^\t\n\f\r ]+"))).alias("words"), F.sum(F.length("text")).alias("chars"))
-    return per.withColumn("share", F.round(F.col("chars") / F.sum("chars").over(Window.partitionBy()), 9))  # a row per language
+    return per.withColumn("share", F.round(F.col("chars") / F.sum("chars").over(Window.partitionBy()), 9)).join(different, "lang", "left")  # a row per language
 
 
 @query("q_corpus_audit", r"""SELECT sum(len(regexp_extract_all(text, '\['))) ::BIGINT AS opened, sum(len(regexp_extract_all(text, '\]')))::BIGINT AS closed, sum(len(regexp_extract_all(text, '[0-9]')))::BIGINT AS digits,
@@ -432,21 +433,21 @@ def _(spark, sf_dir):
 @query("q_ngram_bits", f"WITH {D}, {_model_sql(ORDER)} SELECT lang, count(*) AS n_chars, round(-sum(log2(p{ORDER})) / count(*), 6) AS bits FROM wv JOIN p{ORDER} USING (piece) GROUP BY lang")
 def _(spark, sf_dir):
     d = corpus.documents(spark, sf_dir)
-    got = ngrams.score(d.where("set = 'validation'"), d.where("set = 'train'"), ORDER, ngrams.alphabet_size(d), "lang")
+    got = ngrams.score_orders(d.where("set = 'validation'"), d.where("set = 'train'"), ORDER, ngrams.alphabet_size(d), "lang")
     return got.select("lang", "n_chars", F.round(F.col(f"bits{ORDER}") / F.col("n_chars"), 6).alias("bits"))
 
 
 @query("q_baseline_table", f"WITH {D}, {_model_sql(ORDER)} SELECT count(*) AS n_chars, {BITS} FROM wv JOIN p{ORDER} USING (piece)")
 def _(spark, sf_dir):
     d = corpus.documents(spark, sf_dir)
-    got = ngrams.score(d.where("set = 'validation'"), d.where("set = 'train'"), ORDER, ngrams.alphabet_size(d))
+    got = ngrams.score_orders(d.where("set = 'validation'"), d.where("set = 'train'"), ORDER, ngrams.alphabet_size(d))
     return got.select("n_chars", *[F.round(F.col(f"bits{k}") / F.col("n_chars"), 6).alias(f"bits{k}") for k in range(1, ORDER + 1)])
 
 
 @query("q_leave_one_work_out", f"""WITH {D}, {_model_sql(2)}, w AS (SELECT doc_id, -sum(log2(p2)) AS bits, count(*) AS n FROM wv JOIN p2 USING (piece) GROUP BY doc_id) SELECT doc_id, round(((SELECT sum(bits) FROM w) - bits) / ((SELECT sum(n) FROM w) - n), 6) AS without FROM w""")
 def _(spark, sf_dir):
     d = corpus.documents(spark, sf_dir)
-    per = ngrams.score(d.where("set = 'validation'"), d.where("set = 'train'"), 2, ngrams.alphabet_size(d), "doc_id")
+    per = ngrams.score_orders(d.where("set = 'validation'"), d.where("set = 'train'"), 2, ngrams.alphabet_size(d), "doc_id")
     bits, n = per.agg(F.sum("bits2"), F.sum("n_chars")).first()
     return per.select("doc_id", F.round((F.lit(bits) - F.col("bits2")) / (F.lit(n) - F.col("n_chars")), 6).alias("without"))
 
@@ -563,6 +564,12 @@ def _(spark, sf_dir):
     return overlap.held_elsewhere(corpus.documents(spark, sf_dir), WIDTHS, "doc_id")
 
 
+@query("q_loo_without", "WITH " + ", ".join(windows_sql(f"a{w}", "documents", "doc_id", w) for w in (30, 60)) + " " + " UNION ALL ".join(f"SELECT {w} AS width, sum(n)::BIGINT AS windows, coalesce(sum(n) FILTER (WHERE x <> y), 0)::BIGINT AS shared FROM (SELECT count(*) FILTER (WHERE doc_id % 7 <> 3) AS n, min(doc_id) AS x, max(doc_id) AS y FROM a{w} GROUP BY piece)" for w in (30, 60)))
+def _(spark, sf_dir):
+    """Without the windows of a list of documents, which still hold those of others."""
+    return overlap.held_elsewhere(corpus.documents(spark, sf_dir), [30, 60], "doc_id", F.col("doc_id") % 7 != 3)
+
+
 @query("q_leak", f"""WITH {windows_sql('a', 'benchmark', 'item_id', 50)}, {windows_sql('b', 'documents', 'doc_id', 50)}, fa AS (SELECT item_id, piece, min(pos) AS pa FROM a GROUP BY ALL), fb AS (SELECT doc_id, piece, min(pos) AS pb FROM b WHERE piece IN (SELECT piece FROM a) GROUP BY ALL),
     j AS (SELECT item_id, doc_id, pa, pb, pa - row_number() OVER (PARTITION BY item_id, doc_id, pa - pb ORDER BY pa) AS island FROM fa JOIN fb USING (piece))
     SELECT item_id, doc_id, min(pa) AS begin_item, min(pb) AS begin_doc, count(*) + 49 AS length FROM j GROUP BY item_id, doc_id, pa - pb, island""")
