@@ -54,7 +54,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def token_digests(stored: DataFrame) -> DataFrame:
-    """doc_id, n_tokens and the crc32 of its ids as little-endian unsigned 32-bit integers."""
+    """doc_id, n_tokens, the crc32 of its ids as little-endian unsigned 32-bit integers, and the file it stands in."""
     share_code(stored.sparkSession)
 
     def run(batches):
@@ -62,31 +62,34 @@ def token_digests(stored: DataFrame) -> DataFrame:
             lists = b.column(1)
             values, offsets = lists.values.to_numpy(zero_copy_only=False).astype("<u4").view("u1"), lists.offsets.to_numpy()
             crc = [zlib.crc32(values[4 * i : 4 * j]) for i, j in zip(offsets[:-1], offsets[1:])]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64()), b.column(2)], names=["doc_id", "n_tokens", "ids_crc32", "file"])
 
-    return stored.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long")
+    return stored.select("doc_id", "token_ids", F.col("_metadata.file_name").alias("file")).mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, file string")
 
 
 def with_starts(digests: DataFrame) -> DataFrame:
     """Adds start: the sum of n_tokens of all rows before, by doc_id (nulls first), crc32 and length.
 
-    Ranges are summed apart; only their totals, one per partition, meet in one place.
+    Files follow doc_id in the order of their numbers, so each is summed apart, and only totals, one per file, meet in one place. Files that
+    do not follow each other are an error.
     """
     spark = digests.sparkSession
-    order = ["doc_id", "ids_crc32", "n_tokens", "row"]
     rows = materialise(digests.withColumn("row", F.monotonically_increasing_id()), "digests")
-    dealt = materialise(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "ranges")
-    totals = sorted(tuple(r) for r in dealt.groupBy("part").agg(F.sum("n_tokens")).collect())
-    before, parts = 0, []
-    for part, n in totals:
-        parts.append((part, before))
-        before += n
+    none = F.col("doc_id").isNull()
+    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"), F.min(F.struct(~none, "doc_id")).alias("first"), F.max(F.struct(~none, "doc_id")).alias("last")).collect()
+    key = lambda x: (x[0], x[1] or 0)
+    before, parts, last = 0, [], (False, 0)
+    for f in sorted(files, key=lambda f: f.file):  # part-00000-, part-00001-, ...
+        if key(f.first) < last:
+            raise ValueError(f"{f.file} begins before the end of the file before it")
+        parts.append((f.file, before))
+        before, last = before + f.n, key(f.last)
     if not parts:
         return digests.select("doc_id", F.lit(0).cast("long").alias("start"), "n_tokens", "ids_crc32")
-    w = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("file").orderBy("doc_id", "ids_crc32", "n_tokens", "row").rowsBetween(Window.unboundedPreceding, -1)
     within = F.coalesce(F.sum("n_tokens").over(w), F.lit(0))
-    offsets = F.broadcast(spark.createDataFrame(parts, "part int, before long"))  # one row per partition
-    return dealt.withColumn("within", within).join(offsets, "part").select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
+    offsets = F.broadcast(spark.createDataFrame(parts, "file string, before long"))  # one row per file
+    return rows.withColumn("within", within).join(offsets, "file").select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
