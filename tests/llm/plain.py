@@ -179,3 +179,29 @@ def hmm_scores(texts, held, begin, states, own, shared, shared_class, add, round
         totals = [sum(r[s] for r in ee) for s in range(states)]
         emit = [[r[s] / totals[s] for s in range(states)] for r in ee]
     return [sum(log10(x) for x in forward([*map(cls, w), end])[1]) + sum(log10(share(x)) for x in w) for w in words]
+
+
+def kneser_ney(texts, order, alphabet):
+    """prob(context, c) of an interpolated model with one discount an order, from counts in dictionaries. texts: normalised, with their padding."""
+    from collections import Counter
+
+    levels = {order: Counter(t[i : i + order] for t in texts for i in range(len(t) - order + 1))}
+    for n in range(order - 1, 0, -1):  # how many different characters stand before
+        levels[n] = Counter(g[1:] for g in levels[n + 1])
+    discount = {}
+    for n, counts in levels.items():
+        once, twice = (sum(v == k for v in counts.values()) for k in (1, 2))
+        discount[n] = once / (once + 2 * twice) if once and twice else 0.5
+
+    def prob(context, c, n):
+        if n == 0:
+            return 1 / alphabet
+        own = context[len(context) - n + 1 :] if n > 1 else ""
+        behind = {g: v for g, v in levels[n].items() if g[:-1] == own}
+        lower = prob(context, c, n - 1)
+        if not behind:
+            return lower
+        total = sum(behind.values())
+        return max(behind.get(own + c, 0) - discount[n], 0) / total + discount[n] * len(behind) / total * lower
+
+    return lambda context, c: prob(context, c, order)

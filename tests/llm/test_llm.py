@@ -154,16 +154,54 @@ def test_token_orc(spark, hard, where):
         at += a.n_tokens
 
 
-def test_orc_prunes(spark):
-    path = fresh(spark, "orc-test")
-    token_orc.write_tokens(spark.range(2000).selectExpr("id AS doc_id", "concat('word ', id) AS text"), WORDS, path, row_group=1000)
-    one = token_orc.read_tokens(spark, path).where("doc_id = 77")
-    assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,77)]" in one._jdf.queryExecution().toString()
-    assert len(one.collect()) == 1
-    from pyarrow import orc
+def orc_footers(spark, path):
+    """Of each stripe of the files: the kinds of streams of each column, and the columns' encodings."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    out = []
+    for file in sorted(__import__("pathlib").Path(path.removeprefix("file:")).glob("*.orc")):
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(f"file:{file}"), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        rows = reader.rows()
+        for stripe in reader.getStripes():
+            footer = rows.readStripeFooter(stripe)
+            streams = {}
+            for x in footer.getStreamsList():
+                streams.setdefault(x.getColumn(), set()).add(x.getKind().toString())
+            out.append((streams, [x.getKind().toString() for x in footer.getColumnsList()]))
+        rows.close()
+    return out
 
-    file = next(p for p in __import__("pathlib").Path(path.removeprefix("file:")).glob("*.orc"))
-    assert orc.ORCFile(file).nstripes >= 1
+
+def test_orc_stripes_and_filters(spark):
+    """Several stripes, row indexes, a Bloom filter on doc_id alone, run-length encoded integers; point and range reads skip what can't match."""
+    path = fresh(spark, "orc-test")
+    docs = spark.range(0, 60_000, 2).selectExpr("id AS doc_id", "concat('word ', id, ' ', repeat('a b c ', cast(id % 7 AS int))) AS text")
+    token_orc.write_tokens(docs.coalesce(1), WORDS, path, stripe_bytes=1 << 16, row_group=1000)
+    stripes = orc_footers(spark, path)
+    assert len(stripes) >= 3
+    for streams, encodings in stripes:  # columns: the row, doc_id, token_ids, its elements
+        assert "BLOOM_FILTER_UTF8" in streams[1] and "ROW_INDEX" in streams[1] and not any("BLOOM_FILTER_UTF8" in streams.get(c, ()) for c in (0, 2, 3))
+        assert encodings[1] == encodings[3] == "DIRECT_V2"
+
+    def read(where):
+        df = token_orc.read_tokens(spark, path).where(where)
+        n = len(df.collect())
+        leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+        return n, leaves.head().metrics().apply("numOutputRows").value()
+
+    whole = token_orc.read_tokens(spark, path)
+    assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,78)]" in whole.where("doc_id = 78")._jdf.queryExecution().toString()
+    n, scanned = read("doc_id = 30004")
+    assert n == 1 and scanned <= 2 * 1024
+    n, scanned = read("doc_id BETWEEN 100 AND 300")
+    assert n == 101 and scanned <= 2 * 1024
+    missing = [read(f"doc_id = {i}") for i in range(20_001, 20_101, 10)]  # odd: inside the range, in no row
+    assert all(n == 0 for n, _ in missing) and sum(scanned for _, scanned in missing) <= 3 * 1024
+
+
+def test_files_out_of_order_are_an_error(spark):
+    rows = spark.createDataFrame([(5, 1, 0, "part-00000"), (3, 1, 0, "part-00001")], "doc_id long, n_tokens long, ids_crc32 long, file string")
+    with pytest.raises(ValueError, match="part-00001 begins before"):
+        token_orc.with_starts(rows)
 
 
 # ---- archives
@@ -392,6 +430,39 @@ def test_kneser_ney_sums_to_one():
         assert total == pytest.approx(1)
 
 
+def test_entropies_are_kneser_neys():
+    """Against a plain model: letters in lower case, all else one space; seen and unseen contexts, a letter that no text has."""
+    import re
+
+    samples = {"aa": ["Das ist das Haus, das Hans hat!", "hat 12 Hasen"], "bb": ["c'est la la la", "le chat là"]}
+    laid = lambda t: "   " + " ".join(re.findall(r"[^\W\d_]+", t.lower())) + " "
+    counted = {x: np.unique(langid.grams(texts)[0], return_counts=True) for x, texts in samples.items()}
+    models = langid.Models({x: (k, n) for x, (k, n) in counted.items()})
+    alphabet = len({c for texts in samples.values() for t in texts for c in laid(t)}) + 1
+    tests = ["Das Haus", "la hasen chat!", "zzz qua", "é à", "x" * 50]
+    got, sizes = models.entropies(tests)
+    for j, x in enumerate(models.names):
+        prob = plain.kneser_ney([laid(t) for t in samples[x]], langid.ORDER, alphabet)
+        for i, t in enumerate(tests):
+            own = laid(t)
+            assert sizes[i] == len(own) - 3
+            assert got[i, j] == pytest.approx(-sum(math.log(prob(own[k - 3 : k], own[k])) for k in range(3, len(own))) / (len(own) - 3), rel=1e-5)
+
+
+def test_language_of_lowest_entropy(spark, rows):
+    """The query's answers from models that are fitted on the same rows, text by text."""
+    from textloom.llm.common import crc_bucket
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    models = langid.fit(docs.where(crc_bucket("doc_id", 5) != 0))
+    ce, n = models.entropies([r["text"] for r in rows])
+    got = {r.doc_id: r for r in QUERIES["op7_langid"](spark, SF).collect()}
+    for r, e, size in zip(rows, ce, n):
+        own = got[r["doc_id"]]
+        assert own.lang_pred == models.names[int(e.argmin())] and own.cross_entropy == pytest.approx(e.min())
+        assert own.score == pytest.approx(1 / np.exp(-(e - e.min()) * min(size, langid.LONGEST)).sum())
+
+
 def test_foreign_text_is_rejected(spark):
     models = langid.fit(spark.read.parquet(f"{SF}/documents.parquet"))
     strange = "qzx wvk jjq xkcd zzqy " * 40
