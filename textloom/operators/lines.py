@@ -91,13 +91,29 @@ def author_wrote(found: DataFrame, spans: DataFrame, key: str, width: int) -> Da
     return found.join(at, f"first_{key}", "left").withColumn("authors", F.coalesce(inside * 2 <= width, F.lit(False))).drop("spans")
 
 
-def label_chunks(texts: DataFrame, key: str) -> DataFrame:
-    """n_chunks, and the chunks and characters on speaker labels. A chunk that only begins on a label is an error."""
+def labelled_chunks(texts: DataFrame, key: str) -> DataFrame:
+    """key, chunk, label: whether a chunk lies on a speaker label, as its first character does. One that only begins on a label is an error."""
     labels = _placed(texts, key).where("is_label").groupBy(key).agg(F.collect_list(F.struct("begin", "end")).alias("labels"))
-    own = texts.select(key, chunks("text").alias("chunks")).join(labels, key, "left")
-    ends = F.aggregate("chunks", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("ends")), lambda a, x: F.struct((a["at"] + F.length(x)).alias("at"), F.concat(a["ends"], F.array(a["at"] + F.length(x))).alias("ends")))["ends"]
-    flat = own.withColumn("ends", ends).select("labels", F.explode(F.arrays_zip("chunks", "ends")).alias("c")).select("labels", F.length("c.chunks").alias("size"), F.col("c.ends").alias("end"))
+    flat = texts.select(key, F.posexplode(chunks("text")).alias("pos", "chunk"))
+    end = F.sum(F.length("chunk")).over(Window.partitionBy(key).orderBy("pos"))
+    flat = flat.withColumn("end", end).join(labels, key, "left")
     on = lambda at: F.coalesce(F.exists("labels", lambda s: (at >= s["begin"]) & (at < s["end"])), F.lit(False))
-    first, last = on(F.col("end") - F.col("size")), on(F.col("end") - 1)
-    judged = flat.select("size", F.when(first != last, F.raise_error(F.lit("a chunk lies on a label in part"))).otherwise(first).alias("label"))
-    return judged.agg(F.count("*").alias("n_chunks"), F.count_if("label").alias("n_label_chunks"), F.sum(F.when(F.col("label"), F.col("size"))).alias("n_label_chars"))
+    first, last = on(F.col("end") - F.length("chunk")), on(F.col("end") - 1)
+    return flat.select(key, "chunk", F.when(first != last, F.raise_error(F.lit("a chunk lies on a label in part"))).otherwise(first).alias("label"))
+
+
+def label_chunks(texts: DataFrame, key: str) -> DataFrame:
+    """n_chunks, and the chunks and characters on speaker labels."""
+    return labelled_chunks(texts, key).agg(F.count("*").alias("n_chunks"), F.count_if("label").alias("n_label_chunks"), F.sum(F.when(F.col("label"), F.length("chunk"))).alias("n_label_chars"))
+
+
+def chunk_groups(labelled: DataFrame, training: DataFrame) -> DataFrame:
+    """grp, n_chunks, n_chars of chunks (chunk, label), in nine groups: labels; words by how often the training chunks (chunk, n) hold them; the rest by kind."""
+    word = F.lower(F.trim(F.translate("chunk", "\n", " ")))
+    is_word = F.regexp_like("w", F.lit(r"^\p{L}"))
+    seen = training.select(word.alias("w"), "n").where(is_word).groupBy("w").agg(F.sum("n").alias("times"))
+    n = F.coalesce("times", F.lit(0))
+    by_count = F.when(n == 0, "word never seen").when(n < 10, "word seen 1 to 9 times").when(n < 100, "word seen 10 to 99 times").when(n < 1000, "word seen 100 to 999 times").otherwise("word seen 1,000 times or more")
+    grp = F.when(F.col("label"), "speaker labels").when(is_word, by_count).when(F.contains("chunk", F.lit("\n")), "line breaks").when(F.col("w") == "", "lone spaces").otherwise("punctuation")
+    counted = labelled.groupBy("chunk", "label").agg(F.count("*").alias("k")).withColumn("w", word).join(seen, "w", "left").withColumn("grp", grp)
+    return counted.groupBy("grp").agg(F.sum("k").alias("n_chunks"), F.sum(F.col("k") * F.length("chunk")).alias("n_chars"))

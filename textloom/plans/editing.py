@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import editing, lines, overlap
+from ..operators import bpe, editing, lines, overlap
 from ..sources import corpus
 from .registry import T, chunks_sql, lines_sql, query, windows_sql
 from .texts import LABELLED
@@ -118,3 +118,14 @@ def _(spark, sf_dir):
     """Chunks on speaker labels: one is on a label if its first character is, and then its last must be."""
     t = corpus.transcripts(spark, sf_dir)
     return lines.label_chunks(t, "conv_id")
+
+
+@query("q_nine_groups", rf"""WITH {T}, {SPANS}, lb AS (SELECT conv_id, b, e FROM (SELECT conv_id, is_label, (sum(size) OVER w - size)::BIGINT AS b, (sum(size) OVER w)::BIGINT AS e FROM z WINDOW w AS (PARTITION BY conv_id ORDER BY line_no)) WHERE is_label), {CHUNKED},
+    s AS (SELECT lower(trim(replace(chunk, chr(10), ' '))) AS w, count(*) AS times FROM o WHERE conv_id % 10 > 1 GROUP BY 1 HAVING regexp_matches(w, '^\p{{L}}')),
+    x AS (SELECT chunk, lower(trim(replace(chunk, chr(10), ' '))) AS w, EXISTS (SELECT 1 FROM lb WHERE lb.conv_id = o.conv_id AND o.begin >= lb.b AND o.begin < lb.e) AS label FROM o WHERE conv_id % 10 = 0)
+    SELECT CASE WHEN label THEN 'speaker labels' WHEN regexp_matches(x.w, '^\p{{L}}') THEN CASE WHEN times IS NULL THEN 'word never seen' WHEN times < 10 THEN 'word seen 1 to 9 times' WHEN times < 100 THEN 'word seen 10 to 99 times' WHEN times < 1000 THEN 'word seen 100 to 999 times' ELSE 'word seen 1,000 times or more' END
+        WHEN contains(chunk, chr(10)) THEN 'line breaks' WHEN x.w = '' THEN 'lone spaces' ELSE 'punctuation' END AS grp, count(*) AS n_chunks, sum(length(chunk))::BIGINT AS n_chars FROM x LEFT JOIN s ON s.w = x.w GROUP BY 1""")
+def _(spark, sf_dir):
+    """Chunks of held-out transcripts: on labels, words by how often training transcripts hold them, and the rest."""
+    t = corpus.transcripts(spark, sf_dir)
+    return lines.chunk_groups(lines.labelled_chunks(t.where("conv_id % 10 = 0"), "conv_id"), bpe.chunk_counts(t.where("conv_id % 10 > 1")))
