@@ -9,8 +9,9 @@ last token before it, and the count there. This is finite, since tokens are, and
 if and only if each two neighbours are what BPE makes of their joined text, so each position has one last token, found
 from those states alone. Around it lies the split: letters run together, digits stand alone, other characters run together,
 and an apostrophe at the start of a word may begin one of the contractions; bytes of a character that is not whole yet are held.
-States and transitions are made when first met and kept by the worker, 256 cells a state; beyond `most` states all but those in use are
-dropped.
+States and transitions are made when first met and kept by the worker, a row of cells a state, a column for bytes that act alike (white
+space, digits, a letter in either case). Beyond `most` states those are dropped that are not in use and that at most one byte has led on
+from: the insides of rare words.
 
 Texts are laid end to end and cut into chunks that all step at once, from an unknown state, which the first white space ends. So
 most chunks' state maps are constant behind it, and what they got from their predecessor decides the count up to there only. A chunk
@@ -50,9 +51,9 @@ _compiled: dict[str, Transducer] = {}
 
 
 class Transducer:
-    """counts(texts) gives the tokens of each text. most: states that tables have room for, 1.5 KB each."""
+    """counts(texts) gives the tokens of each text. most: states that tables have room for, 768 bytes each for up to 128 kinds of bytes."""
 
-    def __init__(self, path: str, most: int = 100_000):
+    def __init__(self, path: str, most: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, models, normalizers
 
@@ -115,20 +116,38 @@ class Transducer:
     def reset(self) -> None:
         self.states: list = []
         self.ids: dict = {}
-        self.next = np.full(1024 * 256, -1, dtype=np.int32)
-        self.emit = np.zeros(1024 * 256, dtype=np.uint16)
+        self.columns = np.full(256, -1, dtype=np.int64)  # of each byte met so far
+        self.bytes: list[int] = []  # of each column, one of its bytes
+        self.alike: dict = {}
+        self.width = 128
+        self.next = np.full(1024 * self.width, -1, dtype=np.int32)
+        self.emit = np.zeros(1024 * self.width, dtype=np.uint16)
         self.blind = np.zeros(1024, dtype=bool)  # states that don't know their word
         self.id_of((("between",), b""))
         self.id_of((("unknown",), b""))
 
+    def column_of(self, byte: int) -> int:
+        """A new byte's column: that of one that acts alike, or the next."""
+        kind: tuple = (byte,)
+        if byte < 0x80:
+            kind = tuple((k, self.count(t)) if k == "N" else (k, t) for k, t in self.kinds(chr(byte)))
+        if kind not in self.alike:
+            self.alike[kind] = len(self.bytes)
+            self.bytes.append(byte)
+            if len(self.bytes) > self.width:
+                wide = lambda x, empty: np.hstack([x.reshape(-1, self.width), np.full((len(x) // self.width, self.width), empty, dtype=x.dtype)]).ravel()
+                self.next, self.emit = wide(self.next, -1), wide(self.emit, 0)
+                self.width *= 2
+        return self.alike[kind]
+
     def id_of(self, state: tuple) -> int:
         if state not in self.ids:
             if len(self.states) >= self.most:
                 raise Full
             if len(self.states) == len(self.blind):
                 room = min(len(self.blind), self.most - len(self.blind))
-                self.next = np.concatenate([self.next, np.full(room * 256, -1, dtype=np.int32)])
-                self.emit = np.concatenate([self.emit, np.zeros(room * 256, dtype=np.uint16)])
+                self.next = np.concatenate([self.next, np.full(room * self.width, -1, dtype=np.int32)])
+                self.emit = np.concatenate([self.emit, np.zeros(room * self.width, dtype=np.uint16)])
                 self.blind = np.concatenate([self.blind, np.zeros(room, dtype=bool)])
             self.blind[len(self.states)] = state[0][0] == "unknown"
             self.ids[state] = len(self.states)
@@ -136,14 +155,27 @@ class Transducer:
         return self.ids[state]
 
     def keep(self, *used: np.ndarray) -> None:
-        """Drop all states but those of these arrays, which are renumbered in place."""
-        old, kept = self.states, np.unique(np.concatenate([[BETWEEN, UNKNOWN], *used]))
-        if len(kept) * 2 > self.most:
+        """Drop states but those of these arrays, which are renumbered in place, and those that two bytes or more have led on from."""
+        n = len(self.states)
+        live = np.zeros(n, dtype=bool)
+        live[[BETWEEN, UNKNOWN]] = True
+        for x in used:
+            live[x] = True
+        if live.sum() * 2 > self.most:
             self.most *= 2  # more in use than there is room for: chunks, not text, bound them
-        self.reset()
-        new = np.zeros(len(old), dtype=np.int64)
-        for i in kept.tolist():
-            new[i] = self.id_of(old[i])
+        rows = self.next[: n * self.width].reshape(n, self.width)
+        often = np.concatenate([(rows[i : i + 10_000] >= 0).sum(axis=1) >= 2 for i in range(0, n, 10_000)])
+        kept = np.flatnonzero(live | often if (live | often).sum() * 4 < self.most * 3 else live)
+        new = np.full(n + 1, -1, dtype=np.int64)  # the last one is for cells that are empty
+        new[kept] = np.arange(len(kept))
+        for i in range(0, len(kept), 10_000):  # each row moves to its new place, which is no later
+            some = kept[i : i + 10_000]
+            rows[i : i + len(some)] = new[rows[some]]
+            self.emit[i * self.width : (i + len(some)) * self.width] = self.emit[: n * self.width].reshape(n, self.width)[some].ravel()
+        self.next[len(kept) * self.width :] = -1
+        self.blind[: len(kept)] = self.blind[kept]
+        self.states = [self.states[i] for i in kept.tolist()]
+        self.ids = {s: i for i, s in enumerate(self.states)}
         for x in used:
             x[:] = new[x]
 
@@ -190,8 +222,9 @@ class Transducer:
         behind, more = self.step(behind, kind, text)
         return behind, n + more
 
-    def fill(self, state: int, byte: int) -> None:
+    def fill(self, state: int, column: int) -> None:
         """Make the transition."""
+        byte = self.bytes[column]
         core, held = self.states[state]
         n, kinds = 0, ()
         if byte == SPECIAL:
@@ -209,14 +242,14 @@ class Transducer:
                 core, more = self.step(core, kind, text)
                 n += more
         to = self.id_of((core, held))
-        self.next[state * 256 + byte], self.emit[state * 256 + byte] = to, n
+        self.next[state * self.width + column], self.emit[state * self.width + column] = to, n
 
     def move(self, states: np.ndarray, read: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = states * 256 + read
+        at = states * self.width + read
         to = self.next.take(at)
         if to.min(initial=0) < 0:
             for i in np.unique(at[to < 0]).tolist():
-                self.fill(*divmod(i, 256))
+                self.fill(*divmod(i, self.width))
             to = self.next.take(at)
         return to, self.emit.take(at)
 
@@ -241,8 +274,13 @@ class Transducer:
         if not sizes:
             return np.zeros(0, dtype=np.int64)
         total = sum(sizes)
-        read = np.frombuffer(b"".join(parts) + b" " * (-total % CHUNK), dtype=np.uint8)
-        emitted = self.scan(np.ascontiguousarray(read.reshape(-1, CHUNK).T.astype(np.int64)))
+        raw = np.frombuffer(b"".join(parts) + b" " * (-total % CHUNK), dtype=np.uint8)
+        read = self.columns.take(raw)
+        if read.min() < 0:
+            for byte in np.flatnonzero(np.bincount(raw, minlength=256) * (self.columns < 0)).tolist():
+                self.columns[byte] = self.column_of(byte)
+            read = self.columns.take(raw)
+        emitted = self.scan(np.ascontiguousarray(read.reshape(-1, CHUNK).T))
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         return np.add.reduceat(emitted.T.ravel()[:total].astype(np.int64), starts)
 
