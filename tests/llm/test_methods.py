@@ -55,7 +55,7 @@ def test_tables_have_bounded_room():
     for most, text in ((30_000, wide), (300, "".join(dice.choice("etaoin é") for _ in range(9000)) + "x" * 2000)):
         machine = token_counts.Transducer(WORDS, most=most)
         assert machine.counts([text]).tolist() == [len(lib.encode(text, add_special_tokens=False).ids)]
-        assert len(machine.next) <= max(most, 1024) * 256 and machine.most == most
+        assert len(machine.next) <= max(most, 1024) * machine.width and machine.width <= 256 and machine.most == most
 
 
 # ---- SimHash
@@ -116,8 +116,11 @@ def test_more_positions_for_larger_sets():
         assert (np.diff(p) >= 0).all() and (p >= d + t).all() and (np.diff(t) >= 0).all() and p[-1] <= len(cuts)
 
 
-def test_lists_without_a_similar_centre(spark):
+@pytest.mark.parametrize("short", [4, 256])
+def test_lists_without_a_similar_centre(spark, monkeypatch, short):
     """Passages that many share, in lists whose first and centre are like none of the pairs that meet there only."""
+    monkeypatch.setattr(similar, "SHORT", short)
+    monkeypatch.setattr(similar, "FREQUENT", min(short, 64))
     dice = random.Random(8)
     word = lambda: f"w{dice.getrandbits(40):x}"
     texts = []
@@ -195,6 +198,6 @@ def test_bitmaps_never_drop_a_similar_pair():
         wanted.append(common >= 0.8 * (len(a) + len(b) - common))
         sets += [a, b]
     i, j = np.array(pairs).T
-    kept = similar.plausible(np.array([len(x) for x in sets]), [similar.bitmap(x) for x in sets], i, j, 0.8)
+    kept = similar.distances(np.array([len(x) for x in sets]), similar.laid([similar.bitmap(x) for x in sets]), i, j, 0.8) < np.inf
     wanted = np.array(wanted)
     assert kept[wanted].all() and (~kept[~wanted]).mean() > 0.5
