@@ -49,10 +49,10 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write the table to the shared folder and read it again."""
+def materialise(df: DataFrame, name: str, *folders: str) -> DataFrame:
+    """Cut the lineage: write the table to the shared folder and read it again. folders: columns that get a folder for each value."""
     path = fresh(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
