@@ -203,7 +203,7 @@ class Transducer:
                     n += more
                 return ("'" if text == b"'" else kind, word), n
             return state, {"N": self.count(text) if kind == "N" else 0, "X": 1}.get(kind, 0)
-        if mode == kind or mode == "'" and kind == "P":
+        if mode == kind or mode == "'" and kind == "P" and len(state) == 2:  # behind a held letter the apostrophe stands alone
             word, n = state[1], 0
             for b in text:
                 word, more = self.read(word, b)
