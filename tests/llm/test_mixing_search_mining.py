@@ -132,7 +132,7 @@ HARD_ITEMS = [(1, "same text again"), (2, None), (3, ""), (4, "w5 thé5, w6 THÉ
 @pytest.mark.parametrize("small", [False, True])
 def test_search_of_hard_rows(spark, monkeypatch, small):
     if small:
-        monkeypatch.setattr(lexical, "MOST_TERMS", 0)
+        monkeypatch.setattr(lexical, "MOST_TERMS", 4)  # items in groups
         monkeypatch.setattr(lexical, "BROADCAST_ROWS", 0)
     items = spark.createDataFrame(HARD_ITEMS, "item_id long, text string").selectExpr("*", "'clash' AS term", "'clash' AS row")
     got = lexical.search(plain.nasty(spark), items, first=1, growth=2).collect()
