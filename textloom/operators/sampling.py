@@ -1,22 +1,18 @@
 """Writing with a count-based model: what may follow a context, and a sampler over prompts.
 
 The model is a table of contexts and the characters behind them. Distributions are cut as tables (top-k keeps ties, top-p keeps what begins
-below p); the sampler walks prompt by prompt with the whole table in each task, so its rows are counted first. Dice are the first
-digits of an md5, which any engine can throw.
+below p). Dice are the first digits of an md5, which any engine can throw.
 """
 
 from __future__ import annotations
 
-import hashlib
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ngrams import PAD, padded
+from .ngrams import padded
+from .scoring import END, Table, draw, write
 
-#: Stands behind a text's last character; no text holds it.
-END = "\x02"
+__all__ = ["cut", "draw", "followers", "reply", "sample"]
 
 
 def followers(training: DataFrame, order: int) -> DataFrame:
@@ -40,64 +36,9 @@ def cut(model: DataFrame, top_k: int | None = None, top_p: float | None = None,
     return model
 
 
-def dice(seed: int, key, step: int) -> int:
-    return int(hashlib.md5(f"{seed}|{key}|{step}".encode()).hexdigest()[:8], 16)
-
-
-def draw(choices: list[tuple[str, int]], temperature: float, thrown: int) -> str:
-    """One of the characters, the most frequent first; at temperature 0 that one, at 1 by counts in whole numbers."""
-    if temperature == 0:
-        return choices[0][0]
-    if temperature == 1:
-        left: float = thrown % sum(n for _, n in choices)
-        weights: list[float] = [n for _, n in choices]
-    else:
-        weights = [(n / choices[0][1]) ** (1 / temperature) for _, n in choices]
-        left = thrown / 2**32 * sum(weights)
-    for (ch, _), n in zip(choices, weights):
-        left -= n
-        if left < 0:
-            return ch
-    return choices[-1][0]
-
-
 def sample(prompts: DataFrame, model: DataFrame, key: str, order: int, characters: int, temperature: float = 1, seed: int = 0, stop: str | None = None, most: int = 2_000_000) -> DataFrame:
-    """key, continuation, why: each prompt (key, text) continued until it has `characters`, `stop` appears, the text ends or nothing follows."""
-    if temperature < 0:
-        raise ValueError("temperature cannot be negative")
-    rows = model.groupBy("ctx").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus"), "ch"))).alias("found"))
-    if model.count() > most:
-        raise ValueError("the model has more rows than each task should hold")
-    table = rows.toArrow()
-    sent = prompts.sparkSession.sparkContext.broadcast({c: [(x["ch"], -x["minus"]) for x in found] for c, found in zip(table["ctx"].to_pylist(), table["found"].to_pylist())})
-    wide = order - 1
-
-    def run(batches):
-        held = sent.value
-        for b in batches:
-            out, reasons = [], []
-            for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                now, written, why = (PAD * wide + (text or ""))[-wide:] if wide else "", "", f"wrote {characters} characters"
-                for step in range(characters):
-                    choices = held.get(now)
-                    if not choices:
-                        why = "nothing follows"
-                        break
-                    ch = draw(choices, temperature, dice(seed, k, step))
-                    if ch == END:
-                        why = "the text ended"
-                        break
-                    written += ch
-                    now = (now + ch)[-wide:] if wide else ""
-                    if stop and written.endswith(stop):
-                        written, why = written[: -len(stop)], "reached the stop"
-                        break
-                out.append(written)
-                reasons.append(why)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), pa.array(reasons, pa.string())], names=[key, "continuation", "why"])
-
-    kind = prompts.schema[key].dataType.simpleString()
-    return prompts.select(key, "text").mapInArrow(run, f"`{key}` {kind}, continuation string, why string")
+    """key, continuation, why: prompts (key, text) continued by a table of any size; up to `most` rows of it are sent to the tasks."""
+    return write(prompts, Table(model, order - 1, most), key, characters, temperature, seed, stop)
 
 
 def reply(said: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import characters, chunks, normalised, plain
 from ..operators import bpe, lines, ngrams, overlap, vocabulary
 from ..sources import corpus
+from ..sources.files import materialise
 from .registry import D, T, chars_sql, chunks_sql, lines_sql, query, windows_sql
 
 WIDTHS = [20, 25, 30, 40, 50, 60, 80, 100]
@@ -204,7 +205,7 @@ def _(spark, sf_dir):
 @query("q_vocab_usage")
 def _(spark, sf_dir):
     train = _train(spark, sf_dir)
-    counted = bpe.chunk_counts(train).cache()
+    counted = materialise(bpe.chunk_counts(train), "chunks")
     merges = bpe.learn(counted, MERGES)
     used = counted.join(bpe.encode_chunks(counted, merges), "chunk").select("n", F.explode("pieces").alias("token")).groupBy("token").agg(F.sum("n").alias("n"))
     vocab = characters(train).select(F.col("ch").alias("token")).distinct().unionAll(spark.createDataFrame([(a + b,) for a, b in merges], "token string")).distinct()

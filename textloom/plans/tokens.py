@@ -13,8 +13,6 @@ from ..operators import bpe, vocabulary
 from ..sources import corpus, files
 from .registry import D, chars_sql, chunks_sql, query
 
-#: Most characters that merges without the chunk rule are learned on, for the driver holds them: beyond, the query refuses.
-WHOLE = 50_000_000
 SIZES = (256, 512, 1024, 2048)
 
 
@@ -105,9 +103,6 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """Merges learned with the chunk rule, and without it over whole texts: characters a token of held-out texts, pieces that straddle words, ways to cut the 20 most frequent words."""
     train, held = corpus.load_set(spark, sf_dir, "train"), corpus.load_set(spark, sf_dir, "validation")
-    size = train.agg(F.sum(F.length("text"))).first()[0] or 0
-    if size > WHOLE:
-        raise ValueError("more text than the driver should hold")
     top = vocabulary.words_in(held, "doc_id").where(F.regexp_like("word", F.lit(r"^\p{Ll}{3,}$"))).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(20).select("word")
     words = vocabulary.words_in(held, "doc_id").join(F.broadcast(top), "word")  # 20 rows
     out = None

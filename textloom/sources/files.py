@@ -23,6 +23,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{folder if '://' in folder or folder.startswith('file:') else 'file://' + os.path.abspath(folder)}/{name}-{uuid.uuid4().hex}"
 
 
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: write the table to a new place and read it again."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _fs(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
