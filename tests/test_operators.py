@@ -233,10 +233,11 @@ def test_pooled_sd(spark):
 
 def test_normaliser():
     alphabet = frozenset("abcdefghijklmnopqrstuvwxyz ’“”—\n")
-    assert text.normalised('say "hi" it\'s', alphabet) == ("say “hi” it’s", ["a straight double quote became “", "a straight double quote became ”", "\"'\" (apostrophe, U+0027) became '’' (right single quotation mark, U+2019)"])
+    assert text.normalised('say "hi" it\'s', alphabet) == ("say “hi” it’s", ['" (quotation mark, U+0022) -> “ (left double quotation mark, U+201C)', '" (quotation mark, U+0022) -> ” (right double quotation mark, U+201D)', "' (apostrophe, U+0027) -> ’ (right single quotation mark, U+2019)"])
+    assert text.normalised("a\tb\u200bc", alphabet) == ("a bc", ["U+0009 -> space, U+0020", "zero width space, U+200B left out"])
     assert text.normalised("a\r\nb\tc\xad –  ", alphabet)[0] == "a\nb c —"
     assert text.normalised("a\u200b\"", alphabet)[0] == "a”" and text.normalised('"', alphabet | {'"'}) == ('"', [])  # the alphabet is asked first
-    assert text.normalised("a ", alphabet) == ("a", ["1 trailing space(s) removed"])
+    assert text.normalised("a ", alphabet) == ("a", ["cut off at the end: 1 x U+0020"])
     for bad, why in (("ñ", "nearest letter there is 'n'"), ("日", "not in the alphabet$"), ("", "empty"), ("  ", "empty")):
         with pytest.raises(ValueError, match=why):
             text.normalised(bad, alphabet)
@@ -256,10 +257,37 @@ def test_swap_in(spark, tmp_path):
     path = f"file:{tmp_path}/table"
     files.swap_in(docs(spark, "a"), path)
     files.swap_in(docs(spark, "b", "c"), path)
-    assert [r.text for r in spark.read.parquet(path).orderBy("doc_id").collect()] == ["b", "c"] and [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["table"]
+    assert [r.text for r in files.current(spark, path).orderBy("doc_id").collect()] == ["b", "c"] and len([p for p in (tmp_path / "table").iterdir() if p.is_dir()]) == 1
     with pytest.raises(Exception, match="no such luck"):
         files.swap_in(docs(spark, "d").withColumn("text", F.raise_error(F.lit("no such luck"))), path)
-    assert spark.read.parquet(path).count() == 2
+    assert files.current(spark, path).count() == 2
+
+
+def test_a_crash_before_the_pointer_swings_changes_nothing(spark, tmp_path, monkeypatch):
+    path = f"file:{tmp_path}/table"
+    with pytest.raises(FileNotFoundError):
+        files.current(spark, path)
+    files.swap_in(docs(spark, "a"), path)
+    monkeypatch.setattr(files, "replace", lambda *a: (_ for _ in ()).throw(OSError("killed")))
+    with pytest.raises(OSError, match="killed"):
+        files.swap_in(docs(spark, "b"), path)
+    assert [r.text for r in files.current(spark, path).collect()] == ["a"]
+    monkeypatch.undo()
+    files.swap_in(docs(spark, "c"), path)
+    assert [r.text for r in files.current(spark, path).collect()] == ["c"]
+
+
+def test_a_crash_before_the_result_stands_leaves_the_claim(spark, tmp_path, monkeypatch):
+    path = f"file:{tmp_path}/final.json"
+    files.claim(spark, path, {"begun": True})
+    monkeypatch.setattr(files, "replace", lambda *a: (_ for _ in ()).throw(OSError("killed")))
+    with pytest.raises(OSError, match="killed"):
+        files.complete(spark, path, {"score": 1.5})
+    with pytest.raises(Exception, match="(?i)exists"):
+        files.claim(spark, path, {})
+    monkeypatch.undo()
+    files.complete(spark, path, {"score": 2.5})
+    assert spark.read.json(path).first().score == 2.5
 
 
 def test_one_way_door(spark, tmp_path):

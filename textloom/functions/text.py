@@ -62,10 +62,10 @@ INSTEAD = {
 OPENS_AFTER = frozenset(" \n([{-—")
 
 
-def name_of(c: str) -> str:
-    plain = {"": "nothing", " ": "a space", "\n": "a line break", "\t": "a tab"}
-    point = f"U+{ord(c):04X}" if c else ""
-    return plain.get(c) or (f"{c!r} ({unicodedata.name(c).lower()}, {point})" if unicodedata.name(c, "") else point)
+def described(c: str) -> str:
+    """A character for a note: shown if there is something to see, then by Unicode's name and number."""
+    about = ", ".join(x for x in (unicodedata.name(c, "").lower(), f"U+{ord(c):04X}") if x)
+    return f"{c} ({about})" if c.isprintable() and not c.isspace() else about
 
 
 def normalised(prompt: str, alphabet: frozenset[str]) -> tuple[str, list[str]]:
@@ -78,16 +78,16 @@ def normalised(prompt: str, alphabet: frozenset[str]) -> tuple[str, list[str]]:
     for c in dict.fromkeys(given):
         if c not in alphabet and c not in INSTEAD and c != '"':
             near = "".join(x for x in unicodedata.normalize("NFD", c) if x in alphabet)
-            raise ValueError(f"{name_of(c)} is not in the alphabet" + (f"; the nearest letter there is {near!r}" if near else ""))
+            raise ValueError(f"{described(c)} is not in the alphabet" + (f"; the nearest letter there is {near!r}" if near else ""))
     spelled = [c if c in alphabet else INSTEAD.get(c, c) for c in given]
     straight = [i for i, c in enumerate(given) if c == '"' and c not in alphabet]
     for i in straight:
         spelled[i] = "“" if i == 0 or spelled[i - 1] in OPENS_AFTER else "”"
-    notes = [f"a straight double quote became {b}" if a == '"' else f"{name_of(a)} became {name_of(b)}" for a, b in zip(given, spelled) if a not in alphabet]
+    notes = [f"{described(a)} -> {described(b)}" if b else f"{described(a)} left out" for a, b in zip(given, spelled) if a not in alphabet]
     text = "".join(spelled)
     bare = text.rstrip(" ")
     if len(bare) < len(text):
-        notes.append(f"{len(text) - len(bare)} trailing space(s) removed")
+        notes.append(f"cut off at the end: {len(text) - len(bare)} x U+0020")
     if not bare:
         raise ValueError("an empty prompt")
     return bare, notes

@@ -51,39 +51,54 @@ def put(spark: SparkSession, path: str, text: str, replace: bool = False) -> Non
         out.close()
 
 
-def move(spark: SparkSession, old: str, new: str) -> None:
-    fs, where = _fs(spark, old)
-    if not fs.rename(where, _fs(spark, new)[1]):
-        raise OSError(f"{old} could not be moved to {new}")
+def replace(spark: SparkSession, new: str, old: str) -> None:
+    """Put a file in another's place in one step: whoever looks sees the one or the other. Needs a store whose renames are atomic, as HDFS's and local ones are."""
+    jvm = spark._jvm
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    source, target = jvm.org.apache.hadoop.fs.Path(new), jvm.org.apache.hadoop.fs.Path(old)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(source.toUri(), spark._jsc.hadoopConfiguration()).rename(source, target, how)
+
+
+#: Names the version of a table that counts.
+POINTER = "CURRENT"
 
 
 def swap_in(df: DataFrame, path: str) -> None:
-    """Write a table beside its place and put it there when it is whole; what was there goes last. A failed job changes nothing."""
-    spark = df.sparkSession
-    staged, old = f"{path}.staged-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    df.write.parquet(staged)
+    """Write a new version of a table into its folder, then let the pointer beside it name that one; versions before it go last.
+
+    Whatever fails before the pointer swings changes nothing, and leaves at most a version that nobody reads until the next swap removes it.
+    """
+    spark, name = df.sparkSession, f"version-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{name}")
+    put(spark, made := f"{path}/.{POINTER}-{uuid.uuid4().hex}", name)
+    replace(spark, made, f"{path}/{POINTER}")
     fs, where = _fs(spark, path)
-    there = fs.exists(where)
-    if there:
-        move(spark, path, old)
-    move(spark, staged, path)
-    if there:
-        fs.delete(_fs(spark, old)[1], True)
+    for x in fs.listStatus(where):
+        if x.getPath().getName() not in (name, POINTER):
+            fs.delete(x.getPath(), True)
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The version of a table that was swapped in last."""
+    fs, where = _fs(spark, f"{path}/{POINTER}")
+    if not fs.exists(where):
+        raise FileNotFoundError(f"nothing was swapped in at {path}")
+    return spark.read.parquet(f"{path}/{spark.read.text(f'{path}/{POINTER}').first()[0]}")
 
 
 def claim(spark: SparkSession, path: str, note: dict) -> None:
-    """A one-way door: note that a job has begun. An error if any job ever has."""
+    """A one-way door: note that a job has begun. An error if any job ever has. Needs a store that creates files exclusively, as HDFS and local ones do."""
     put(spark, path, json.dumps(note))
 
 
 def complete(spark: SparkSession, path: str, result: dict) -> None:
-    """Replace a claim by its result, in one move; an error without a claim."""
+    """Replace a claim by its result, in one move; an error without a claim. A crash before it leaves the claim."""
     if not exists(spark, path):
         raise FileNotFoundError(f"nothing was claimed at {path}")
     put(spark, made := f"{path}.{uuid.uuid4().hex}", json.dumps(result))
-    fs, where = _fs(spark, path)
-    fs.delete(where, False)
-    move(spark, made, path)
+    replace(spark, made, path)
 
 
 def verified(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
