@@ -187,7 +187,7 @@ def test_shared_windows_by_text(spark, monkeypatch, most):
 def test_labels(spark):
     cases = {"x\n\nHAMLET.\nTo be": [3], "\nHAMLET.\nTo be": [], "x\n\nI.\nYES.\nno": [], "x\n\nFirst LORD.\nHi": [], "x\n\nPRINCE & POINS.\nAy": [3], "x\n\nHAMLET.\n\nTo": []}
     for t, want in cases.items():
-        assert [r.line_no for r in lines.marked(corpus.lines(docs(spark, t)), "doc_id").where("is_label").collect()] == want, t
+        assert [r.line_no for r in lines.marked(docs(spark, t), "doc_id").where("is_label").collect()] == want, t
 
 
 def test_apparatus(spark):

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import BODY, DIRECTION, ENTRANCE, HEADING, LABEL, chunks
+from .scan import lines_in_context, sums_before
 
 
 def cleaned(lines: DataFrame) -> DataFrame:
@@ -27,31 +28,26 @@ def rule_counts(clean: DataFrame) -> DataFrame:
     return clean.select(F.explode(named).alias("rule")).groupBy("rule").agg(F.count("*").alias("n_lines"))
 
 
-def headings(lines: DataFrame, key: str, before: int = 3) -> DataFrame:
+def headings(texts: DataFrame, key: str, before: int = 3) -> DataFrame:
     """Lines at column 0 with at least `before` blank lines before them and one behind."""
-    w = Window.partitionBy(key).orderBy("line_no")
     blank = lambda x: F.trim(x) == ""
-    above = [blank(F.lag("text", i).over(w)) for i in range(1, before + 1)]
-    cond = ~blank(F.col("text")) & ~F.col("text").startswith(" ") & blank(F.lead("text").over(w))
-    for x in above:
-        cond = cond & x
-    return lines.withColumn("heading", F.coalesce(cond, F.lit(False))).where("heading").select(key, "line_no", "text")
-
-
-def marked(lines: DataFrame, key: str) -> DataFrame:
-    """Adds is_label: a line in capitals with a full stop, behind a blank line that is not the text's first, before a line of speech."""
-    w = Window.partitionBy(key).orderBy("line_no")
-    after, behind = F.lead("text").over(w), F.lead("text", 2).over(w)
-    shaped = F.col("text").rlike(LABEL)
+    cond = ~blank(F.col("text")) & ~F.col("text").startswith(" ") & blank(F.col("down1"))
+    for i in range(1, before + 1):
+        cond = cond & blank(F.col(f"up{i}"))
+    return lines_in_context(texts, key, before, 1).where(cond).select(key, "line_no", "text")
+
+
+def marked(texts: DataFrame, key: str) -> DataFrame:
+    """key, line_no, begin, size, is_last, text, is_label: a line in capitals with a full stop, behind a blank line that is not the text's first, before a line of speech."""
+    after, behind, shaped = F.col("down1"), F.col("down2"), F.col("text").rlike(LABEL)
     speech = after.isNotNull() & (after != "") & ~(after.rlike(LABEL) & behind.isNotNull())
-    return lines.withColumn("is_label", F.coalesce(shaped & (F.lag("text").over(w) == "") & (F.col("line_no") > 2) & speech, F.lit(False)))
+    is_label = F.coalesce(shaped & (F.col("up1") == "") & (F.col("line_no") > 2) & speech, F.lit(False))
+    return lines_in_context(texts, key, 1, 2).withColumn("is_label", is_label).drop("up1", "down1", "down2")
 
 
-def apparatus(lines: DataFrame, key: str) -> DataFrame:
+def apparatus(texts: DataFrame, key: str) -> DataFrame:
     """key, n_chars, n_apparatus: characters of labels, headings, entrances and bracketed directions."""
-    own = marked(lines, key).withColumn("ours", F.col("is_label") | F.col("text").rlike(HEADING) | F.col("text").rlike(ENTRANCE))
-    w = Window.partitionBy(key)
-    own = own.withColumn("size", F.length("text") + F.when(F.col("line_no") < F.max("line_no").over(w), 1).otherwise(0))
+    own = marked(texts, key).withColumn("ours", F.col("is_label") | F.col("text").rlike(HEADING) | F.col("text").rlike(ENTRANCE))
     rest = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("ours"), F.struct("line_no", "text")))), lambda x: x["text"]), "\n")
     inside = F.aggregate(F.regexp_extract_all(rest, F.lit(DIRECTION), 0), F.lit(0), lambda n, x: n + F.length(x))
     return own.groupBy(key).agg(F.sum("size").alias("n_chars"), (F.sum(F.when(F.col("ours"), F.col("size")).otherwise(0)) + inside).alias("n_apparatus"))
@@ -59,11 +55,7 @@ def apparatus(lines: DataFrame, key: str) -> DataFrame:
 
 def _placed(texts: DataFrame, key: str) -> DataFrame:
     """Marked lines with the places of their characters, each line's newline among its own: begin, end."""
-    split = texts.select(key, F.posexplode(F.split("text", "\n")).alias("at", "text")).select(key, (F.col("at") + 1).cast("long").alias("line_no"), "text")
-    w = Window.partitionBy(key)
-    size = F.length("text") + F.when(F.col("line_no") < F.max("line_no").over(w), 1).otherwise(0)
-    own = marked(split, key).withColumn("size", size.cast("long"))
-    return own.withColumn("end", F.sum("size").over(w.orderBy("line_no"))).withColumn("begin", F.col("end") - F.col("size"))
+    return marked(texts, key).withColumn("end", F.col("begin") + F.col("size"))
 
 
 def editor_spans(texts: DataFrame, key: str) -> DataFrame:
@@ -95,8 +87,7 @@ def labelled_chunks(texts: DataFrame, key: str) -> DataFrame:
     """key, chunk, label: whether a chunk lies on a speaker label, as its first character does. One that only begins on a label is an error."""
     labels = _placed(texts, key).where("is_label").groupBy(key).agg(F.collect_list(F.struct("begin", "end")).alias("labels"))
     flat = texts.select(key, F.posexplode(chunks("text")).alias("pos", "chunk"))
-    end = F.sum(F.length("chunk")).over(Window.partitionBy(key).orderBy("pos"))
-    flat = flat.withColumn("end", end).join(labels, key, "left")
+    flat = sums_before(flat, key, "pos", F.length("chunk"), "begin").withColumn("end", F.col("begin") + F.length("chunk")).join(labels, key, "left")
     on = lambda at: F.coalesce(F.exists("labels", lambda s: (at >= s["begin"]) & (at < s["end"])), F.lit(False))
     first, last = on(F.col("end") - F.length("chunk")), on(F.col("end") - 1)
     return flat.select(key, "chunk", F.when(first != last, F.raise_error(F.lit("a chunk lies on a label in part"))).otherwise(first).alias("label"))

@@ -6,8 +6,10 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType
 
 from ..sources import files
+from .scan import sums_before
 
 #: Stands before each text of a stream.
 START = "<|start|>"
@@ -56,6 +58,11 @@ def ids_of(token: Column, ids: Column) -> Column:
     return F.coalesce(F.element_at(ids, token), F.raise_error(F.concat(F.lit("not in the vocabulary: "), token)))
 
 
+def token_of(id_: Column, tokens: Column) -> Column:
+    """An id's token in a map; an error for an id that the vocabulary lacks, a negative one for example."""
+    return F.coalesce(F.element_at(tokens, id_), F.raise_error(F.concat(F.lit("no such id: "), id_.cast("string"))))
+
+
 def tokens_of(ids: DataFrame, vocab: DataFrame) -> DataFrame:
     """Adds ch to rows with an id; an error for an id that the vocabulary (ch, id) lacks, a negative one for example."""
     known = F.broadcast(vocab.select("id", "ch"))  # an alphabet
@@ -97,6 +104,9 @@ def meeting(spans: DataFrame, others: DataFrame, key: str, block: int = 64) -> D
 
 def placed(pieces: DataFrame, key: str, text: str) -> DataFrame:
     """Adds o_begin and o_end, where each piece (column `text`, in the order of pos) stands in its text."""
+    numbered = isinstance(pieces.schema["pos"].dataType, (IntegerType, LongType))
+    if numbered:
+        return sums_before(pieces, key, "pos", F.length(text), "o_begin").withColumn("o_end", F.col("o_begin") + F.length(text))
     end = F.sum(F.length(text)).over(Window.partitionBy(key).orderBy("pos"))
     return pieces.withColumn("o_end", end).withColumn("o_begin", F.col("o_end") - F.length(text))
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import characters, chunks, normalised, plain
-from ..operators import bpe, lines, ngrams, overlap, vocabulary
+from ..operators import bpe, lines, ngrams, overlap, scan, vocabulary
 from ..sources import corpus
 from ..sources.files import materialise
 from .registry import D, T, chars_sql, chunks_sql, lines_sql, query, windows_sql
@@ -124,7 +124,7 @@ def _(spark, sf_dir):
     SELECT doc_id, line_no, text FROM w WHERE trim(text) <> '' AND text NOT LIKE ' %' AND trim(a) = '' AND trim(b) = '' AND trim(c) = '' AND trim(z) = ''""")
 def _(spark, sf_dir):
     laid = corpus.documents(spark, sf_dir).select("doc_id", F.concat(F.lit("\n\n\n"), F.upper("source"), F.lit("\n\n"), F.col("text")).alias("text"))
-    return lines.headings(corpus.lines(laid), "doc_id")
+    return lines.headings(laid, "doc_id")
 
 
 @query("q_transcript", f"WITH {T} SELECT conv_id, text FROM t")
@@ -138,13 +138,13 @@ LABELLED = rf"""{lines_sql('l', 't', 'conv_id')}, v AS (SELECT *, lag(text) OVER
 
 @query("q_labels", f"WITH {T}, {LABELLED} SELECT conv_id, line_no, text FROM m WHERE is_label")
 def _(spark, sf_dir):
-    return lines.marked(corpus.lines(corpus.transcripts(spark, sf_dir), "conv_id"), "conv_id").where("is_label").select("conv_id", "line_no", "text")
+    return lines.marked(corpus.transcripts(spark, sf_dir), "conv_id").where("is_label").select("conv_id", "line_no", "text")
 
 
 @query("q_label_share", f"WITH {T}, {LABELLED} SELECT sum(length(text) + 1) FILTER (WHERE is_label)::BIGINT AS label_chars, (SELECT sum(length(text)) FROM t)::BIGINT AS chars, round(sum(length(text) + 1) FILTER (WHERE is_label) / (SELECT sum(length(text)) FROM t), 9) AS share FROM m")
 def _(spark, sf_dir):
     t = corpus.transcripts(spark, sf_dir)
-    label = lines.marked(corpus.lines(t, "conv_id"), "conv_id").agg(F.sum(F.when(F.col("is_label"), F.length("text") + 1)).alias("label_chars"))
+    label = lines.marked(t, "conv_id").agg(F.sum(F.when(F.col("is_label"), F.length("text") + 1)).alias("label_chars"))
     return label.crossJoin(t.agg(F.sum(F.length("text")).alias("chars"))).withColumn("share", F.round(F.try_divide("label_chars", "chars"), 9))
 
 
@@ -152,7 +152,7 @@ def _(spark, sf_dir):
         is_label OR regexp_matches(text, '^(ACT |SCENE |PROLOGUE|EPILOGUE|INDUCTION|Dramatis Person|THE PROLOGUE|THE EPILOGUE)') OR regexp_matches(text, '^(Enter |Exeunt|Exit |Re-enter |Alarum|Flourish|Sennet|Manet|They fight|Music|Drum|Trumpet|A march|March|Retreat|Shout|Hautboys|Cornets|Thunder|Storm|Sound|Horns|Knock)') AS ours FROM m)
     SELECT conv_id, sum(size)::BIGINT AS n_chars, (sum(CASE WHEN ours THEN size ELSE 0 END) + coalesce(list_sum(list_transform(regexp_extract_all(string_agg(text, chr(10) ORDER BY line_no) FILTER (WHERE NOT ours), '(?s)\[_.*?_\.?\]'), lambda x: length(x))), 0))::BIGINT AS n_apparatus FROM s GROUP BY conv_id""")
 def _(spark, sf_dir):
-    return lines.apparatus(corpus.lines(corpus.transcripts(spark, sf_dir), "conv_id"), "conv_id")
+    return lines.apparatus(corpus.transcripts(spark, sf_dir), "conv_id")
 
 
 # ---- segmentation
@@ -244,9 +244,10 @@ def _(spark, sf_dir):
 
 @query("q_decode", f"WITH {D} SELECT doc_id, length(text)::BIGINT AS n_chars, md5(text) AS text_md5 FROM d WHERE \"set\" = 'validation' AND text <> ''")
 def _(spark, sf_dir):
-    vocab = F.broadcast(_vocabulary(spark, sf_dir))
-    ids = characters(corpus.load_set(spark, sf_dir, "validation"), "doc_id").join(vocab, "ch").select("doc_id", "pos", "id")
-    back = vocabulary.tokens_of(ids, vocab).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ch"))), lambda x: x["ch"]), "").alias("text"))
+    both = _vocabulary(spark, sf_dir).groupBy().agg(F.map_from_entries(F.collect_list(F.struct("ch", "id"))).alias("ids"), F.map_from_entries(F.collect_list(F.struct("id", "ch"))).alias("chs"))
+    d = corpus.load_set(spark, sf_dir, "validation").where("text <> ''").crossJoin(F.broadcast(both))  # an alphabet
+    coded = d.select("doc_id", "chs", F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c: vocabulary.ids_of(c, F.col("ids"))).alias("coded"))
+    back = coded.select("doc_id", F.array_join(F.transform("coded", lambda i: vocabulary.token_of(i, F.col("chs"))), "").alias("text"))
     return back.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
@@ -265,10 +266,11 @@ def _(spark, sf_dir):
 
 @query("q_offsets", f"WITH {chunks_sql('c0', 'documents', 'doc_id').replace('SELECT doc_id, chunk FROM (SELECT doc_id, unnest(', 'SELECT doc_id, i, chunk, row_number() OVER () AS r FROM (SELECT doc_id, i, unnest(')}, o AS (SELECT doc_id, sum(length(chunk)) OVER (PARTITION BY doc_id ORDER BY i, r) - length(chunk) AS begin FROM c0) SELECT doc_id, count(*) AS n, max(begin)::BIGINT AS last_begin, sum(begin)::BIGINT AS total FROM o GROUP BY doc_id")
 def _(spark, sf_dir):
-    placed = corpus.documents(spark, sf_dir).select("doc_id", F.posexplode(chunks("text")).alias("pos", "chunk"))
-    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    begin = placed.withColumn("begin", F.coalesce(F.sum(F.length("chunk")).over(w), F.lit(0)))
-    return begin.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("begin").alias("last_begin"), F.sum("begin").alias("total"))
+    """Of each text how many chunks it has, where the last begins, and the sum of all beginnings: a fold along the row, without a shuffle."""
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("last"), F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("at"))
+    step = lambda a, x: F.struct((a["n"] + 1).alias("n"), a["at"].alias("last"), (a["total"] + a["at"]).alias("total"), (a["at"] + F.length(x)).alias("at"))
+    d = corpus.documents(spark, sf_dir).select("doc_id", chunks("text").alias("c")).where(F.size("c") > 0)
+    return d.select("doc_id", F.aggregate("c", zero, step).alias("x")).select("doc_id", "x.n", F.col("x.last").alias("last_begin"), "x.total")
 
 
 @query("q_next_token", f"WITH {chars_sql('c', 'documents', 'doc_id')}, n AS (SELECT ch, lead(ch) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM c) SELECT ch, next, count(*) AS n FROM n WHERE next IS NOT NULL GROUP BY ch, next")
@@ -458,9 +460,8 @@ def _(spark, sf_dir):
     SELECT conv_id, is_label, count(*) AS n_chars, round(sum(bits) / count(*), 6) AS bits FROM b GROUP BY GROUPING SETS ((), (conv_id), (is_label))""")
 def _(spark, sf_dir):
     bits, unknown = _unigram(spark, sf_dir)
-    marked = lines.marked(corpus.lines(corpus.transcripts(spark, sf_dir), "conv_id"), "conv_id")
-    last = F.max("line_no").over(Window.partitionBy("conv_id"))
-    text = marked.withColumn("text", F.concat("text", F.when(F.col("line_no") < last, "\n").otherwise("")))
+    marked = lines.marked(corpus.transcripts(spark, sf_dir), "conv_id")
+    text = marked.withColumn("text", F.concat("text", F.when(F.col("is_last"), "").otherwise("\n")))
     scored = characters(text, "conv_id", "is_label").join(F.broadcast(bits), "ch", "left").withColumn("bits", F.coalesce("bits", F.lit(unknown)))
     sets = scored.groupingSets([[], ["conv_id"], ["is_label"]], "conv_id", "is_label")
     return sets.agg(F.count("*").alias("n_chars"), F.round(F.sum("bits") / F.count("*"), 6).alias("bits"))
@@ -519,8 +520,7 @@ def _(spark, sf_dir):
 
 @query("q_agreement_runs", f"WITH {AGREED}, i AS (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM ag WHERE agreed) SELECT doc_id, min(pos) AS begin, count(*) AS length FROM i GROUP BY doc_id, island HAVING count(*) >= 8")
 def _(spark, sf_dir):
-    run = _agreed(spark, sf_dir).where("agreed").withColumn("island", F.col("pos") - F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")))
-    return run.groupBy("doc_id", "island").agg(F.min("pos").cast("long").alias("begin"), F.count("*").alias("length")).where("length >= 8").drop("island")
+    return scan.runs(_agreed(spark, sf_dir).where("agreed"), "doc_id", 8)
 
 
 # ---- overlap
