@@ -128,9 +128,11 @@ def score_orders(held: DataFrame, training: DataFrame, order: int, alphabet: int
 
     def run(batches):
         for b in batches:
+            seen: dict = {}
+            alike = np.array([seen.setdefault(x, i) for i, x in enumerate(zip(*(b.column(c).to_pylist() for c in range(len(groups)))) if groups else [()] * len(b))], dtype=np.int64)
             for rows, hashes in _by_order(b.column(len(groups)).to_pylist(), order):
-                # equal n-grams of one row at once
-                key = np.stack([rows.astype(np.uint64), hashes[-1][0]])
+                # equal n-grams of one group at once, by the first row that has its values
+                key = np.stack([alike[rows].astype(np.uint64), hashes[-1][0]])
                 by = np.lexsort(key)
                 fresh = np.concatenate([[True], (np.diff(key[:, by]) != 0).any(axis=0)])
                 first, times = by[fresh], np.diff(np.append(np.flatnonzero(fresh), len(by)))

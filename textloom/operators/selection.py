@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,16 +81,35 @@ def dice(seed: int, resample: Column, doc: Column, slot: Column, sides: Column)
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % sides
 
 
+#: Numbers that are drawn at once.
+DRAWS = 1_000_000
+
+
+def _picks(seed: int, doc: str | None, resamples: range, sides: int) -> np.ndarray:
+    """By resample and slot a block's number, with the dice of dice()."""
+    named = "" if doc is None else f"{doc}|"
+    thrown = (int.from_bytes(md5(f"{seed}|{r}|{named}{slot}".encode()).digest()[:4], "big") for r in resamples for slot in range(sides))
+    return np.fromiter(thrown, np.int64, len(resamples) * sides).reshape(len(resamples), sides) % sides
+
+
 def bootstrap(blocks: DataFrame, resamples: int, seed: int = 0) -> DataFrame:
-    """low, high: 95 % interval of a ratio of sums, blocks (doc_id, block, bits, chars) drawn with replacement inside each text."""
+    """low, high: 95 % interval of a ratio of sums, blocks (doc_id, block, bits, chars) drawn with replacement inside each text.
+
+    A task draws all resamples of its texts and gives one sum for each; a text of one block needs no dice.
+    """
     ordered = F.array_sort(F.collect_list(F.struct("block", F.col("bits").cast("double").alias("bits"), F.col("chars").cast("double").alias("chars"))))
-    texts = blocks.groupBy("doc_id").agg(ordered.alias("blocks"))  # a row per text; its blocks are drawn from in place
-    step = 500
-    tries = texts.select("doc_id", "blocks", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1), F.lit(step))).alias("from"))
-    tries = tries.select("doc_id", "blocks", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + (step - 1), F.lit(resamples - 1)))).alias("r"))
-    sides = F.size("blocks")
-    picked = F.transform(F.sequence(F.lit(0), sides - 1), lambda slot: F.get("blocks", dice(seed, F.col("r"), F.col("doc_id"), slot, sides).cast("int")))
-    total = lambda field: F.aggregate("picked", F.lit(0.0), lambda n, x: n + x[field])
-    drawn = tries.withColumn("picked", picked).select("r", total("bits").alias("bits"), total("chars").alias("chars"))
-    ratios = drawn.groupBy("r").agg((F.sum("bits") / F.sum("chars")).alias("x"))
+    texts = blocks.groupBy("doc_id").agg(ordered.alias("blocks")).select(F.col("doc_id").cast("string").alias("doc"), F.col("blocks.bits").alias("bits"), F.col("blocks.chars").alias("chars"))
+
+    def run(batches):
+        sums = np.zeros((2, resamples))
+        for b in batches:
+            for doc, *own in zip(*(c.to_pylist() for c in b.columns)):
+                own = np.array(own)
+                sides = own.shape[1]
+                for at in range(0, resamples, step := max(1, DRAWS // sides)):
+                    some = range(at, min(at + step, resamples))
+                    sums[:, some.start : some.stop] += own[:, _picks(seed, doc, some, sides)].sum(axis=2) if sides > 1 else own
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples)), pa.array(sums[0]), pa.array(sums[1])], names=["r", "bits", "chars"])
+
+    ratios = texts.mapInArrow(run, "r long, bits double, chars double").groupBy("r").agg((F.sum("bits") / F.sum("chars")).alias("x"))
     return ratios.agg(F.percentile("x", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
