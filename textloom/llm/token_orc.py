@@ -7,6 +7,7 @@ stores with run-length encoding (bit-packed). Stripes are read in parallel.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 
@@ -22,7 +23,7 @@ FILE_SCHEMA = "doc_id long, token_ids array<int>"
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = 2, stripe_bytes: int = 16 << 20, row_group: int = 10_000) -> None:
-    """Write (doc_id, token_ids) in ascending doc_id order, nulls first. Null text counts as empty; an empty table gives an empty folder of files."""
+    """Write (doc_id, token_ids) in ascending order of doc_id, nulls first, then of the ids' crc32 and number. Null text counts as empty; an empty table gives an empty folder of files."""
     spark = docs.sparkSession
     share_code(spark)
     end = b"" if end_id is None else array("I", [end_id]).tobytes()
@@ -36,12 +37,13 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int | None
                 offsets = np.zeros(len(data) + 1, dtype=np.int32)
                 np.cumsum([len(x) // 4 for x in data], out=offsets[1:])
                 values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(data))])
-                yield pa.RecordBatch.from_arrays([ids.slice(begin, stop - begin), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["doc_id", "token_ids"])
+                crc = pa.array([zlib.crc32(x) for x in data], pa.int64())
+                yield pa.RecordBatch.from_arrays([ids.slice(begin, stop - begin), pa.ListArray.from_arrays(pa.array(offsets), values), crc], names=["doc_id", "token_ids", "crc"])
 
-    # the text's length as well, since one doc_id may stand in very many rows
-    dealt = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id")
+    dealt = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id"), F.xxhash64("text"))  # the text's hash as well, since one doc_id may stand in very many rows
+    coded = dealt.mapInArrow(run, f"{FILE_SCHEMA}, crc long").sortWithinPartitions("doc_id", "crc", F.size("token_ids"))
     (
-        dealt.mapInArrow(run, FILE_SCHEMA)
+        coded.select("doc_id", "token_ids")
         .write.option("orc.stripe.size", stripe_bytes).option("orc.row.index.stride", row_group)
         .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", 0.01).option("compression", "zstd")
         .orc(path)
@@ -68,9 +70,9 @@ def token_digests(stored: DataFrame) -> DataFrame:
 
 
 def with_starts(digests: DataFrame) -> DataFrame:
-    """Adds start: the sum of n_tokens of all rows before, by doc_id (nulls first), crc32 and length.
+    """Adds start: the sum of n_tokens of all rows before, in the order of the files.
 
-    Files follow doc_id in the order of their numbers, so each is summed apart, and only totals, one per file, meet in one place. Files that
+    In a file rows follow doc_id (nulls first), crc32 and length. Files follow doc_id in the order of their numbers, so each is summed apart, and only totals, one per file, meet in one place. Files that
     do not follow each other are an error.
     """
     spark = digests.sparkSession
@@ -79,7 +81,7 @@ def with_starts(digests: DataFrame) -> DataFrame:
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"), F.min(F.struct(~none, "doc_id")).alias("first"), F.max(F.struct(~none, "doc_id")).alias("last")).collect()
     key = lambda x: (x[0], x[1] or 0)
     before, parts, last = 0, [], (False, 0)
-    for f in sorted(files, key=lambda f: f.file):  # part-00000-, part-00001-, ...
+    for f in sorted(files, key=lambda f: int(re.search(r"part-(\d+)", f.file)[1])):
         if key(f.first) < last:
             raise ValueError(f"{f.file} begins before the end of the file before it")
         parts.append((f.file, before))
