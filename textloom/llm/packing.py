@@ -48,15 +48,35 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     return [x for x in heap[0][3] if x] if heap else []
 
 
+def bundles(sizes: list[int], least: int) -> list[list[int]]:
+    """Items of `least` or more alone, smaller ones in the order they come until together they are as large."""
+    out, held, total = [], [], 0
+    for i, n in enumerate(sizes):
+        if n >= least:
+            out.append([i])
+            continue
+        held.append(i)
+        total += n
+        if total >= least:
+            out.append(held)
+            held, total = [], 0
+    return out + [held] * bool(held)
+
+
 def pack(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Windows of item indices, none over the capacity; their count rises until all fit."""
+    """Windows of item indices, none over the capacity; their count rises until all fit.
+
+    Items below a 64th of a window are bundled first, so that partial partitions number 64 a window, however short the items are.
+    """
     if not sizes:
         return []
+    items = bundles(sizes, max(1, capacity // 64))
+    sums = [sum(sizes[i] for i in x) for x in items]
     k = -(-sum(sizes) // capacity)
     while True:
-        windows = differencing(sizes, k)
-        if max(sum(sizes[i] for i in w) for w in windows) <= capacity:
-            return windows
+        windows = differencing(sums, k)
+        if max(sum(sums[j] for j in w) for w in windows) <= capacity:
+            return [[i for j in w for i in items[j]] for w in windows]
         k += max(1, k // 200)
 
 
