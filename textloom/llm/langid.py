@@ -6,10 +6,11 @@ low bits), and the n-grams of all languages stand in one sorted array beside a m
 takes one binary search a character, and one more for each order it backs off.
 
 A text gets the language of the lowest cross-entropy per character. It is rejected where it has no letter, or where that
-cross-entropy is further from the language's usual one than nearly all calibration documents, which the models are not
-fitted on, by a margin; the scale shrinks with the root of the text's length. Each language has its own cut.
+cross-entropy is further from the language's usual one than calibration allows; the distance shrinks with the root of the text's length. The
+cut comes from labelled documents that the models are not fitted on: the conformal quantile of their distances at a stated rate of
+false rejections, by language where there are rows enough for that rate, else of all together, times a margin.
 
-Models are fitted on a bounded sample: about `sample` labelled documents a language, chosen by a hash of doc_id.
+Models are fitted on a bounded sample: about `sample` labelled documents a language, chosen by a hash of doc_id; about CALIBRATION of them calibrate.
 """
 
 from __future__ import annotations
@@ -26,10 +27,12 @@ from .common import crc_bucket, share_code, spread, table
 ORDER = 4
 #: Documents a language that models are fitted on, about; and one in so many of them calibrates instead.
 SAMPLE, CALIBRATE = 1500, 4
-#: Characters beyond which a longer text is no surer, and the least multiple of the usual deviation that is rejected. That is
-#: the deviation of the inner TRIM of the rows; documents of a learned language with junk or secrets reach 20 of it.
-LONGEST, LEAST_CUT, MARGIN = 500, 25.0, 1.5
-TRIM, FEW = 0.95, 20
+#: Labelled documents a language that calibrate, about: the held ones of the sample, and more beside it.
+CALIBRATION = 6000
+#: Characters beyond which a longer text is no surer. The usual deviation is that of the inner TRIM of the rows.
+LONGEST, TRIM, FEW = 500, 0.95, 20
+#: Calibration documents that may be beyond the quantile, as a share, and how far beyond it a text is rejected: documents of a learned language are then rejected less often.
+REJECTED, MARGIN = 0.001, 1.5
 SCHEMA = "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean"
 
 _letters: list[np.ndarray] = []
@@ -120,7 +123,7 @@ class Models:
             keys = np.unique(np.concatenate([m.levels[n][0] for m in own]))
             contexts = np.unique(np.concatenate([m.levels[n][2] for m in own]))
             self.tables[n] = (keys, np.stack([np.log(m.prob(n, keys)) for m in own], 1).astype(np.float32), contexts, np.stack([np.log(m.rest(n, contexts)) for m in own], 1).astype(np.float32))
-        self.usual = {x: (0.0, float("inf"), LEAST_CUT) for x in self.names}
+        self.usual = {x: (0.0, float("inf"), float("inf")) for x in self.names}
 
     def logs(self, codes: np.ndarray) -> np.ndarray:
         """Log probability of each n-gram's last character, a column per language."""
@@ -179,36 +182,34 @@ class Models:
     def calibrate(self, seen: list[tuple[str, float, int]]) -> None:
         """From (language, its cross-entropy, characters) of documents that models were not fitted on, and that they find to be of it.
 
-        Each language on its own rows: its mean and deviation are those of the TRIM share nearest to its median, and its cut is
-        MARGIN times the farthest of these, LEAST_CUT at least; so a few odd rows move nothing. A language of fewer than FEW
-        rows has the deviation and cut of all rows, each taken from its own language's median; without a row, the highest mean.
+        Each language on its own rows: its mean and deviation are those of the TRIM share nearest to its median, so a few odd rows move
+        nothing. The distances of all its rows, in deviations, have a conformal quantile, which a further document of the language exceeds
+        with a chance of REJECTED; the cut is MARGIN times that. A language of fewer than 1 / REJECTED rows has the quantile of all rows, or where
+        these are as few the largest distance; one of fewer than FEW has their deviation, too, and without a row the highest mean.
         """
         rows = {x: np.array([(e, min(n, LONGEST)) for y, e, n in seen if y == x and n], dtype=float).reshape(-1, 2) for x in self.names}
+        middles = {x: float(np.median(r[:, 0])) if len(r) else 0.0 for x, r in rows.items()}
+        if sum(map(len, rows.values())) < FEW:  # nothing to tell by
+            self.usual = {x: (0.0, float("inf"), float("inf")) for x in self.names}
+            return
 
-        def inner(e: np.ndarray, n: np.ndarray, middle) -> np.ndarray:
-            off = np.abs(e - middle) * np.sqrt(n)
-            return off <= np.quantile(off, TRIM)
+        def usual(r: np.ndarray, middle) -> tuple[float, float]:
+            """Mean and deviation at one character."""
+            off = np.abs(r[:, 0] - middle) * np.sqrt(r[:, 1])
+            near = off <= np.quantile(off, TRIM)
+            mean = float(np.average(r[near, 0] - (middle if np.ndim(middle) == 0 else middle[near]), weights=r[near, 1]))
+            return mean, max(1e-6, float(np.sqrt(np.mean((np.abs(r[near, 0] - (middle if np.ndim(middle) == 0 else middle[near]) - mean) ** 2) * r[near, 1]))))
 
-        def bounds(e: np.ndarray, n: np.ndarray, middle) -> tuple[float, float]:
-            off = np.abs(e - middle) * np.sqrt(n)
-            scale = max(1e-6, float(np.sqrt(np.mean(off**2))))
-            return scale, max(LEAST_CUT, MARGIN * float(off.max()) / scale)
+        def quantile(distances: np.ndarray) -> float:
+            at = min(len(distances), math.ceil((len(distances) + 1) * (1 - REJECTED)))
+            return float(np.sort(distances)[at - 1])
 
-        every = np.concatenate(list(rows.values()))
-        middles = np.concatenate([np.full(len(r), np.median(r[:, 0]) if len(r) else 0.0) for r in rows.values()])
-        if len(every) < FEW:  # nothing to tell by
-            self.usual = {x: (0.0, float("inf"), LEAST_CUT) for x in self.names}
-            return
-        near = inner(every[:, 0], every[:, 1], middles)
-        pooled = bounds(every[near, 0], every[near, 1], middles[near])
-        highest = float(middles.max())
-        for x, r in rows.items():
-            if len(r) < FEW:
-                self.usual[x] = (float(np.median(r[:, 0])) if len(r) else highest, *pooled)
-                continue
-            near = inner(r[:, 0], r[:, 1], np.median(r[:, 0]))
-            mean = float(np.average(r[near, 0], weights=r[near, 1]))
-            self.usual[x] = (mean, *bounds(r[near, 0], r[near, 1], mean))
+        pooled = usual(np.concatenate(list(rows.values())), np.concatenate([np.full(len(r), middles[x]) for x, r in rows.items()]))[1]
+        own = {x: usual(r, middles[x]) for x, r in rows.items() if len(r) >= FEW}
+        self.usual = {x: (middles[x] + own[x][0], own[x][1], 0.0) if x in own else (middles[x] if len(r) else max(middles.values()), pooled, 0.0) for x, r in rows.items()}
+        away = {x: np.array([self.away(x, e, int(n)) for e, n in r]) for x, r in rows.items()}
+        together = quantile(np.concatenate(list(away.values())))
+        self.usual = {x: (mean, scale, MARGIN * max(0.0, quantile(away[x]) if len(away[x]) >= 1 / REJECTED else together)) for x, (mean, scale, _) in self.usual.items()}
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Models | None:
@@ -224,6 +225,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Models | None:
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
     chosen = labelled.where(chance < rate[F.col("lang")])
     held: Column = F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(CALIBRATE)) == 0
+    wider = F.create_map(*[x for lang, n in totals for x in (F.lit(lang), F.lit(min(1.0, (sample + CALIBRATION) / n)))])
 
     def count(batches):
         for b in batches:
@@ -236,7 +238,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Models | None:
 
     counts = chosen.where(~held).select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     if not counts.num_rows:  # a handful of rows, all held: fit on them
-        held = F.lit(False)
+        held = F.lit(False)  # and calibrate by none
         counts = chosen.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     if not counts.num_rows:
         return None
@@ -247,6 +249,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Models | None:
         order = np.argsort(keys[mine])
         counted[x] = (keys[mine][order], n[mine][order])
     models = Models(counted)
+    beside = labelled.where((chance < wider[F.col("lang")]) & (held | (chance >= rate[F.col("lang")])))  # none of the rows that models are fitted on
     sent = spark.sparkContext.broadcast(models)
 
     def entropy(batches):
@@ -257,7 +260,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Models | None:
             own = [float(ce[i].min()) if x in m.names and ce[i].argmin() == m.names.index(x) else None for i, x in enumerate(langs)]  # others may be mislabelled
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(own, pa.float64()), pa.array(sizes)], names=["lang", "e", "n"])
 
-    models.calibrate([tuple(r) for r in chosen.where(held).select("text", "lang").mapInArrow(entropy, "lang string, e double, n long").where("e IS NOT NULL").collect()])
+    models.calibrate([tuple(r) for r in beside.select("text", "lang").mapInArrow(entropy, "lang string, e double, n long").where("e IS NOT NULL").collect()])
     return models
 
 
