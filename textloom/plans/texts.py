@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import characters, chunks, normalised, plain
-from ..operators import bpe, lines, ngrams, overlap, scan, vocabulary
-from ..sources import corpus
-from ..sources.files import materialise
+from ..operators import bpe, containment, lines, ngrams, overlap, scan, vocabulary
+from ..sources import arrays, corpus
+from ..sources.files import materialise, scratch
 from .registry import D, T, chars_sql, chunks_sql, lines_sql, query, windows_sql
 
 WIDTHS = [20, 25, 30, 40, 50, 60, 80, 100]
@@ -310,24 +310,22 @@ UNIGRAM = """k AS (SELECT ch, count(*) AS n FROM (SELECT unnest(string_split(tex
     z AS (SELECT sum(n) AS total, count(*) AS kinds, (SELECT count(DISTINCT ch) FROM (SELECT unnest(string_split(text, '')) AS ch FROM d WHERE text <> '')) AS size FROM k)"""
 
 
-def _unigram(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, float]:
-    """Bits of each training character, and of one that training lacks."""
+def _unigram(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """ch, bits: of each training character; and one row, unknown: of one that training lacks."""
     d = corpus.documents(spark, sf_dir)
     counts = ngrams.gram_counts(d.where("set = 'train'"), 1)
-    total, kinds = counts.agg(F.sum("n"), F.count("*")).first()
-    size = ngrams.alphabet_size(d)
-    bits = -F.log2((F.col("n") + F.lit(kinds / size)) / F.lit(total + kinds))
-    import math
-
-    return counts.select(F.col("piece").alias("ch"), bits.alias("bits")), -math.log2(kinds / size / (total + kinds))
+    size = d.select(F.explode(F.array_distinct(F.split("text", ""))).alias("ch")).where("ch <> ''").agg(F.count_distinct("ch").alias("size"))
+    sums = counts.agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).crossJoin(F.broadcast(size))  # one row each
+    known = counts.crossJoin(F.broadcast(sums)).select(F.col("piece").alias("ch"), (-F.log2((F.col("n") + F.col("kinds") / F.col("size")) / (F.col("total") + F.col("kinds")))).alias("bits"))
+    return known, F.broadcast(sums.select((-F.log2(F.col("kinds") / F.col("size") / (F.col("total") + F.col("kinds")))).alias("unknown"), "size"))
 
 
 @query("q_bits_per_chunk", f"""WITH {GROUPED}, {UNIGRAM}, e AS (SELECT grp, n, chunk, unnest(string_split(chunk, '')) AS ch FROM g), b AS (SELECT grp, n, -log2((coalesce(k.n, 0) + kinds * (1.0::DOUBLE / size)) / (total + kinds)) AS bits FROM (SELECT e.grp, e.n AS n, e.ch FROM e) q LEFT JOIN k USING (ch), z)
     SELECT b.grp, round(sum(n * bits) / (SELECT sum(g.n) FROM g WHERE g.grp = b.grp), 6) AS bits_per_chunk FROM (SELECT grp, q.n AS n, bits FROM (SELECT e.grp, e.n, -log2((coalesce(k.n, 0) + kinds * (1.0::DOUBLE / size)) / (total + kinds)) AS bits FROM e LEFT JOIN k ON e.ch = k.ch, z) q) b GROUP BY b.grp""")
 def _(spark, sf_dir):
     bits, unknown = _unigram(spark, sf_dir)
-    held = _grouped(spark, sf_dir).select("grp", "n", F.posexplode(F.filter(F.split("chunk", ""), lambda c: c != "")).alias("i", "ch")).join(F.broadcast(bits), "ch", "left")
-    total = held.groupBy("grp").agg(F.sum(F.when(F.col("i") == 0, F.col("n"))).alias("chunks"), F.sum(F.col("n") * F.coalesce("bits", F.lit(unknown))).alias("bits"))
+    held = _grouped(spark, sf_dir).select("grp", "n", F.posexplode(F.filter(F.split("chunk", ""), lambda c: c != "")).alias("i", "ch")).join(F.broadcast(bits), "ch", "left").crossJoin(unknown)
+    total = held.groupBy("grp").agg(F.sum(F.when(F.col("i") == 0, F.col("n"))).alias("chunks"), F.sum(F.col("n") * F.coalesce("bits", "unknown")).alias("bits"))
     return total.select("grp", F.round(F.col("bits") / F.col("chunks"), 6).alias("bits_per_chunk"))
 
 
@@ -344,13 +342,8 @@ def _(spark, sf_dir):
     words = lambda df: df.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\p{L}+"), 0))).alias("w")).select(F.lower("w").alias("word")).distinct()
     said = words(corpus.dealt(corpus.table(spark, sf_dir, "conversations")).select("text")).where(F.length("word") > 5)
     known = words(corpus.documents(spark, sf_dir))
-    left = said.join(known, "word", "left_anti")
-    # inside another word: joined on every piece of a known word as long as a wanted one
-    lengths = [r[0] for r in left.select(F.length("word")).distinct().collect()]
-    for n in lengths:
-        part = F.lit(n)
-        pieces = F.transform(F.sequence(F.lit(1), F.length("word") - (n - 1)), lambda i: F.substring(F.col("word"), i, part))  # noqa: B023
-        left = left.join(known.where(F.length("word") > n).select(F.explode(pieces).alias("word")).distinct(), "word", "left_anti")
+    left = materialise(said.join(known, "word", "left_anti"), "words")
+    left = left.join(containment.contained(left, known), "word", "left_anti")
     return left.orderBy("word").limit(40)
 
 
@@ -451,8 +444,9 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     d = corpus.documents(spark, sf_dir)
     per = ngrams.score_orders(d.where("set = 'validation'"), d.where("set = 'train'"), 2, ngrams.alphabet_size(d), "doc_id")
-    bits, n = per.agg(F.sum("bits2"), F.sum("n_chars")).first()
-    return per.select("doc_id", F.round((F.lit(bits) - F.col("bits2")) / (F.lit(n) - F.col("n_chars")), 6).alias("without"))
+    per = materialise(per, "works")
+    whole = per.agg(F.sum("bits2").alias("bits"), F.sum("n_chars").alias("n"))  # one row
+    return per.crossJoin(F.broadcast(whole)).select("doc_id", F.round((F.col("bits") - F.col("bits2")) / (F.col("n") - F.col("n_chars")), 6).alias("without"))
 
 
 @query("q_breakdown", f"""WITH {D}, {T}, {LABELLED}, {UNIGRAM}, s AS (SELECT conv_id, is_label, text || CASE WHEN line_no < last_line THEN chr(10) ELSE '' END AS text FROM m),
@@ -462,7 +456,7 @@ def _(spark, sf_dir):
     bits, unknown = _unigram(spark, sf_dir)
     marked = lines.marked(corpus.transcripts(spark, sf_dir), "conv_id")
     text = marked.withColumn("text", F.concat("text", F.when(F.col("is_last"), "").otherwise("\n")))
-    scored = characters(text, "conv_id", "is_label").join(F.broadcast(bits), "ch", "left").withColumn("bits", F.coalesce("bits", F.lit(unknown)))
+    scored = characters(text, "conv_id", "is_label").join(F.broadcast(bits), "ch", "left").crossJoin(unknown).withColumn("bits", F.coalesce("bits", "unknown"))
     sets = scored.groupingSets([[], ["conv_id"], ["is_label"]], "conv_id", "is_label")
     return sets.agg(F.count("*").alias("n_chars"), F.round(F.sum("bits") / F.count("*"), 6).alias("bits"))
 
@@ -472,12 +466,28 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """START costs the same before each text, stands for no character, and is billed to the one behind it."""
     bits, unknown = _unigram(spark, sf_dir)
-    size = ngrams.alphabet_size(corpus.documents(spark, sf_dir))
-    own = characters(corpus.load_set(spark, sf_dir, "validation"), "doc_id").join(F.broadcast(bits), "ch", "left")
-    own = own.withColumn("bits", F.coalesce("bits", F.lit(unknown)) + F.when(F.col("pos") == 0, F.log2(F.lit(size + 1.0))).otherwise(0.0))
+    own = characters(corpus.load_set(spark, sf_dir, "validation"), "doc_id").join(F.broadcast(bits), "ch", "left").crossJoin(unknown)
+    own = own.withColumn("bits", F.coalesce("bits", "unknown") + F.when(F.col("pos") == 0, F.log2(F.col("size") + 1.0)).otherwise(0.0))
     return own.groupBy("doc_id").agg(F.round(F.max(F.when(F.col("pos") == 0, F.col("bits"))), 6).alias("first_bits"), F.round(F.sum("bits"), 4).alias("bits"))
 
 
+@query("q_surprise_arrays", rf"""WITH {D}, {UNIGRAM}, v AS (SELECT doc_id, text FROM d WHERE "set" = 'validation'), {chars_sql('c', 'v', 'doc_id')}, b AS (SELECT doc_id, pos, ch, -log2((coalesce(n, 0) + kinds * (1.0::DOUBLE / size)) / (total + kinds)) AS bits FROM c LEFT JOIN k USING (ch), z)
+    SELECT doc_id, count(*) AS n_chars, round(sum(bits), 4) AS bits, round(coalesce(sum(bits) FILTER (WHERE regexp_matches(ch, '\p{{L}}')), 0), 4) AS letter_bits FROM b WHERE pos < 2000 GROUP BY doc_id""")
+def _(spark, sf_dir):
+    """Surprise and a mask of letters, written as arrays by position and read back: the first 2,000 characters of each held-out text, by what they cost."""
+    arrays.register(spark)
+    bits, unknown = _unigram(spark, sf_dir)
+    own = characters(corpus.load_set(spark, sf_dir, "validation"), "doc_id").join(F.broadcast(bits), "ch", "left").crossJoin(unknown)
+    own = own.select(F.col("doc_id").cast("string").alias("name"), F.col("pos").cast("long").alias("pos"), F.coalesce("bits", "unknown").alias("bits"), F.regexp_like("ch", F.lit(r"\p{L}")).alias("is_letter"))
+    own = own.repartitionByRange("name", "pos").sortWithinPartitions("name", "pos")
+    paths = {c: scratch(spark, c) for c in ("bits", "is_letter")}
+    for c, path in paths.items():
+        own.select("name", "pos", F.col(c).alias("value")).write.format("arrays").mode("append").save(path)
+    read = lambda c: spark.read.format("arrays").load(paths[c]).where("pos < 2000").withColumnRenamed("value", c)
+    both = read("bits").join(read("is_letter"), ["name", "pos"])
+    return both.groupBy(F.col("name").cast("long").alias("doc_id")).agg(F.count("*").alias("n_chars"), F.round(F.sum("bits"), 4).alias("bits"), F.round(F.coalesce(F.sum(F.when(F.col("is_letter"), F.col("bits"))), F.lit(0.0)), 4).alias("letter_bits"))
+
+
 FOLLOW = f"""{D}, pt AS (SELECT repeat(chr(1), 2) || text AS text, lang, doc_id, "set" FROM d WHERE text <> ''), tr AS (SELECT * FROM pt WHERE "set" = 'train'), va AS (SELECT * FROM pt WHERE "set" = 'validation'), {windows_sql('wt', 'tr', 'doc_id', 3)}, {windows_sql('wv', 'va', 'doc_id', 3)},
     f AS (SELECT left(piece, 2) AS ctx, right(piece, 1) AS ch, count(*) AS n FROM wt GROUP BY piece)"""
 
