@@ -8,7 +8,7 @@ import pyarrow.dataset as ds
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from textloom.llm import langid, packing, token_orc
+from textloom.llm import ann, langid, packing, token_orc
 from textloom.llm.common import fresh
 
 SF = "/root/testdata/sf0.1"
@@ -80,3 +80,12 @@ def test_conformal_quantiles_hold_their_rate():
     mean, scale, cut = models.usual["xx"]
     beyond = sum(models.away(*draw()) > cut / langid.MARGIN for _ in range(20_000)) / 20_000
     assert beyond <= 3 * langid.REJECTED
+
+
+def test_few_queries_are_compared_with_all_vectors(spark, monkeypatch):
+    """With the query's own parameters: how many have no chance of success within reach, or find too few."""
+    short, write = [], ann.materialise
+    monkeypatch.setattr(ann, "materialise", lambda df, name: (short.append(df.count()) if name == "short-queries" else None) or write(df, name))
+    found = ann.op5(spark, SF)
+    asked = spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 20 = 0").count()
+    assert found.select("query_id").distinct().count() == asked and len(short) == 1 and short[0] <= 0.05 * asked

@@ -3,8 +3,8 @@
 Vectors get one more component that brings all to the greatest norm, and queries are brought to that norm, so that the largest inner
 product is the least distance. A table hashes a vector by `width` projections on normal vectors, cut into cells; a query visits cells
 around its own in the order of estimated success. A neighbour at distance r is off by a normal deviate of r in each projection,
-so the chance that it lies in a given cell is a product over the projections; all of the 3^width perturbations by at most one
-cell are ordered by it. Each query has its own r, that of its k-th neighbour as told by a bounded sample of the table, and visits as many
+so the chance that it lies in a given cell is a product over the projections; all perturbations by at most REACH
+cells a projection are ordered by it. Each query has its own r, that of its k-th neighbour as told by a bounded sample of the table, and visits as many
 cells as it takes to find such a neighbour with the wanted chance. So isolated queries visit more than those in a cluster.
 Candidates of all tables are scored exactly, in double precision.
 
@@ -29,6 +29,8 @@ from .common import materialise, share_code, spread, table
 
 #: Vectors of a bucket in one slot at least, vectors of a slot on average, queries scored at once, large buckets that the driver holds.
 LARGE, SLOT, BLOCK, MOST = 4096, 8192, 256, 20_000
+#: Cells by which a perturbation may leave the query's own in each projection.
+REACH = 2
 
 
 def normal_share(z: np.ndarray) -> np.ndarray:
@@ -48,7 +50,7 @@ class Hashing:
         self.lines = dice.normal(size=(tables, dims + 1, width))
         self.shift = dice.uniform(0, self.cell, size=(tables, width))
         self.reach = np.linalg.norm(self.lines, axis=1) / math.sqrt(dims + 1)  # the deviation along each line of what lies at distance 1
-        self.moves = np.array(list(product((0, -1, 1), repeat=width)), dtype=np.int64)  # the first stays
+        self.moves = np.array(list(product((0, *range(1, REACH + 1), *range(-REACH, 0)), repeat=width)), dtype=np.int8)  # the first stays
         self.tables, self.width = tables, width
         self.large, self.slots = {}, 1
 
@@ -74,8 +76,8 @@ class Hashing:
         for k in range(self.width):
             at = places[..., k : k + 1]
             sigma = np.maximum(1e-9, self.reach[:, k, None, None] * distance[:, None] / self.cell)
-            edges = normal_share((np.arange(-1, 3) - at) / sigma)  # of the cell below, the own one and the one above
-            share = np.log(np.maximum(1e-30, np.diff(edges, axis=-1)))[..., [1, 2, 0]]  # by a move of 0, 1, -1
+            edges = normal_share((np.arange(-REACH, REACH + 2) - at) / sigma)  # of the cells from REACH below to REACH above
+            share = np.roll(np.log(np.maximum(1e-30, np.diff(edges, axis=-1))), -REACH, axis=-1)  # by a move of 0, 1, .., -1
             out += share[..., self.moves[:, k]]
         return np.exp(out)
 
@@ -105,7 +107,7 @@ def _best(scores: np.ndarray, kept: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(real)
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = 2, width: int = 8, cell: float = 2.0, chance: float = 0.95, sample: int = 2048) -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = 2, width: int = 6, cell: float = 2.0, chance: float = 0.95, sample: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose vec_id is divisible by `every`.
 
     vectors: vec_id, embedding. Rows take no part if the id or the vector is null, the vector is empty, zero or holds null or
@@ -188,8 +190,8 @@ def _search(usable: DataFrame, is_query, dims: int, k: int, tables: int, width:
         h = held.value
         every_slot = np.arange(h.slots)
         for b in batches:
-            for at in range(0, len(b.column(0)), 64):
-                part = b.slice(at, 64)
+            for at in range(0, len(b.column(0)), 16):  # each with tables * (2 * REACH + 1) ** width chances
+                part = b.slice(at, 16)
                 x = _slice(part.column(1))
                 unit = x * (h.norm / np.linalg.norm(x, axis=1))[:, None]
                 product = np.partition(-(unit @ some.T), near, axis=1)[:, near]
