@@ -1,6 +1,7 @@
 """Bounds that hold whatever the rows: memory of short documents, orders of repeated ids, keys under other splits, rates of rejection."""
 
 import random
+import re
 import resource
 from collections import defaultdict
 
@@ -8,7 +9,7 @@ import pyarrow.dataset as ds
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from textloom.llm import ann, langid, packing, token_orc
+from textloom.llm import ann, langid, licenses, packing, token_orc
 from textloom.llm.common import fresh
 
 SF = "/root/testdata/sf0.1"
@@ -89,3 +90,22 @@ def test_few_queries_are_compared_with_all_vectors(spark, monkeypatch):
     found = ann.op5(spark, SF)
     asked = spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 20 = 0").count()
     assert found.select("query_id").distinct().count() == asked and len(short) == 1 and short[0] <= 0.05 * asked
+
+
+def sentence(pattern: str) -> str:
+    """One that an expression of these rules matches: first alternatives, one word for any."""
+    while "(" in pattern:
+        pattern = re.sub(r"\((?:\?:|\?P<\w+>)([^()|]*)(?:\|[^()]*)?\)(?:\?|\{[^}]*\})?", r"\1", pattern.replace("[^ ]+", "x"))
+    return pattern.replace("?", "")
+
+
+def test_each_sentence_of_a_license_fires_and_holds_its_keyword():
+    assert len(licenses.SIGNATURES) + len(licenses.BODIES) > 220
+    fired = set()
+    for label, pattern in licenses.BODIES:
+        text = sentence(pattern)
+        own = [(i, r) for i, r in enumerate(licenses.RULES) if r[4].pattern == rf"(?<![^ ])(?:{pattern})(?![^ ])" and r[1] == label]
+        assert own and own[0][1][4].fullmatch(text), (pattern, text)
+        assert own[0][1][3] in text and len(own[0][1][3]) >= 8, own[0][1][3]
+        fired |= {x[0] for x in licenses.scan(f"before {text} after".encode())[2]}
+    assert len(fired & {label for label, _ in licenses.BODIES}) > 0.9 * len({label for label, _ in licenses.BODIES})

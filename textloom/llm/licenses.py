@@ -1,6 +1,6 @@
 """License detection by ordered signature rules.
 
-Rules are regular expressions over a text's words: sentences of the licenses' own texts and of their usual notices, written one by one,
+Rules are regular expressions over a text's words: sentences of the licenses' own texts (license_texts.py) and of their usual notices, written one by one,
 and, for each license of a table, its SPDX tag, a grant that names it, its name with and without a version, and its address. A rule
 has a priority, a label, a keyword and an expression; where the expression finds a version, a number of clauses or "or later", the label
 carries it (gpl-3.0-or-later, bsd-3-clause). An Aho-Corasick automaton finds which keywords a text holds; only the rules of those are
@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import share_code, spread, table
+from .license_texts import BODIES
 
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 #: Base phrases and their labels.
@@ -157,6 +158,7 @@ CLAUSES = {"two": "2", "three": "3", "four": "4", "simplified": "2", "new": "3",
 def _rules() -> list[tuple[int, str, float, str, re.Pattern]]:
     """(priority, label, score, keyword, pattern), the most specific first."""
     raw: list[tuple[str, float, str, str]] = [(label, 1.0, key, p) for label, key, p in SIGNATURES]
+    raw += [(label, 1.0, _literal(p), p) for label, p in BODIES]
     for label, _, tags, _ in LICENSES:
         raw += [(label, 1.0, "spdx license identifier " + t, rf"spdx license identifier {t}(?P<v>(?: \d+)+)?(?P<clauses> clause)?(?P<only> only)?(?P<later> or later| plus)?") for t in tags]
     for sure, form in FORMS:
@@ -187,6 +189,26 @@ def _keyword(pattern: str) -> str:
     return max(re.split(r" \?|\((?:\?:|\?P<\w+>)[^()]*\)\??|\[[^]]*\]", pattern), key=len).strip(" ()?") if re.search(r"[\[(?]", pattern) else pattern
 
 
+def _literal(pattern: str) -> str:
+    """The longest stretch of an expression that each match holds: outside of groups and classes, without a letter that may be missing."""
+    found, depth, inside = [""], 0, False
+    for c in pattern:
+        if inside or c == "[":
+            inside = c != "]"
+            found.append("")
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+            found.append("")
+        elif depth or c in "{}+*,|" or found[-1].startswith("{"):
+            found.append("{" if c in "{," or c.isdigit() and found[-1].startswith("{") else "")
+        elif c == "?":
+            found[-1] = found[-1][:-1]
+            found.append("")
+        else:
+            found[-1] += c
+    return max((x for x in found if not x.startswith("{")), key=len).strip()
+
+
 RULES = _rules()
 #: Lower case for A-Z, and a space for what is not in a word: a word is of digits, letters and bytes beyond ASCII.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
