@@ -1,6 +1,7 @@
 import math
 import random
 from collections import Counter, defaultdict
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
@@ -247,12 +248,25 @@ def test_sinks(spark, tmp_path):
     one = docs(spark, "x")
     corpus.append_attempt(one, str(tmp_path / "a"))
     corpus.append_attempt(one, str(tmp_path / "a"))
-    assert spark.read.json(str(tmp_path / "a")).count() == 2
+    said = spark.read.json(str(tmp_path / "a")).collect()
+    assert len(said) == 2 and all(datetime.fromisoformat(r["at"]).utcoffset() == timedelta(0) for r in said)
     corpus.write_once(one, str(tmp_path / "b"))
     with pytest.raises(Exception, match="(?i)exists"):
         corpus.write_once(one, str(tmp_path / "b"))
 
 
+def test_texts_are_what_was_recorded(spark, tmp_path):
+    rows = [(i, f"text {i}", "en", "s") for i in range(0, 40, 10)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    manifest = corpus.load_set(spark, str(tmp_path), "validation").select("doc_id", "sha256")
+    read = lambda m: sorted(r.text for r in corpus.load_set(spark, str(tmp_path), "validation", manifest=m).select("text").collect())
+    assert read(manifest) == [f"text {i}" for i in range(0, 40, 10)]
+    with pytest.raises(Exception, match="document 20 is not what was recorded"):
+        read(manifest.withColumn("sha256", F.when(F.col("doc_id") == 20, F.sha2(F.lit("text 2O").cast("binary"), 256)).otherwise(F.col("sha256"))))
+    with pytest.raises(Exception, match="document 30 has no checksum on record"):
+        read(manifest.where("doc_id < 30"))
+
+
 def test_swap_in(spark, tmp_path):
     path = f"file:{tmp_path}/table"
     files.swap_in(docs(spark, "a"), path)

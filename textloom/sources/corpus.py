@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,13 +36,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id").withColumn("set", split_of())
 
 
-def load_set(spark: SparkSession, sf_dir: str, which: str, unlock: str = "") -> DataFrame:
-    """One set, with each text's SHA-256. The test set stays locked without the phrase."""
+def load_set(spark: SparkSession, sf_dir: str, which: str, unlock: str = "", manifest: DataFrame | None = None) -> DataFrame:
+    """One set, with each text's SHA-256. The test set stays locked without the phrase.
+
+    With a manifest (doc_id, sha256) each text is held against what was recorded of it, in the scan that gives it: a job that reads a text
+    that differs, or that nobody recorded, fails.
+    """
     if which not in SETS:
         raise ValueError(f"no set {which}")
     if which == "test" and unlock != UNLOCK:
         raise PermissionError("the test set is locked")
-    return documents(spark, sf_dir).where(F.col("set") == which).withColumn("sha256", F.sha2(F.encode("text", "UTF-8"), 256))
+    own = documents(spark, sf_dir).where(F.col("set") == which).withColumn("sha256", F.sha2(F.encode("text", "UTF-8"), 256))
+    if manifest is None:
+        return own
+    told = manifest.select(F.col("doc_id").alias("told_id"), F.col("sha256").alias("told"))
+    wrong = F.concat(F.lit("document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("without an id")), F.when(F.col("told").isNull(), " has no checksum on record").otherwise(" is not what was recorded"))
+    checked = F.when(F.col("told").eqNullSafe(F.col("sha256")), F.col("text")).otherwise(F.raise_error(wrong))
+    return own.join(told, F.col("doc_id") == F.col("told_id"), "left").select(*[checked.alias(c) if c == "text" else c for c in own.columns])
 
 
 def lines(df: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -59,8 +70,9 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def append_attempt(df: DataFrame, path: str) -> None:
-    """Audit rows, as JSON lines; nothing already there is touched."""
-    df.write.mode("append").json(path)
+    """Audit rows, as JSON lines, each with the time (`at`, in UTC) unless it brings one; nothing already there is touched."""
+    now = F.lit(datetime.now(timezone.utc).isoformat(timespec="seconds"))
+    (df if "at" in df.columns else df.withColumn("at", now)).write.mode("append").json(path)
 
 
 def write_once(df: DataFrame, path: str) -> None:
