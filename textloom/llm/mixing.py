@@ -27,7 +27,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a table with a row per source or cell that may be broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 200_000
 #: Documents of a cell in one bucket on average, and buckets of a cell at most.
-BUCKET, MOST_BUCKETS = 4096, 4096
+BUCKET, MOST_BUCKETS = 512, 8192
 #: Newton steps at most, and the share of a target that may be missing when they end.
 STEPS, NEAR = 100, 1e-10
 
