@@ -95,10 +95,13 @@ def _picks(seed: int, doc: str | None, resamples: range, sides: int) -> np.ndarr
 def bootstrap(blocks: DataFrame, resamples: int, seed: int = 0) -> DataFrame:
     """low, high: 95 % interval of a ratio of sums, blocks (doc_id, block, bits, chars) drawn with replacement inside each text.
 
-    A task draws all resamples of its texts and gives one sum for each; a text of one block needs no dice.
+    A task draws all resamples of its texts and gives one sum for each; a text of one block needs no dice. Drawing takes far longer than its
+    rows are large, so texts are dealt over all cores by number: by size they would share a task or two.
     """
     ordered = F.array_sort(F.collect_list(F.struct("block", F.col("bits").cast("double").alias("bits"), F.col("chars").cast("double").alias("chars"))))
     texts = blocks.groupBy("doc_id").agg(ordered.alias("blocks")).select(F.col("doc_id").cast("string").alias("doc"), F.col("blocks.bits").alias("bits"), F.col("blocks.chars").alias("chars"))
+    spark = blocks.sparkSession
+    texts = texts.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "doc")
 
     def run(batches):
         sums = np.zeros((2, resamples))

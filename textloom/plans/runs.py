@@ -253,10 +253,8 @@ def _(spark, sf_dir):
 def _arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, block, chars, and bits under orders 2 and 3: two arms to compare."""
     d = corpus.documents(spark, sf_dir)
-    pieces = ngrams.padded(d.where("set = 'validation'"), 3, "doc_id").withColumn("block", selection.block_of(F.col("pos")))
-    held = pieces.groupBy("doc_id", "block", "piece").agg(F.count("*").alias("times"))
-    scored = ngrams.probabilities(held, ngrams.gram_counts(d.where("set = 'train'"), 3), 3, ngrams.alphabet_size(d))
-    return scored.groupBy("doc_id", "block").agg(F.sum("times").alias("chars"), *[F.sum(-F.log2(f"p{k}") * F.col("times")).alias(f"bits{k}") for k in (2, 3)])
+    scored = ngrams.score_orders(d.where("set = 'validation'"), d.where("set = 'train'"), 3, ngrams.alphabet_size(d), "doc_id", block=selection.BLOCK)
+    return scored.select("doc_id", "block", F.col("n_chars").alias("chars"), "bits2", "bits3")
 
 
 def _arms_sql() -> str:
