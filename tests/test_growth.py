@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import ngrams, selection
+from textloom.operators import ngrams, overlap, selection
 
 
 def docs(spark, *texts):
@@ -44,3 +44,17 @@ def test_long_orders_meet_once(spark):
     assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 3
     a, b = ({r.doc_id: tuple(r)[1:] for r in x.collect()} for x in (got, ngrams.score(held, train, 6, 6, "doc_id")))
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
+
+
+def test_each_width_has_its_own_sieve(spark):
+    """Where all texts share short windows, wide ones that the held side lacks leave before the shuffle."""
+    held, corpus = docs(spark, "abababXYZabab"), docs(spark, *("ab" * 40 + "cd" * i for i in range(30)))
+    sieve = overlap.sieve_of(overlap.hashed(held, [2, 9]), [2, 9], 100)
+    assert overlap.hashed(corpus, [2, 9], sieve=sieve).where("width = 9").count() < 30  # by the least width alone: all 2,000
+    got = overlap.shared(held, corpus, [2, 6, 9], "doc_id").groupBy("width").count()
+    assert {r[0]: r[1] for r in got.collect()} == {2: 8, 6: 1}
+
+
+def test_equal_windows_of_a_part_leave_once(spark):
+    corpus = docs(spark, "ab" * 500, "ab" * 500)
+    assert overlap.hashed(corpus, [3, 20], once=True).count() <= 2 * 2 * corpus.rdd.getNumPartitions() < overlap.hashed(corpus, [3, 20]).count()
