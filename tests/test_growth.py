@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
 from textloom.operators import ngrams, overlap, selection
 
@@ -58,3 +58,11 @@ def test_each_width_has_its_own_sieve(spark):
 def test_equal_windows_of_a_part_leave_once(spark):
     corpus = docs(spark, "ab" * 500, "ab" * 500)
     assert overlap.hashed(corpus, [3, 20], once=True).count() <= 2 * 2 * corpus.rdd.getNumPartitions() < overlap.hashed(corpus, [3, 20]).count()
+
+
+@pytest.mark.parametrize("counted", [4, 1000])
+def test_pairs_inside_texts(spark, monkeypatch, counted):
+    monkeypatch.setattr(ngrams, "COUNTED", counted)
+    texts = some_texts(5, 12, 30, "ab\0é𝔘")
+    got = {r.piece: r.n for r in ngrams.counted(docs(spark, *texts, None, "", "a"), 2, pad="").collect()}
+    assert got == Counter(t[i : i + 2] for t in texts for i in range(len(t) - 1))
