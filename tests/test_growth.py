@@ -56,3 +56,54 @@ def test_pairs_inside_texts(spark, monkeypatch, counted):
     texts = some_texts(5, 12, 30, "ab\0é𝔘")
     got = {r.piece: r.n for r in ngrams.counted(docs(spark, *texts, None, "", "a"), 2, pad="").collect()}
     assert got == Counter(t[i : i + 2] for t in texts for i in range(len(t) - 1))
+
+
+@pytest.mark.parametrize("group", [50, 1 << 20])
+def test_beyond_a_bitmap_windows_meet_as_stretches(spark, monkeypatch, group):
+    """The same windows by stretches of text as by rows of hashes, wherever parts of texts end."""
+    held = docs(spark, *some_texts(3, 12, 150, "abé 𝔘"), "x" * 300, None, "", "a1" * 40)
+    corpus = docs(spark, *some_texts(4, 40, 150, "abé 𝔘"), *some_texts(3, 12, 150, "abé 𝔘")[4:8], "y" + "x" * 90, None, "a1" * 30)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    widths = [3, 9, 12, 30, 70]
+    want = [rows(overlap.shared(held, corpus, ws, "doc_id")) for ws in (widths, [20])]
+    longest, curve = overlap.longest(held, corpus), rows(overlap.curve(held, corpus, widths, "doc_id"))
+    monkeypatch.setattr(overlap, "MOST", 10)
+    monkeypatch.setattr(overlap, "PART", 70)
+    monkeypatch.setattr(overlap, "GROUP", group)
+    assert [rows(overlap.shared(held, corpus, ws, "doc_id")) for ws in (widths, [20])] == want and all(want)
+    assert overlap.longest(held, corpus) == longest and rows(overlap.curve(held, corpus, widths, "doc_id")) == curve
+
+
+def test_stretches_are_shorter_than_rows_of_windows(spark):
+    text = docs(spark, *some_texts(8, 3, 60_000, "abcdé "))
+    windows = overlap.hashed(text, [50]).count()
+    packed = overlap.stretches(text, [50], 8, told=False).selectExpr("sum(octet_length(codes) + octet_length(sizes)) AS n").first()[0]
+    assert packed < 8 * windows  # a row of two hashes and a width has 20
+
+
+def test_letters_and_first_places_by_stretches(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "PART", 40)
+    mine, theirs = some_texts(6, 8, 80, "aé1 "), some_texts(7, 9, 80, "aé1 ")
+    held, corpus = docs(spark, *mine, None), docs(spark, None, *theirs)
+    cut = lambda t: [(i, t[i : i + 5]) for i in range(len(t) - 4)]
+    first = {}
+    for d, t in enumerate(theirs, 1):
+        for i, piece in cut(t):
+            first.setdefault(piece, (d, i))
+    want = sorted((d, i, sum(map(str.isalpha, x)), *first[x]) for d, t in enumerate(mine) for i, x in cut(t) if x in first)
+    assert sorted(map(tuple, overlap.first_places(held, corpus, 5, "doc_id").collect())) == want and want
+    own = [x for t in mine for _, x in cut(t) if sum(map(str.isalpha, x)) >= 3]
+    assert tuple(overlap.lettered(held, corpus, 5, 3).first()) == (len(own), sum(x in first for x in own))
+
+
+def test_held_elsewhere_with_null_keys(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "PART", 50)
+    texts = [(i % 5 or None, t, i % 3 != 0) for i, t in enumerate(some_texts(9, 30, 90, "ab ") * 2)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, counted boolean")
+    for w, n, shared in overlap.held_elsewhere(df, [4, 9, 20], "doc_id", df.counted).collect():
+        of = {}
+        for d, t, counted in texts:
+            for i in range(len(t) - w + 1):
+                of.setdefault(t[i : i + w], []).append((d, counted))
+        many = [x for x in of.values() if len({d for d, _ in x} - {None}) > 1]
+        assert (n, shared) == (sum(c for x in of.values() for _, c in x), sum(c for x in many for _, c in x))
