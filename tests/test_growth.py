@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import lzma
 import random
+import re
 from collections import Counter
 
 import pytest
 
 from textloom.operators import ngrams, overlap, selection
+from textloom.sources import arrays
 
 
 def docs(spark, *texts):
@@ -107,3 +110,37 @@ def test_held_elsewhere_with_null_keys(spark, monkeypatch):
                 of.setdefault(t[i : i + w], []).append((d, counted))
         many = [x for x in of.values() if len({d for d, _ in x} - {None}) > 1]
         assert (n, shared) == (sum(c for x in of.values() for _, c in x), sum(c for x in many for _, c in x))
+
+
+@pytest.mark.parametrize("counted", [6, 1000])
+@pytest.mark.parametrize("sent", [0, 1000])
+def test_agreement_along_texts(spark, monkeypatch, counted, sent):
+    """Wherever parts of texts end, and whether the table is sent or joined."""
+    monkeypatch.setattr(ngrams, "COUNTED", counted)
+    monkeypatch.setattr(ngrams, "SENT", sent)
+    texts = ["ababababab", "", None, "xxababab", "abababababx", "b", "ab" * 20]
+    best = spark.createDataFrame([("\x01\x01", "a"), ("\x01a", "b"), ("ab", "a"), ("ba", "b")], "ctx string, next string")
+    agreed = lambda t: [dict(zip(["\x01\x01", "\x01a", "ab", "ba"], "abab")).get(("\x01\x01" + t)[i : i + 2]) == c for i, c in enumerate(t)]
+    got = {r.doc_id: (r.n, r.agreed) for r in ngrams.agreement(docs(spark, *texts), best, "doc_id").collect()}
+    assert got == {i: (len(t), sum(agreed(t))) for i, t in enumerate(texts) if t}
+    runs = []
+    for i, t in enumerate(texts):
+        marks = "".join(" x"[x] for x in agreed(t or ""))
+        runs += [(i, m.start(), len(m[0])) for m in re.finditer("x+", marks) if len(m[0]) >= 4]
+    assert sorted(map(tuple, ngrams.agreement(docs(spark, *texts), best, "doc_id", 4).collect())) == runs and len(runs) > 3
+
+
+def test_xz_with_a_fitted_dictionary():
+    from textloom.plans.texts import _xz
+
+    for text in (b"", b"a", *(t.encode() for t in some_texts(3, 5, 3000)), b"ab" * 700_000):
+        assert _xz(text) == len(lzma.compress(text, preset=9 | lzma.PRESET_EXTREME))
+
+
+def test_small_arrays_share_partitions(spark, tmp_path):
+    arrays.register(spark)
+    rows = spark.createDataFrame([(f"t{i}", p, float(i)) for i in range(40) for p in range(3)], "name string, pos long, value double").coalesce(1)
+    rows.write.format("arrays").mode("append").save(str(tmp_path / "a"))
+    got = spark.read.format("arrays").load(str(tmp_path / "a"))
+    assert got.rdd.getNumPartitions() == 1  # one for each file before
+    assert sorted(got.collect()) == sorted(rows.collect())

@@ -10,7 +10,8 @@ import io
 import json
 import re
 import uuid
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 from urllib.parse import quote, unquote
 
 import numpy as np
@@ -21,6 +22,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 #: Numbers of a file at most, of a partition that reads, and of a batch; bytes read at once.
 PIECE, SPAN, BATCH, CHUNK = 1_000_000, 4_000_000, 65_536, 1 << 20
+#: Files that one partition reads at most.
+FILES = 500
 KINDS = {"f8": "double", "f4": "float", "i8": "long", "i4": "int", "i2": "short", "b1": "boolean"}
 FILE = re.compile(r"(.*)@(\d+)-\w+\.npy")
 
@@ -48,7 +51,7 @@ def _files(path: str) -> list[arrow_fs.FileInfo]:
 
 @dataclass
 class Stretch(InputPartition):
-    """Some numbers of one file: where they stand there, and the position of the first."""
+    """Some numbers of one file: where they stand there, and the position of the first; and more such that are read along with it."""
 
     path: str
     name: str
@@ -56,6 +59,7 @@ class Stretch(InputPartition):
     count: int
     first: int
     kind: str
+    more: list[Stretch] = field(default_factory=list)
 
 
 def _header(store, path: str) -> tuple[np.dtype, int, int]:
@@ -125,19 +129,29 @@ class ArraysReader(DataSourceReader):
 
     def partitions(self) -> list[Stretch]:
         store, out = _at(self.path)[0], []
-        for path, name, begin in self.parts:
-            if self.only not in (None, name) or begin > self.most or begin + PIECE <= self.least:
-                continue
-            kind, n, _ = _header(store, path)
+        parts = [(path, name, begin) for path, name, begin in self.parts if self.only in (None, name) and begin <= self.most and begin + PIECE > self.least]
+        with ThreadPoolExecutor(16) as pool:
+            headers = list(pool.map(lambda x: _header(store, x[0]), parts))
+        size = 0
+        for (path, name, begin), (kind, n, _) in zip(parts, headers):
             first, last = max(begin, self.least), min(begin + n - 1, self.most)
-            out += [Stretch(path, name, at - begin, min(SPAN, last - at + 1), at, kind.str) for at in range(first, last + 1, SPAN)]
+            for at in range(first, last + 1, SPAN):
+                own = Stretch(path, name, at - begin, min(SPAN, last - at + 1), at, kind.str)
+                if out and size + own.count <= SPAN and len(out[-1].more) < FILES - 1:  # small files share a partition
+                    out[-1].more.append(own)
+                    size += own.count
+                else:
+                    out.append(own)
+                    size = own.count
         return out or [Stretch("", "", 0, 0, 0, "<f8")]
 
     def read(self, partition: Stretch):
-        if not partition.count:
-            return
-        kind = np.dtype(partition.kind)
         store = _at(self.path)[0]
+        for own in [partition, *partition.more] if partition.count else []:
+            yield from self._numbers(store, own)
+
+    def _numbers(self, store, partition: Stretch):
+        kind = np.dtype(partition.kind)
         begin = _header(store, partition.path)[2]
         with store.open_input_file(partition.path) as f:
             f.seek(begin + partition.skip * kind.itemsize)
@@ -204,8 +218,9 @@ class ArraysWriter(DataSourceArrowWriter):
         store, where, staged = self._staged()
         kept = {f for m in messages if m for f in m.files}
         old = {x.path.rpartition("/")[0] for x in _files(self.path) if "/part-" in x.path} if self.overwrite else set()
+        names = {k.rpartition("/")[2] for k in kept}
         for x in _files(staged):
-            if x.path not in kept and x.path.rpartition("/")[2] not in {k.rpartition("/")[2] for k in kept}:
+            if x.path.rpartition("/")[2] not in names:
                 store.delete_file(x.path)  # of an attempt that doesn't count
         if kept:
             store.move(staged, f"{where}/part-{self.job}")
