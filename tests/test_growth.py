@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from textloom.operators import ngrams, overlap, selection
 from textloom.sources import arrays
@@ -144,3 +145,14 @@ def test_small_arrays_share_partitions(spark, tmp_path):
     got = spark.read.format("arrays").load(str(tmp_path / "a"))
     assert got.rdd.getNumPartitions() == 1  # one for each file before
     assert sorted(got.collect()) == sorted(rows.collect())
+
+
+def test_words_are_one_class_of_characters(spark):
+    """The chunk rule without a group for each letter, which cost a step of recursion a character: the same chunks, and no limit on a word's length."""
+    from textloom.functions import text
+
+    old = text.CHUNK.replace("[\\p{L}\\p{Nl}\\p{No}’]+", rf"(?:{text.LETTER}|’)+", 1)
+    df = docs(spark, *some_texts(12, 60, 200, "aé’ 1²Ⅷ.,\n-𝔘"), "x  y’s   Ⅷ12 …\n\n  z", "")
+    for r in df.select(text.chunks("text").alias("a"), F.regexp_extract_all("text", F.lit(old), F.lit(0)).alias("b")).collect():
+        assert r.a == r.b
+    assert old != text.CHUNK and df.sparkSession.createDataFrame([("a" * 300_000,)], "text string").select(F.size(text.chunks("text"))).first()[0] == 1
