@@ -46,7 +46,10 @@ def marked(texts: DataFrame, key: str) -> DataFrame:
 
 
 def apparatus(texts: DataFrame, key: str) -> DataFrame:
-    """key, n_chars, n_apparatus: characters of labels, headings, entrances and bracketed directions."""
+    """key, n_chars, n_apparatus: characters of labels, headings, entrances and bracketed directions. Takes texts, or their lines (line_no, text)."""
+    if "line_no" in texts.columns:
+        ordered = F.array_sort(F.collect_list(F.struct("line_no", "text")))
+        texts = texts.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text"))
     own = marked(texts, key).withColumn("ours", F.col("is_label") | F.col("text").rlike(HEADING) | F.col("text").rlike(ENTRANCE))
     rest = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("ours"), F.struct("line_no", "text")))), lambda x: x["text"]), "\n")
     inside = F.aggregate(F.regexp_extract_all(rest, F.lit(DIRECTION), 0), F.lit(0), lambda n, x: n + F.length(x))
