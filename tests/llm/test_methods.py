@@ -201,3 +201,14 @@ def test_bitmaps_never_drop_a_similar_pair():
     kept = similar.distances(np.array([len(x) for x in sets]), similar.laid([similar.bitmap(x) for x in sets]), i, j, 0.8) < np.inf
     wanted = np.array(wanted)
     assert kept[wanted].all() and (~kept[~wanted]).mean() > 0.5
+
+
+def test_second_index_tells_apart_what_is_just_below_the_similarity(spark):
+    """40 documents of a template whose shingles are 0.74 alike: few of their 780 pairs are left to be compared exactly, and a pair that is similar is among them."""
+    shared = [f"t{i}" for i in range(90)]
+    texts = {k: " ".join([*shared, *(f"w{k}x{i}" for i in range(15))]) for k in range(40)}
+    texts[40] = texts[7] + " more"
+    held = spark.createDataFrame(list(texts.items()), "node long, text string")
+    rest = held.select("node", F.col("node").alias("root"))
+    found = {tuple(r) for r in similar.crossing(rest, held, np.zeros(0, dtype=np.uint64), 5, 0.8).collect()}
+    assert (7, 40) in found and len(found) < 400
