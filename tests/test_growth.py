@@ -10,7 +10,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import ngrams, overlap, selection
+from textloom.operators import bpe, ngrams, overlap, selection
 from textloom.sources import arrays
 
 
@@ -156,3 +156,39 @@ def test_words_are_one_class_of_characters(spark):
     for r in df.select(text.chunks("text").alias("a"), F.regexp_extract_all("text", F.lit(old), F.lit(0)).alias("b")).collect():
         assert r.a == r.b
     assert old != text.CHUNK and df.sparkSession.createDataFrame([("a" * 300_000,)], "text string").select(F.size(text.chunks("text"))).first()[0] == 1
+
+
+def recounted(texts, how_many):
+    rows, merges = [(list(t), n) for t, n in texts], []
+    while len(merges) < how_many:
+        found = Counter()
+        for row, n in rows:
+            for pair in zip(row, row[1:]):
+                found[pair] += n
+        most = max(found.values(), default=0)
+        if most < 2:
+            break
+        merges.append(min((p for p in found if found[p] == most), key=bpe._last_first))
+        after = []
+        for row, n in rows:
+            out, i = [], 0
+            while i < len(row):
+                step = 2 if tuple(row[i : i + 2]) == merges[-1] else 1
+                out.append("".join(row[i : i + step]))
+                i += step
+            after.append((out, n))
+        rows = after
+    return merges
+
+
+@pytest.mark.parametrize("letters", ["abcdé  𝔘", "aab", "a"])
+def test_merges_along_whole_texts_take_few_passes(spark, monkeypatch, letters):
+    """Guessed on a third of the texts, with room for few pairs too: those of a recount, many a pass."""
+    dice = random.Random(letters)
+    words = ["".join(dice.choices(letters, k=dice.randint(1, 6))) for _ in range(60)]
+    texts = list({"".join(dice.choices(words, k=150)): dice.randint(1, 3) for _ in range(40)}.items())
+    counted, want, passes, changes = spark.createDataFrame(texts, "chunk string, n long"), recounted(texts, 100), [], bpe.changes
+    monkeypatch.setattr(bpe, "changes", lambda *args: passes.append(1) or changes(*args))
+    assert bpe.learn_along(counted, 100, sample=6000) == want and len(passes) <= len(want) // 4 + 2
+    assert bpe.learn_along(counted, 30, sample=500, most_pairs=5) == want[:30]
+    assert bpe.learn_along(counted.limit(0), 5) == []

@@ -107,7 +107,7 @@ def _(spark, sf_dir):
     words = vocabulary.words_in(held, "doc_id").join(F.broadcast(top), "word")  # 20 rows
     out = None
     for rule, units in (("chunks", bpe.chunk_counts(train)), ("none", train.select(F.col("text").alias("chunk")).groupBy("chunk").agg(F.count("*").alias("n")))):
-        merges = bpe.learn(units, 1000)
+        merges = (bpe.learn if rule == "chunks" else bpe.learn_along)(units, 1000)
         if rule == "chunks":
             coded = bpe.encode(held, merges).select("doc_id", F.col("pos").alias("chunk_pos"), F.posexplode("pieces").alias("at", "token")).select("doc_id", F.struct("chunk_pos", "at").alias("pos"), "token")
         else:
