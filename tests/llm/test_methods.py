@@ -1,6 +1,9 @@
 """Each method on the inputs that are hardest on it: long white space, other partitionings, repeated attempts, dense lists."""
 
+import os
 import random
+import subprocess
+import sys
 from array import array
 
 import numpy as np
@@ -25,6 +28,21 @@ def test_millions_of_white_space(spark, gap):
         assert tokens.Encoder(path).encode([text]) == [want]
 
 
+def test_an_encoder_is_small():
+    """A worker keeps its encoder for as long as it lives, next to what other stages hold."""
+    code = f"""
+import re, sys, public_tokenizers, numpy, pyarrow
+from textloom.llm import tokens
+held = lambda: sum(map(int, re.findall(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+before = held()
+enc = tokens.Encoder({BYTES!r})
+enc.encode(["some words"])
+print(held() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONPATH": os.pathsep.join(sys.path)}, capture_output=True, text=True, check=True).stdout
+    assert float(out) < 50  # 109 MB with the library and a pattern of 100,000 repeats
+
+
 def test_packing_of_long_white_space(spark):
     docs = spark.createDataFrame([(1, " " * 1_000_000 + "x"), (2, "short")], "doc_id long, text string")
     got = packing.pack_documents(docs, BYTES).where("doc_id = 1").agg(F.sum("length"), F.max("doc_tokens")).first()

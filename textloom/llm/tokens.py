@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 from array import array
+from functools import cached_property
 
 import numpy as np
 import regex
@@ -35,10 +36,7 @@ class Encoder:
     """encode(texts) gives the ids of each text as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, pre, norm = spec["model"], spec["pre_tokenizer"] or {}, spec["normalizer"] or {}
@@ -46,7 +44,7 @@ class Encoder:
         suffix = model.get("end_of_word_suffix") or ""
         self.special = [x["content"] for x in spec["added_tokens"]]
         self.unlike = regex.compile(f"[^{PLAIN}]").search
-        self.gap = regex.compile(f"[{SPACE}]{{{GAP},}}+").search
+        self.runs = regex.compile(f"[{SPACE}]{{64,}}+").finditer  # a count of GAP would be compiled to tens of MB
         self.fast = None
         if model["type"] != "BPE" or not _ranked(model["vocab"], model["merges"]):
             return
@@ -58,6 +56,14 @@ class Encoder:
             self.fast = lambda text: run(self.marked(text))
             self.special.append(END)
 
+    @cached_property
+    def library(self):
+        """Tens of MB of a worker, so made when a text first needs it."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def marked(self, text: str) -> str:
         """The words of a text, each with END behind it."""
         words = [w if w.isalpha() else END.join(self.words(w)) for w in text.lower().split()]
@@ -66,7 +72,7 @@ class Encoder:
     def odd(self, text: str) -> bool:
         if any(s in text for s in self.special) or any(c in text for c in "\x1c\x1d\x1e\x1f"):  # those four are white space to Python alone
             return True
-        if len(text) > GAP and self.gap(text):
+        if len(text) > GAP and any(x.end() - x.start() >= GAP for x in self.runs(text)):
             return True
         return not text.isascii() and np.frombuffer(text.encode("utf-32-le"), "<u4").max() >= 0x300 and bool(self.unlike(text))
 
