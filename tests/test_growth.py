@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import lzma
+import math
 import random
 import re
 from collections import Counter
@@ -192,3 +193,47 @@ def test_merges_along_whole_texts_take_few_passes(spark, monkeypatch, letters):
     assert bpe.learn_along(counted, 100, sample=6000) == want and len(passes) <= len(want) // 4 + 2
     assert bpe.learn_along(counted, 30, sample=500, most_pairs=5) == want[:30]
     assert bpe.learn_along(counted.limit(0), 5) == []
+
+
+def by_hand(held, train, order, alphabet):
+    """bits of each order, summed over these texts."""
+    grams, kinds, out = [Counter() for _ in range(order + 1)], [{} for _ in range(order + 1)], [0.0] * order
+    for t in train:
+        for i in range(len(t or "")):
+            for k in range(1, order + 1):
+                gram = ("\x01" * order + t)[i + order - k + 1 : i + order + 1]
+                grams[k][gram] += 1
+                kinds[k].setdefault(gram[:-1], Counter())[gram[-1]] += 1
+    for t in held:
+        for i in range(len(t or "")):
+            p = 1 / alphabet
+            for k in range(1, order + 1):
+                gram = ("\x01" * order + t)[i + order - k + 1 : i + order + 1]
+                if seen := kinds[k].get(gram[:-1]):
+                    p = (grams[k][gram] + len(seen) * p) / (sum(seen.values()) + len(seen))
+                out[k - 1] -= math.log2(p)
+    return out
+
+
+@pytest.mark.parametrize("counted, held_rows, sent", [(7, 9, 10**6), (10**6, 10**6, 10**6), (50, 40, 400)])
+@pytest.mark.parametrize("letters", ["abcé 𝔘", "".join(map(chr, range(0x4E00, 0x4F40)))])
+def test_long_orders_meet_by_context(spark, monkeypatch, counted, held_rows, sent, letters):
+    """As by hand, wherever parts of texts end, however often tasks send what they counted, in one word or in two, behind a shorter table too."""
+    for name, value in (("COUNTED", counted), ("HELD", held_rows), ("SENT", sent), ("PER_PART", 200)):
+        monkeypatch.setattr(ngrams, name, value)
+    train = [*(x[:9] * 3 + x for x in some_texts(31, 25, 60, letters)), None, ""]
+    held = [*(x[:9] * 2 + x for x in some_texts(31, 9, 60, letters)), *some_texts(32, 5, 40, letters + "xy\0"), "", None, None]
+    df, rows = docs(spark, *held).withColumn("of", F.expr("CASE WHEN doc_id % 3 > 0 THEN doc_id % 3 END")), docs(spark, *train)
+    assert ngrams.Packed(ngrams.np.arange(len(set("".join(filter(None, train)))) + 1), 8).words == (1 if len(letters) == 6 else 2)
+    for r in ngrams.score_orders(df, rows, 8, 9, "of").collect():
+        own = [t for i, t in enumerate(held) if (i % 3 or None) == r.of]
+        assert r.n_chars == sum(len(t or "") for t in own) and list(r)[2:] == pytest.approx(by_hand(own, train, 8, 9))
+    assert list(ngrams.score_orders(df, rows, 8, 9).first())[1:] == pytest.approx(by_hand(held, train, 8, 9))
+    assert list(ngrams.score_orders(df, rows.limit(0), 4, 9).first())[1:] == pytest.approx(by_hand(held, [], 4, 9))
+
+
+def test_a_task_sends_each_long_ngram_once(spark):
+    """What is shuffled grows with the different n-grams of a task, not with its characters."""
+    packed = ngrams.Packed(ngrams.np.array([ord("a"), ord("b"), 1]), 8)
+    size = lambda times: ngrams._packed(docs(spark, *["ab" * 500] * times).coalesce(1), packed, 3, 5).agg(F.sum(F.length("words"))).first()[0]
+    assert size(1) == size(40) == 8 * 9  # 9 different ones, with those at the beginning
