@@ -237,3 +237,32 @@ def test_a_task_sends_each_long_ngram_once(spark):
     packed = ngrams.Packed(ngrams.np.array([ord("a"), ord("b"), 1]), 8)
     size = lambda times: ngrams._packed(docs(spark, *["ab" * 500] * times).coalesce(1), packed, 3, 5).agg(F.sum(F.length("words"))).first()[0]
     assert size(1) == size(40) == 8 * 9  # 9 different ones, with those at the beginning
+
+
+@pytest.mark.parametrize("part", [70, 10**6])
+def test_few_windows_are_sent_to_the_corpus(spark, monkeypatch, part):
+    """Windows that are sent in several turns are those that both sides hold; no row of a window leaves the corpus."""
+    monkeypatch.setattr(overlap, "PART", part)
+    monkeypatch.setattr(overlap, "MOST", 400)
+    held = [*some_texts(3, 6, 60, "abé 𝔘"), "x" * 30, None, "", "a1" * 20]
+    rest = [*some_texts(4, 20, 90, "abé 𝔘"), *some_texts(3, 6, 60, "abé 𝔘")[3:5], "y" + "x" * 25, None, "a1" * 12]
+    turns, told = [], overlap._told_by
+    monkeypatch.setattr(overlap, "_told_by", lambda *args: turns.append(1) or told(*args))
+    monkeypatch.setattr(overlap, "_met", None)
+    has = lambda x: any(x in (t or "") for t in rest)
+    want = lambda ws: sorted((i, p, w) for i, t in enumerate(held) for w in ws(i) for p in range(len(t or "") - w + 1) if has(t[p : p + w]))
+    got = overlap.shared(docs(spark, *held), docs(spark, *rest), [1, 3, 9], "doc_id").collect()
+    assert sorted(map(tuple, got)) == want(lambda i: [1, 3, 9]) and len(turns) > 1
+    asked = docs(spark, *held).withColumn("middle", (F.col("doc_id") % 2 * 4 + 3).cast("int"))
+    got = overlap.shared(asked, docs(spark, *rest), [3, 7], "doc_id", "middle", only="middle").select("doc_id", "pos", "width").collect()
+    assert sorted(map(tuple, got)) == want(lambda i: [i % 2 * 4 + 3])
+    monkeypatch.setattr(overlap, "MOST", 10**6)
+    longest = {r.doc_id: r.longest for r in overlap.longest_of_each(docs(spark, *held), docs(spark, *rest), "doc_id", cap=21).collect()}
+    assert longest == {i: max((w for w in range(1, 22) for p in range(len(t or "") - w + 1) if has(t[p : p + w])), default=0) for i, t in enumerate(held)}
+
+
+def test_texts_of_many_lengths_ask_few_widths(spark, monkeypatch):
+    asked, shared = [], overlap.shared
+    monkeypatch.setattr(overlap, "shared", lambda held, corpus, widths, *keep, **more: asked.append(len(widths)) or shared(held, corpus, widths, *keep, **more))
+    overlap.longest_of_each(docs(spark, *("z" * n for n in range(41))), docs(spark, "ab"), "doc_id", cap=40)
+    assert asked[0] == 6 and len(asked) <= 6  # 1, 2, 4 .. 32; 20 widths at once before
